@@ -72,18 +72,17 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
     return out.astype(np.int64)
 
 
-def quotas(shares: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Whole slots per source: the largest plan that keeps the shares within the limits, by largest remainder."""
+def quotas(shares: np.ndarray, limits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Whole slots per source: the largest plan that keeps the shares of tokens within the limits.
+
+    ``tokens`` is what a slot of a source holds on average: the last block of a small source may hold few.
+    """
     have = (shares > 0) & (limits > 0)
     if not have.any():
         return np.zeros(len(shares), np.int64)
     p = np.where(have, shares, 0) / shares[have].sum()
-    total = int(math.floor((limits[have] / p[have]).min() + 1e-9))
-    exact = p * total
-    out = np.floor(exact).astype(np.int64)
-    for i in np.argsort(-(exact - out), kind="stable")[: total - int(out.sum())]:
-        out[i] += 1
-    return np.minimum(out, limits)
+    size = (limits[have] * tokens[have] / p[have]).min()
+    return np.minimum(np.floor(np.where(have, p * size / np.where(have, tokens, 1), 0) + 0.5).astype(np.int64), limits)
 
 
 def draw_shards(owed: np.ndarray, shard: int, rng: np.random.Generator) -> np.ndarray:
@@ -125,7 +124,8 @@ def mix(sizes: DataFrame, plan: DataFrame, config: MixConfig = MixConfig()) -> t
     for name in sorted({r["plan"] for r in rows}, key=str):
         own = sorted((r for r in rows if r["plan"] == name), key=lambda r: str(r["source"]))
         limits = np.array([blocks.get(r["source"], 0) * max(int(r["max_repeats"] or 0), 0) for r in own], np.int64)
-        owed = quotas(np.array([max(r["target_share"] or 0.0, 0.0) for r in own]), limits)
+        mean = np.array([held[r["source"]]["tokens"] / blocks[r["source"]] if r["source"] in held else 0.0 for r in own])
+        owed = quotas(np.array([max(r["target_share"] or 0.0, 0.0) for r in own]), limits, mean)
         shard = max(c.shard, -(-int(owed.sum()) // c.max_shards))
         counts = draw_shards(owed, shard, np.random.default_rng([c.seed, zlib.crc32(str(name).encode())]))
         starts = np.cumsum(counts, axis=0) - counts
