@@ -1,0 +1,71 @@
+"""Generalised Pareto fit of exceedances by profile likelihood (Grimshaw 1993), NumPy only."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+
+def fit(excess: np.ndarray) -> tuple[float, float]:
+    """(xi, sigma) of positive exceedances: the best of a grid over the profile parameter, refined by golden section."""
+    x = np.asarray(excess, float)
+    x = x[x > 0]
+    mean, top = x.mean(), x.max()
+
+    def negative(theta: float) -> float:
+        if theta == 0:
+            return math.log(mean) + 1
+        inside = 1 - theta * x
+        if (inside <= 0).any():
+            return math.inf
+        xi = np.log(inside).mean()
+        scale = -xi / theta
+        return math.inf if scale <= 0 else math.log(scale) + xi + 1
+
+    upper = (1 - 1e-6) / top
+    grid = np.concatenate([-np.geomspace(20 / mean, 1e-4 / mean, 80), [0.0], np.geomspace(1e-6 / top, upper, 80)])
+    i = int(np.argmin([negative(t) for t in grid]))
+    lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
+    ratio = (math.sqrt(5) - 1) / 2
+    for _ in range(80):
+        a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+        if negative(a) < negative(b):
+            hi = b
+        else:
+            lo = a
+    theta = (lo + hi) / 2
+    theta = theta if negative(theta) <= negative(grid[i]) else grid[i]
+    if abs(theta) < 1e-12:
+        return 0.0, float(mean)
+    xi = float(np.log(1 - theta * x).mean())
+    return xi, -xi / theta
+
+
+def tail_bins(returns: np.ndarray, quantiles: tuple[float, ...], least: int = 50, tail: int = 10) -> tuple[list[float], list[float]] | None:
+    """(edges, centres) of bins at linear quantiles; None for fewer than ``least`` finite returns.
+
+    Inner centres are means of their bin, or its midpoint when empty. Tail centres are u -+ sigma / (1 - xi) with more
+    than ``tail`` exceedances and xi < 1, else the tail's mean, else the edge.
+    """
+    x = np.asarray(returns, float)
+    x = x[np.isfinite(x)]
+    if len(x) < least:
+        return None
+    edges = np.quantile(x, quantiles)
+
+    def end(values: np.ndarray, u: float, sign: int) -> float:
+        excess = sign * (values - u)
+        excess = excess[excess > 0]
+        if len(excess) > tail:
+            xi, sigma = fit(excess)
+            if xi < 1:
+                return u + sign * sigma / (1 - xi)
+        return float(values.mean()) if len(values) else u
+
+    centres = [end(x[x < edges[0]], edges[0], -1)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        inside = x[(x >= a) & (x < b)]
+        centres.append(float(inside.mean()) if len(inside) else (a + b) / 2)
+    centres.append(end(x[x >= edges[-1]], edges[-1], 1))
+    return [float(e) for e in edges], [float(c) for c in centres]

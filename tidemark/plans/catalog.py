@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+SQL: dict[str, str] = {**problems.SQL, **reference.SQL}

@@ -81,3 +81,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_readings": p1_readings, "p1_found": p1_found, "p2_grid": p2_grid, "p2_found": p2_found, "p5_daily": p5_daily, "p5_panel": p5_panel, "p5_found": p5_found}
+
+_IN_FORCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, day ORDER BY recv_at DESC) AS rn FROM daily WHERE sid IS NOT NULL AND day IS NOT NULL) WHERE rn = 1"
+_DAYS = "CAST(strptime(CAST(day AS VARCHAR), '%Y%m%d') AS DATE)"
+
+
+def _windows(rows: str, columns: dict[str, str], pick: str, where: str = "") -> str:
+    """Trailing sums over calendar days by a range frame, for rows (sid, d, columns)."""
+    sums = ", ".join(f"sum({c}) OVER (PARTITION BY cal.sid ORDER BY cal.d RANGE BETWEEN INTERVAL {p - 1} DAY PRECEDING AND CURRENT ROW) AS {n}_{p}" for n, c in columns.items() for p in (7, 30))
+    return f"""WITH r AS ({rows}), span AS (SELECT sid, min(d) AS lo, max(d) AS hi FROM r GROUP BY sid),
+        cal AS (SELECT sid, lo, unnest(range(lo::TIMESTAMP, hi::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS d FROM span),
+        w AS (SELECT cal.sid, cal.d, lo, {sums} FROM cal LEFT JOIN r ON cal.sid = r.sid AND cal.d = r.d)
+        SELECT {pick} FROM w WHERE date_diff('day', lo, d) >= 29 {where}"""
+
+
+_AMOUNT_ROWS = f"SELECT sid, {_DAYS} AS d, coalesce(amount, CASE WHEN isnan(volume * close) THEN NULL ELSE volume * close END, 0) AS a, 1 AS one, CASE WHEN isnan(close) THEN NULL ELSE close END AS c FROM ({_IN_FORCE})"
+_VOL_ROWS = "SELECT sid, day AS d, v FROM (SELECT DISTINCT sid, day, CASE WHEN isnan(vol_20d) THEN NULL ELSE vol_20d END AS v FROM panel)"
+_NUMBER = "CAST(strftime(d, '%Y%m%d') AS INT) AS day"
+_AMOUNT_FOUND = _windows(_AMOUNT_ROWS, {"t": "a"}, f"'amount' AS measure, sid, {_NUMBER}", "AND coalesce(t_7, 0) > 0.5 * coalesce(t_30, 0)")
+_VOL_FOUND = _windows(_VOL_ROWS, {"t": "v", "n": "CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END"}, f"'vol_20d' AS measure, sid, {_NUMBER}", "AND n_7 > 0 AND t_7 / n_7 > 1.3 * (t_30 / n_30)")
+
+SQL = {
+    "p2_found": """WITH t AS (SELECT *, CASE WHEN abs(tick) >= 1e17 THEN tick / 1e9 WHEN abs(tick) >= 1e14 THEN tick / 1e6 WHEN abs(tick) >= 1e11 THEN tick / 1e3 ELSE tick END AS s
+            FROM tick WHERE tick IS NOT NULL AND close > 0 AND NOT isnan(close)),
+        m AS (SELECT sid, CAST(floor(s / 86400) AS INT) AS d, floor((s - floor(s / 86400) * 86400) / 60) AS mm FROM t),
+        u AS (SELECT DISTINCT sid, d, CAST(CASE WHEN mm >= 570 AND mm < 690 THEN mm - 570 WHEN mm >= 780 AND mm < 900 THEN mm - 660 END AS INT) AS minute_idx FROM m),
+        g AS (SELECT sid, d, unnest(range(240)) AS minute_idx FROM (SELECT DISTINCT sid, d FROM u WHERE minute_idx IS NOT NULL))
+        SELECT g.sid, CAST(strftime(DATE '1970-01-01' + g.d, '%Y%m%d') AS INT) AS day, CAST(g.minute_idx AS INT) AS minute_idx FROM g ANTI JOIN u ON g.sid = u.sid AND g.d = u.d AND g.minute_idx = u.minute_idx""",
+    "p5_found": f"SELECT * FROM ({_AMOUNT_FOUND}) UNION ALL SELECT * FROM ({_VOL_FOUND})",
+}
