@@ -100,4 +100,17 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_cutoffs, p3_found, p4_top, p4_found, p6_packed, p6_fill, p7_uses, p7_shares, p8_judged, p8_found, p8_limits, p8_sources)}
-SQL: dict[str, str] = {}
+
+_MONTHS = """WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, month_id ORDER BY recv_at DESC) AS rn FROM universe_month WHERE sid IS NOT NULL AND month_id IS NOT NULL) WHERE rn = 1 AND days_since_ipo >= 120),
+    n AS (SELECT month_id, count(*) AS n FROM f GROUP BY month_id),
+    r AS (SELECT month_id, sid, avg_amount, rank() OVER (PARTITION BY month_id ORDER BY avg_amount DESC) + (count(*) OVER (PARTITION BY month_id, avg_amount) - 1) / 2.0 AS rank FROM f WHERE avg_amount IS NOT NULL AND NOT isnan(avg_amount)),
+    kept AS (SELECT r.*, n.n FROM r JOIN n USING (month_id) WHERE rank <= 0.8 * n)
+    """
+_TOP = """SELECT sid, score_id, fsm_score, day, place FROM (
+    SELECT *, row_number() OVER (PARTITION BY sid ORDER BY fsm_score DESC, day, score_id) AS place
+    FROM (SELECT DISTINCT sid, score_id, day, fsm_score FROM scores WHERE sid IS NOT NULL AND day IS NOT NULL AND fsm_score IS NOT NULL AND NOT isnan(fsm_score))) WHERE place <= 5"""
+SQL: dict[str, str] = {
+    "p3_found": _MONTHS + "SELECT month_id, sid FROM kept",
+    "p4_top": _TOP,
+    "p4_found": f"SELECT sid, score_id FROM ({_TOP})",
+}
