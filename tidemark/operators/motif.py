@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidemark.functions.exprs import motif_threshold, squared_distance, windows_of, znorm
+from tidemark.functions.exprs import motif_threshold, windows_of
 from tidemark.kernels import dtw as K
 from tidemark.kernels.mprofile import block_minima
 from tidemark.operators.salting import spread_join
@@ -37,10 +37,8 @@ def subsequence_distance(curve: Column, motif: list[float], w: int, limit: float
 
 
 def euclidean_least(curve: Column, motif: list[float]) -> Column:
-    """The same without warping, as one JVM expression: the least z-normalised Euclidean distance of any window."""
-    m = len(motif)
-    target = F.array(*[F.lit(float(x)) for x in K.znorm(np.asarray(motif, float))])
-    return F.array_min(F.transform(windows_of(curve, m), lambda x: F.sqrt(squared_distance(znorm(x), target))))
+    """The same without warping: a band of 1 is the z-normalised Euclidean distance."""
+    return subsequence_distance(curve, motif, 1, float("inf"))
 
 
 def triggers(panel: DataFrame, curve: Column, motif: list[float], w: int, limit: float, strict: bool = False) -> DataFrame:
