@@ -85,7 +85,8 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     )
     parts = max(16, math.ceil(max(histogram.values()) / 100_000))
     ranked = positions(full, ["tokens"], ["doc_id", "piece"], F.lit(1).cast("long"), parts)
-    placed = ranked.join(slots, ["tokens", "_before"]).select("doc_id", "piece", "start", "tokens", "container", "place", "offset")
+    # Slots come from a small table of runs, so their size is misjudged: as many rows as pieces, never broadcast.
+    placed = ranked.join(slots.hint("merge"), ["tokens", "_before"]).select("doc_id", "piece", "start", "tokens", "container", "place", "offset")
     return placed.unionByName(empty)
 
 
