@@ -153,7 +153,8 @@ def mix(sizes: DataFrame, plan: DataFrame, config: MixConfig = MixConfig()) -> t
     first, last = F.floor(F.col("_before") / c.block), F.floor((F.col("_before") + F.col("tokens") - 1) / c.block)
     parts = laid.select("plan", "source", "doc_id", "tokens", "_before", F.explode(F.sequence(first, last)).alias("block"))
     inside = F.least(F.col("_before") + F.col("tokens"), (F.col("block") + 1) * c.block) - F.greatest(F.col("_before"), F.col("block") * c.block)
-    used = parts.join(uses, ["plan", "source", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    # Uses unroll from a small table of shards, so their size is misjudged: as many rows as blocks, never broadcast.
+    used = parts.join(uses.hint("merge"), ["plan", "source", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     by_doc = used.groupBy("plan", "source", "doc_id", "tokens", "_before").agg(F.max("uses").alias("uses"), F.sum(F.col("uses") * inside).alias("used_tokens")).drop("_before")
 
     config_rows = spark.createDataFrame([(r["plan"], r["source"], r["target_share"], r["max_repeats"]) for r in rows], "plan string, source string, target_share double, max_repeats int")
