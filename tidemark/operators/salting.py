@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no frame has such a column (case doesn't count)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread_join(big: DataFrame, per_key: DataFrame, keys: list[str], parts: int = 16, how: str = "inner") -> DataFrame:
     """Join ``big`` with ``per_key`` (at most one row per key) on ``keys``, each key's rows spread over ``parts`` tasks.
 
     The salt of a row is drawn from all its columns, so repeated rows stay together but different ones part. Null
     keys match nothing, as in any equi-join. Column names other than the keys must differ.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(parts)).cast("int"))
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    salt = fresh("_salt", big, per_key)
+    salted = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(parts)).cast("int"))
+    copies = per_key.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return salted.join(copies, [*keys, salt], how).drop(salt)
