@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidemark.operators.salting import spread_join
+from tidemark.operators.salting import fresh, spread_join
 
 STEP, LEAF, DEPTH = 8, 32, 64
 
@@ -122,7 +122,11 @@ class CountTree:
 
 
 def keep_above(df: DataFrame, score: str, cutoffs: DataFrame, source: list[str]) -> DataFrame:
-    """The rows of ``df`` that their source's cutoff keeps; a hot source is spread over tasks."""
-    per = cutoffs.where("cutoff is not null").select(*source, F.col("cutoff").alias("_cutoff"), F.col("inclusive").alias("_inclusive"))
+    """The rows of ``df`` that their source's cutoff keeps, with all their columns; a hot source is spread over tasks.
+
+    Rows with a null or NaN score or a null source are not kept, repeated rows are kept as often as they come.
+    """
+    value, inclusive = fresh("_cutoff", df), fresh("_inclusive", df)
+    per = cutoffs.where("cutoff is not null").select(*source, F.col("cutoff").alias(value), F.col("inclusive").alias(inclusive))
     kept = spread_join(df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))), per, source)
-    return kept.where((F.col(score) > F.col("_cutoff")) | (F.col("_inclusive") & (F.col(score) == F.col("_cutoff")))).drop("_cutoff", "_inclusive")
+    return kept.where((F.col(score) > F.col(value)) | (F.col(inclusive) & (F.col(score) == F.col(value)))).drop(value, inclusive)

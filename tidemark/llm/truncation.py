@@ -43,13 +43,14 @@ def ending(text: Column) -> Column:
     that stands for missing text, after an abbreviation, or in running text without the end of a sentence. A line of
     key words or a heading may be an end or a cut, which is open to doubt. The whole text is read.
     """
-    plain = F.rtrim(F.regexp_replace(F.regexp_replace(text, F.lit(r"(?<!\\)%[^\n]*"), F.lit("")), F.lit(r"\s+$"), F.lit("")))
+    blank = F.lit(" \t\r\n\f\v\u00a0\u3000")
+    plain = F.rtrim(F.regexp_replace(text, F.lit(r"(?<!\\)%[^\n]*"), F.lit("")), blank)
     tail = F.substring(plain, -400, 400)  # only for the marks at the very end; counts below run over the whole text
     dollars = F.length(F.regexp_replace(F.regexp_replace(plain, F.lit(r"\\\\|\\\$"), F.lit("")), F.lit(r"[^$]+"), F.lit("")))
     opened = F.regexp_count(plain, F.lit(r"\\begin\{(?!document\})")) - F.regexp_count(plain, F.lit(r"\\end\{(?!document\})"))
     is_open = (dollars % 2 == 1) | (opened > 0)
     return (
-        F.when(F.length(F.trim(text)) == 0, F.lit(None).cast("int"))
+        F.when(text.isNull() | (F.length(F.rtrim(text, blank)) == 0), F.lit(None).cast("int"))
         .when(plain.contains("\\end{document}") | tail.rlike(CLOSED), 0)
         .when(F.length(plain) == 0, 0)
         .when(is_open | tail.endswith("\ufffd") | tail.rlike(ELLIPSIS) | tail.rlike(ABBREVIATION), 2)
