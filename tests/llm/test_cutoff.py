@@ -29,9 +29,9 @@ def kept(spark, batches, fraction=0.8, ties="average"):
     rows = keep_above(every, "amount", cut, ["month"])
     assert set(rows.columns) == set(every.columns)
     sizes = {r.month: r.kept for r in cut.collect()}
-    got = {(r.month, r.id) for r in rows.collect()}
+    got = [(r.month, r.id) for r in rows.collect()]
     assert sizes == {m: sum(1 for k in got if k[0] == m) for m in sizes}
-    return got
+    return set(got)
 
 
 def brute(batches, fraction=0.8, ties="average"):

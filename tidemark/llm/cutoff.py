@@ -1,11 +1,12 @@
 """Score cutoffs that keep a target fraction of each source's records, from a persistent dyadic count tree.
 
 Scores are coded as 64-bit integers in their own order. The tree counts, for each source, the records under the
-dyadic prefixes of 8, 16, 24 and 32 bits; a batch adds its node counts as one more part of the table, and a batch
-written again replaces itself. A target rank is found by walking down: among the at most 256 children of a source's
-current node, the one that holds the rank is the next node. The leaf reached (a relative width of 2^-20) is then
-refined over the distinct scores of its own records, in the same steps down to all 64 bits, so no step looks at
-more than 256 rows of a source, and equal scores are one count.
+dyadic prefixes of 16 bits (sign, exponent, 4 bits of the mantissa) and of 32 bits, its leaves; levels between them are
+not stored, as a walk takes 16 of them at once. A batch adds its node counts as one more part of the table, and a batch
+written again replaces itself. A target rank is found by walking down: among the at most 2^16 descendants of a source's
+current node, 16 levels below, the one that holds the rank is the next node. The leaf reached (a relative width of
+2^-20) is then refined over the distinct scores of its own records, in the same steps down to all 64 bits, so no step
+looks at more than 2^16 rows of a source, and equal scores are one count.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidemark.operators.salting import fresh, spread_join
+from tidemark.session import written
 
-STEP, LEAF, DEPTH = 8, 32, 64
+STEP, LEAF, DEPTH = 16, 32, 64
 
 
 def codes(scores: np.ndarray) -> np.ndarray:
@@ -115,10 +117,11 @@ class CountTree:
         out = sizes.join(self.ranked(wanted), self.source, "left")
         last = {"average": F.col("above") + (F.col("ties") + 1) / 2, "all": F.col("above") + 1, "none": F.col("above") + F.col("ties")}[ties]
         inclusive = F.coalesce(last <= target, F.lit(False))
-        return out.select(
+        out = out.select(
             *self.source, "records", F.col("score").alias("cutoff"), inclusive.alias("inclusive"),
             F.coalesce(F.col("above") + F.when(inclusive, F.col("ties")).otherwise(0), F.lit(0)).alias("kept"),
         )
+        return written(out, "cutoffs")
 
 
 def keep_above(df: DataFrame, score: str, cutoffs: DataFrame, source: list[str]) -> DataFrame:
