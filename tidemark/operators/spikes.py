@@ -13,8 +13,9 @@ sort bring the rows of a block together; a NumPy kernel then works on many block
   repeats explains;
 * bounds: a price at or below zero, a negative or infinite reading, a high below its low, a close outside a sound
   range, no volume with a positive amount;
+* a spike on the day of a lasting move shows in the distance from the row's own level, which such a move leaves alone;
 * volume is judged through what price and amount imply: ln(volume) - ln(amount / level); a high or low that a false
-  close carried along through what volume and amount imply.
+  close carried along through the price that volume and amount imply.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ FIELDS = ("high", "low", "close", "volume")
 class SpikeConfig:
     """block, halo: in units of the position; the halo must hold more rows than max_run and 2^levels.
     scale: multiples of the robust deviation that make a spike; jump, volume_jump: the least log distance of one;
-    lone_jump: the least one of a volume that has no amount to be held against.
+    row_jump: the least one from the row's own level; carry_scale, carry_jump: the same for fields of a row whose close
+    is false; lone_jump: the least one of a volume that has no amount, or no true close, to be held against.
     min_run, max_run: bounds of the shortest stuck run; alpha: expected false runs per block.
     """
 
@@ -47,8 +49,11 @@ class SpikeConfig:
     halo: int = 93
     levels: int = 3
     scale: float = 10.0
-    jump: float = 0.12
-    volume_jump: float = 0.3
+    jump: float = 0.06
+    row_jump: float = 0.2
+    carry_scale: float = 6.0
+    carry_jump: float = 0.03
+    volume_jump: float = 1.0
     lone_jump: float = 3.4
     min_run: int = 5
     max_run: int = 7
@@ -93,15 +98,25 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
             seen = np.where(now, np.nan, seen)
         spike[f] = hit
 
-    off_level, off_row = log["volume"] - log["amount"] + level, log["volume"] - log["amount"] + row_level
-    middle = np.nan_to_num(group_median(off_level, group, groups))[group]
-    deviation = 1.4826 * np.nan_to_num(group_median(np.abs(off_level), group, groups))[group]
-    by_amount = np.fmin(np.abs(off_level - middle), np.abs(off_row - middle)) > np.maximum(c.volume_jump, c.scale * deviation)
+    def robust(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance from the group's median, and the scale of that distance."""
+        off = np.abs(x - group_median(x, group, groups)[group])
+        return off, 1.4826 * np.nan_to_num(group_median(off, group, groups))[group]
+
+    beyond = {}  # distance from the price that amount and volume imply
+    for f in ("high", "low", "close"):
+        from_row, row_scale = robust(log[f] - row_level)
+        beyond[f] = robust(log[f] - implied)
+        off = np.fmin(from_row, beyond[f][0])
+        spike[f] |= off > np.maximum(c.row_jump, c.scale * row_scale)
+
+    # The volume that amount and price imply; the nearer of two price levels counts, as one may be false.
+    off_level, level_scale = robust(log["volume"] - log["amount"] + level)
+    off_volume = np.fmin(off_level, robust(log["volume"] - log["amount"] + row_level)[0])
     before, after = neighbours(log["volume"], group, 1)
     before, after = log["volume"] - before, log["volume"] - after
     usual = 1.4826 * np.nan_to_num(group_median(np.abs(before), group, groups))[group]
     alone = np.isnan(implied) & (np.sign(before) == np.sign(after)) & (np.minimum(np.abs(before), np.abs(after)) > np.maximum(c.lone_jump, c.scale * usual))
-    spike["volume"] = by_amount | alone
 
     h, lo, cl, v = (rows[f] for f in FIELDS)
     crossed = h < lo
@@ -112,18 +127,23 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
         "close": (cl <= 0) | np.isinf(cl) | (sound & ((cl > h) | (cl < lo))),
         "volume": (v < 0) | np.isinf(v) | ((v == 0) & (rows["amount"] > 0)),
     }
-    out = {}
+    out, stuck = {}, {}
     for f in FIELDS:
         length, begins, n, repeats = runs(rows[f], group, groups)
         # A run counts once among the repeats, so a stuck one doesn't excuse itself.
         n = np.maximum(n, 1)
         rate = np.clip(repeats / n, 1e-9, 0.9)
         needed = np.clip(np.ceil(np.log(n / c.alpha) / -np.log(rate)) + 1, c.min_run, c.max_run)
-        stuck = ~begins & (length >= needed[group])
-        out[f] = np.where(bounds[f], 1, np.where(spike[f], 2, np.where(stuck, 3, 0)))
-    trusted = (out["close"] > 0) & (out["volume"] == 0) & ~np.isnan(implied)
-    for f in ("high", "low"):
-        carried = trusted & (out[f] == 0) & (np.abs(log[f] - implied) > np.maximum(c.jump, c.scale * scale[f]))
+        stuck[f] = ~begins & (length >= needed[group])
+    spike["volume"] = alone | (off_volume > np.maximum(np.where(stuck["close"], c.lone_jump, c.volume_jump), c.scale * level_scale))
+    for f in FIELDS:
+        out[f] = np.where(bounds[f], 1, np.where(spike[f], 2, np.where(stuck[f], 3, 0)))
+    # A false close pulls the high up or the low down to itself, beyond the open.
+    toward = np.sign(log["close"] - implied)
+    from_open = {f: np.where(np.isnan(log["open"]), np.inf, np.abs(log[f] - log["open"])) for f in ("high", "low")}
+    for f, way in (("high", 1), ("low", -1)):
+        off, off_scale = beyond[f]
+        carried = (out["close"] > 1) & (out["volume"] == 0) & (out[f] == 0) & (toward == way) & (from_open[f] > c.carry_jump) & (off > np.maximum(c.carry_jump, c.carry_scale * off_scale))
         out[f] = np.where(carried, 2, out[f])
     return out
 
