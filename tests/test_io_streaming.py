@@ -61,3 +61,13 @@ def test_rate_limit_drops_the_excess(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "e"))
     out = online.drain(online.rate_limited(stream, "ts", "key", 4), "t4", new_path(spark, "s"))
     assert out.where("accepted").count() == 5 and out.count() == 11
+
+
+def test_instruments_ranges_and_trials(spark, tmp_path):
+    inst = spark.createDataFrame([("a", 1, 99991231), ("a", 1, 99991231), ("b", 1, 20000101), ("c", None, None)], "sid string, first_trading int, delist int")
+    assert [r.sid for r in io.live_instruments(inst, 20040101).collect()] == ["a"]
+    days = spark.createDataFrame([(20021231,), (20030601,), (20040601,), (20050101,)], "day int")
+    assert sorted((r.day, r.warm_up) for r in io.warm_range(days, "day", 20040101, 20041231).collect()) == [(20030601, True), (20040601, False)]
+    for s in (1.0, 2.0):
+        io.append_trial(spark, str(tmp_path / "t"), {"m": 1}, s)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2

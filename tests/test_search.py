@@ -40,3 +40,11 @@ def test_discovery_finds_the_shape_and_predicts(spark, planted, tmp_path):
 def test_configurations():
     assert S.SearchConfig(downsample=1, motif_minutes=360).problem() and S.SearchConfig().problem() is None
     assert S.draw_configs(5, 1) == S.draw_configs(5, 1) and all(c.problem() is None for c in S.draw_configs(20, 3))
+
+
+def test_second_generation(planted):
+    shape = (np.sin(np.linspace(0, 3 * np.pi, 12)) * 0.5).tolist()
+    cut = planted.withColumn("daily_curve", F.slice("daily_curve", 1, 12))
+    found = S.evaluate_whole_curves(cut, shape, 2, 3.0)
+    assert found["score"] in (0.0, 5.0, 50.0) and S.direction_score(0.01, 0.99, 1.0, 30) == 100 and S.direction_score(0.01, 0.12, -1.0, 12) == 5
+    assert S.guard(S.SearchConfig()) == (True, 0.0) and S.guard(S.SearchConfig(motif_minutes=30))[1] == -9999.0

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import motif_threshold, zero_if_not_finite
 from tidemark.kernels.dtw import band
 from tidemark.operators.motif import candidate_motifs, matrix_profile, series_windows, triggers
-from tidemark.operators.states import macro_terciles, return_bin, state_scores, transitions
-from tidemark.operators.stats import ladder, mann_whitney, normal_tail
+from tidemark.operators.states import macro_terciles, posterior, rank_bins, return_bin, state_scores, transitions
+from tidemark.operators.stats import ks_p, ks_statistic, ladder, mann_whitney, normal_tail
 from tidemark.operators.timeseries import joined_lags
 from tidemark.session import written
 
@@ -162,3 +162,43 @@ def walk_forward(years: list[int], panel_of, trials: int, seed: int = 0, downsam
             continue
         out.append((y, model, predict(panel_of(y, SearchConfig(**model["config"])), model)))
     return out
+
+
+def guard(config: SearchConfig, least: int = 8, most: int = 60) -> tuple[bool, float]:
+    """Whether a configuration may be tried, and the score that stands for a refusal."""
+    ok = config.problem() is None and least <= config.m <= most
+    return ok, 0.0 if ok else -9999.0
+
+
+def direction_score(p_greater: float, p_less: float, difference: float, m: int, penalty_m: int = 24) -> float:
+    """Second-generation score: the one-sided p on the side of the mean difference, 100 to .05 and 10 to .15, halved for
+    motifs shorter than ``penalty_m``."""
+    return ladder(p_greater if difference > 0 else p_less, strict=False) * (0.5 if m < penalty_m else 1.0)
+
+
+def evaluate_whole_curves(panel: DataFrame, motif: list[float], w: int, limit: float, horizons: tuple[int, ...] = (1, 2, 3), bins: int = 5, penalty_m: int = 24) -> dict:
+    """Second-generation model of a motif over whole curves of its length: the best horizon's score, its test values, and
+    the (macro state, return bin) counts of the triggers with one prior count.
+
+    ``panel``: day, sid, daily_curve, fwd_ret_<k>. Bins are equal-frequency per day. Fewer than five triggers score 0.
+    """
+    macro = macro_terciles(panel).select("day", "macro_state")
+    rows = written(panel.select("sid", "day", F.transform("daily_curve", zero_if_not_finite).alias("curve"), *[f"fwd_ret_{k}" for k in horizons]).join(macro, "day", "left"), "whole-curves")
+    best: dict = {"score": 0.0, "horizon": None, "triggers": 0}
+    for k in horizons:
+        ret = f"fwd_ret_{k}"
+        known = rank_bins(rows, "day", ret, bins, "sid")
+        hit = written(triggers(known, F.col("curve"), motif, w, limit, strict=True), "whole-triggers")
+        stats = hit.agg(F.count(ret).alias("n"), F.avg(ret).alias("mean")).first()
+        if stats["n"] < 5:
+            continue
+        both = hit.select(F.col(ret).alias("v"), F.lit(True).alias("first")).unionByName(known.select(F.col(ret).alias("v"), F.lit(False).alias("first")))
+        up = normal_tail(mann_whitney(both, "v", F.col("first")).first()["z"])
+        down = normal_tail(mann_whitney(both.withColumn("v", -F.col("v")), "v", F.col("first")).first()["z"])
+        ks = ks_statistic(both, "v", F.col("first")).first()
+        difference = stats["mean"] - known.agg(F.avg(ret)).first()[0]
+        score = direction_score(up, down, difference, len(motif), penalty_m)
+        if score > best["score"]:
+            counts = posterior(hit, "macro_state", "bin", 3, bins)
+            best = {"score": score, "horizon": k, "triggers": stats["n"], "p": min(up, down), "ks_p": ks_p(ks["d"], ks["n1"], ks["n2"]), "difference": difference, "counts": [r.asDict() for r in counts.collect()]}
+    return best

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.exprs import EPS, money_flow
+from tidemark.operators.globalrank import global_index
 
 
 def filled(column: str, keys: list[str], order: list[str], backward: bool = True) -> Column:
@@ -126,3 +127,9 @@ def wide_metrics(log: DataFrame, keys: list[str], name: str, value: str, order:
     wide = wide.select(*keys, *[F.col(f"`{n}`.v").alias(n) for n in names])
     w = W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, 0)
     return wide.select(*keys, *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names])
+
+
+def positional_concat(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """Columns of two tables side by side by position in their orders; the shorter one ends in nulls. Names must differ."""
+    left, right = global_index(a, [F.col(c) for c in order_a], "_i"), global_index(b, [F.col(c) for c in order_b], "_i")
+    return left.join(right, "_i", "full_outer").drop("_i")

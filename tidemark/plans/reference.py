@@ -595,6 +595,59 @@ def block_split(spark, d):
     return read(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("piece", "word")).withColumn("piece", F.col("piece").cast("bigint"))
 
 
+# Scans, curves and side-by-side tables
+
+
+@query("", "SELECT DISTINCT sid, first_trading, delist FROM instrument WHERE delist > 20050101")
+def instrument_live(spark, d):
+    return io.live_instruments(read(spark, d, "instrument"), 20050101)
+
+
+@query("daily_f", "SELECT sid, day, day < 20050101 AS warm_up FROM daily_f WHERE day BETWEEN 20040101 AND 20050630")
+def warm_range_scan(spark, d):
+    return io.warm_range(daily_f(spark, d), "day", 20050101, 20050630).select("sid", "day", "warm_up")
+
+
+@query("", "SELECT r_name, n_name FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) FULL OUTER JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) USING (i)")
+def positional_concat(spark, d):
+    a, b = read(spark, d, "region").select("r_name", "r_regionkey"), read(spark, d, "nation").select("n_name", "n_nationkey")
+    return TS.positional_concat(a, b, ["r_regionkey"], ["n_nationkey"]).select("r_name", "n_name")
+
+
+@query("panel_d", f"SELECT sid, day, round(list_max(z), 5) AS top, round(list_min(z), 5) AS bottom FROM (SELECT sid, day, {_Z.format('c')} AS z FROM (SELECT sid, day, list_transform(daily_curve, lambda x: CASE WHEN x IS NULL OR isnan(x) THEN 0 ELSE x END) AS c FROM panel_d))")
+def curve_znorm(spark, d):
+    z = finite_curves(spark, d).select("sid", "day", X.znorm(F.col("curve")).alias("z"))
+    return z.select("sid", "day", F.round(F.array_max("z"), 5).alias("top"), F.round(F.array_min("z"), 5).alias("bottom"))
+
+
+@query("", "WITH e AS (SELECT CAST(user_id % 3 AS INT) AS s, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS b FROM events WHERE value IS NOT NULL) SELECT i.r AS from_state, j.r AS to_state, (SELECT count(*) FROM e WHERE e.s = i.r AND e.b = j.r) AS n FROM (SELECT CAST(unnest(range(3)) AS INT) AS r) i, (SELECT CAST(unnest(range(4)) AS INT) AS r) j")
+def digitize_posterior(spark, d):
+    rows = read(spark, d, "events").select((F.col("user_id") % 3).cast("int").alias("state"), X.digitize(F.col("value"), F.array(F.lit(10.0), F.lit(50.0), F.lit(100.0))).alias("bin"))
+    return ST.posterior(rows, "state", "bin", 3, 4).select("from_state", "to_state", "n")
+
+
+@query("daily_f", "SELECT round(quantile_cont(close, 1 / 3.0), 4) AS linear_low, round(quantile_cont(close, 2 / 3.0), 4) AS linear_high, any_value(n.lo) AS near_low, any_value(n.hi) AS near_high FROM daily_f, (SELECT round(v[1 + CAST(round((len(v) - 1) / 3.0) AS INT)], 4) AS lo, round(v[1 + CAST(round((len(v) - 1) * 2 / 3.0) AS INT)], 4) AS hi FROM (SELECT list_sort(list(m)) AS v FROM (SELECT day, avg(close) AS m FROM daily_f GROUP BY day))) n")
+def quantile_modes(spark, d):
+    rows = daily_f(spark, d)
+    linear = rows.select(F.expr("round(percentile(close, 1D / 3), 4)").alias("linear_low"), F.expr("round(percentile(close, 2D / 3), 4)").alias("linear_high"))
+    lo, hi = ST.tercile_bounds(rows.groupBy("day").agg(F.avg("close").alias("m")), "m")
+    return linear.withColumn("near_low", F.round(F.lit(lo), 4)).withColumn("near_high", F.round(F.lit(hi), 4))
+
+
+@query("flow_bars panel_d", "SELECT sid, date_part('year', day) * 10000 + date_part('month', day) * 100 + date_part('day', day) AS day, round(c.total, 6) AS total, round(fwd_ret_1, 6) AS fwd_ret_1 FROM (SELECT sid, DATE '1970-01-01' + day AS day, sum(ofi_ratio) AS total FROM flow_bars GROUP BY sid, day) c JOIN panel_d USING (sid, day)")
+def curve_panel_join(spark, d):
+    curves = TS.daily_curves(TS.flow_ratio_bars(skeleton(spark, d)), length=48).withColumn("day", F.date_from_unix_date("day"))
+    rows = curves.select("sid", "day", F.round(X.array_sum(F.col("daily_curve")), 6).alias("total")).join(panel(spark, d).select("sid", "day", *r6("fwd_ret_1")), ["sid", "day"])
+    return rows.withColumn("day", F.date_format("day", "yyyyMMdd").cast("bigint"))
+
+
+@query()
+def research_panel(spark, d):
+    curves = panel(spark, d).select("sid", "day", "daily_curve", "curve_len")
+    daily = priced(spark, d).select("sid", F.col("date").alias("day"), "close")
+    return P.research_panel(curves, daily, 2)
+
+
 # Streams, drained over what is there
 
 

@@ -92,3 +92,21 @@ def latest_model(spark: SparkSession, path: str, year: int) -> dict | None:
         return None
     row = spark.read.parquet(path).where(F.col("year") <= year).orderBy(F.col("year").desc()).first()
     return None if row is None else {**row.asDict(), "config": json.loads(row["config"]), "network": json.loads(row["network"])}
+
+
+def live_instruments(instrument: DataFrame, start: int) -> DataFrame:
+    """(sid, first_trading, delist) of instruments not delisted by ``start`` (YYYYMMDD); exact duplicates collapse, an
+    instrument without a delisting date isn't known to live and is left out."""
+    return instrument.where(F.col("delist") > start).select("sid", "first_trading", "delist").distinct()
+
+
+def warm_range(df: DataFrame, day: str, start: int, end: int, warm: int = 10_000) -> DataFrame:
+    """Rows from ``warm`` before ``start`` (10000 is a year in YYYYMMDD) to ``end``, marked ``warm_up`` before ``start``.
+
+    Both bounds reach the scan. What is computed over the range is trimmed by ``warm_up`` afterwards."""
+    return df.where(F.col(day).between(start - warm, end)).withColumn("warm_up", F.col(day) < start)
+
+
+def append_trial(spark: SparkSession, path: str, config: dict, score: float) -> None:
+    """Add one tried configuration and its score to the trials table."""
+    spark.createDataFrame([(json.dumps(config, sort_keys=True), float(score))], "config string, metrics_score double").write.mode("append").parquet(path)
