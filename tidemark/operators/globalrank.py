@@ -18,3 +18,22 @@ def global_index(df: DataFrame, order: list[Column | str], name: str = "index")
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     within = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
     return ranged.withColumn("_within", within).join(offsets, "_range").withColumn(name, F.col("_offset") + F.col("_within")).drop("_range", "_within", "_offset")
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
+    """``df`` with running sums (inclusive) of columns along ``order`` within ``keys``; ``columns`` maps new name to column.
+
+    Rows are range-partitioned by (keys, order), summed within their range, and ranges of a key offset by the totals of
+    the ones before, so one key with most of the rows is many tasks' work. (keys, order) should identify a row. Nulls
+    count as 0.
+    """
+    ranged = written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    group = [*keys, "_range"]
+    sums = ranged.groupBy(*group).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_{n}") for n, c in columns.items()])
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*group, *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in columns])
+    inside = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in columns.items()])
+    same = [rows[g].eqNullSafe(offsets[g]) for g in group]
+    joined = rows.join(offsets, same)
+    return joined.select(*[rows[c] for c in df.columns], *[(rows[n] + offsets[f"_{n}"]).alias(n) for n in columns])

@@ -20,22 +20,28 @@ def residuals(bars: DataFrame, signal: str = "close", reset_daily: bool = False)
 
     ``signal``: close; vwap, amount / volume with close where volume is 0; vpt, close weighted by volume over the
     (sid, day) mean. A sid's first return is 0. The median of a minute is an aggregate joined back, not a window over
-    all sids of that minute.
+    all sids of that minute. Windows run within one (sid, day); only each day's last price and total run along a sid,
+    so a sid with most of the rows is many tasks' work.
     """
     price = F.col("close")
     if signal == "vwap":
         price = F.when(F.col("volume") > 0, F.try_divide("amount", "volume")).otherwise(price)
-    w = W.partitionBy("sid").orderBy("day", "minute_idx")
-    log = F.ln(F.when(price > 0, price))
-    out = bars.select("sid", "day", "minute_idx", "volume", log.alias("_l"))
-    out = out.withColumn("ret", F.coalesce(F.col("_l") - F.lag("_l").over(w), F.lit(0.0)))
+    day = W.partitionBy("sid", "day").orderBy("minute_idx")
+    days = W.partitionBy("sid").orderBy("day")
+    rows = bars.select("sid", "day", "minute_idx", "volume", F.ln(F.when(price > 0, price)).alias("_l"))
+    last = rows.groupBy("sid", "day").agg(F.max_by("_l", "minute_idx").alias("_last")).select("sid", "day", F.lag("_last").over(days).alias("_before"))
+    first = F.row_number().over(day) == 1
+    out = rows.join(last, ["sid", "day"]).withColumn("ret", F.coalesce(F.col("_l") - F.when(first, F.col("_before")).otherwise(F.lag("_l").over(day)), F.lit(0.0)))
     medians = out.groupBy("day", "minute_idx").agg(F.expr("percentile(ret, 0.5)").alias("_m"))
     out = out.join(medians, ["day", "minute_idx"]).withColumn("residual", F.col("ret") - F.col("_m"))
     if signal == "vpt":
         mean = F.avg("volume").over(W.partitionBy("sid", "day"))
         out = out.withColumn("residual", F.col("residual") * F.when(mean > 0, F.col("volume") / mean).otherwise(F.lit(1.0)))
-    running = (W.partitionBy("sid", "day") if reset_daily else W.partitionBy("sid")).orderBy("day", "minute_idx").rowsBetween(W.unboundedPreceding, 0)
-    return out.select("sid", "day", "minute_idx", "residual", F.sum("residual").over(running).alias("cum"))
+    out = out.select("sid", "day", "minute_idx", "residual", F.sum("residual").over(day.rowsBetween(W.unboundedPreceding, 0)).alias("cum"))
+    if reset_daily:
+        return out
+    offsets = out.groupBy("sid", "day").agg(F.sum("residual").alias("_s")).select("sid", "day", F.coalesce(F.sum("_s").over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_offset"))
+    return out.join(offsets, ["sid", "day"]).select("sid", "day", "minute_idx", "residual", (F.col("cum") + F.col("_offset")).alias("cum"))
 
 
 def eod_features(cum: DataFrame, prices: DataFrame, downsample: int = 5, m: int = 12, amplify: float = 1000.0, cutoff: int = 235, stale: int = 225, flat: float = 1e-5) -> DataFrame:

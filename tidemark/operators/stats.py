@@ -6,7 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from tidemark.operators.globalrank import running_sums
+from tidemark.operators.salting import spread_join
 
 
 def _counts(df: DataFrame, value: str, in_first: Column, keys: list[str]) -> DataFrame:
@@ -19,12 +21,11 @@ def mann_whitney(df: DataFrame, value: str, in_first: Column, keys: list[str] =
     """(keys, n1, n2, u, z): U of the first sample against the second, ties averaged, with continuity correction for
     the alternative that the first is greater. Null and NaN values don't count. z is null without variance.
 
-    Equal values are one row, so windows run over distinct values of a key.
+    Equal values are one row; positions are sums over ranges of values, so no task ranks a whole sample.
     """
-    c = _counts(df, value, in_first, list(keys))
-    upto = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     t = F.col("a") + F.col("b")
-    ranked = c.withColumn("rank", F.sum(t).over(upto) - t + (t + 1) / 2)
+    c = running_sums(_counts(df, value, in_first, list(keys)).withColumn("_t", t), list(keys), ["v"], {"_upto": "_t"})
+    ranked = c.withColumn("rank", F.col("_upto") - t + (t + 1) / 2)
     s = ranked.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum((t * t * t - t).cast("double")).alias("ties"))
     n = (F.col("n1") + F.col("n2")).cast("double")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -44,11 +45,11 @@ def ladder(p: float, strict: bool = True) -> float:
 
 def ks_statistic(df: DataFrame, value: str, in_first: Column, keys: list[str] = ()) -> DataFrame:
     """(keys, n1, n2, d): the greatest distance of the two empirical distributions."""
-    c = _counts(df, value, in_first, list(keys))
-    upto = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    d = F.abs(F.try_divide(F.sum("a").over(upto), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(upto), F.sum("b").over(whole)))
-    return c.withColumn("d", d).groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.max("d").alias("d"))
+    c = running_sums(_counts(df, value, in_first, list(keys)), list(keys), ["v"], {"_a": "a", "_b": "b"})
+    sizes = c.groupBy(*keys).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    both = spread_join(c.withColumn("_one", F.lit(1)), sizes.withColumn("_one", F.lit(1)), [*keys, "_one"])
+    d = F.abs(F.try_divide("_a", "n1") - F.try_divide("_b", "n2"))
+    return both.withColumn("d", d).groupBy(*keys, "n1", "n2").agg(F.max("d").alias("d"))
 
 
 def ks_p(d: float, n1: int, n2: int) -> float:

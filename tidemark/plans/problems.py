@@ -69,6 +69,16 @@ def p5_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(trailing(_amounts(spark, sf_dir), ["amount", "close"]))
 
 
+def p5_daily_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average close over both periods, rounded to eight digits."""
+    return p5_daily(spark, sf_dir).select("sid", "day", "close_n_7", "close_n_30", *[F.round(f"close_avg_{p}", 8).alias(f"close_avg_{p}") for p in (7, 30)])
+
+
+def p5_panel_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average vol_20d over both periods, rounded to eleven digits."""
+    return p5_panel(spark, sf_dir).select("sid", "day", "vol_20d_n_7", "vol_20d_n_30", *[F.round(f"vol_20d_avg_{p}", 11).alias(f"vol_20d_avg_{p}") for p in (7, 30)])
+
+
 def p5_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals and averages of vol_20d over 7 and 30 calendar days."""
     return _numbered(trailing(_vols(spark, sf_dir), ["vol_20d"]))
@@ -80,7 +90,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amount.unionByName(vol)
 
 
-QUERIES = {"p1_readings": p1_readings, "p1_found": p1_found, "p2_grid": p2_grid, "p2_found": p2_found, "p5_daily": p5_daily, "p5_panel": p5_panel, "p5_found": p5_found}
+QUERIES = {"p1_readings": p1_readings, "p1_found": p1_found, "p2_grid": p2_grid, "p2_found": p2_found, "p5_daily": p5_daily, "p5_panel": p5_panel, "p5_daily_averages": p5_daily_averages, "p5_panel_averages": p5_panel_averages, "p5_found": p5_found}
 
 _IN_FORCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, day ORDER BY recv_at DESC) AS rn FROM daily WHERE sid IS NOT NULL AND day IS NOT NULL) WHERE rn = 1"
 _DAYS = "CAST(strptime(CAST(day AS VARCHAR), '%Y%m%d') AS DATE)"
@@ -108,5 +118,7 @@ SQL = {
         u AS (SELECT DISTINCT sid, d, CAST(CASE WHEN mm >= 570 AND mm < 690 THEN mm - 570 WHEN mm >= 780 AND mm < 900 THEN mm - 660 END AS INT) AS minute_idx FROM m),
         g AS (SELECT sid, d, unnest(range(240)) AS minute_idx FROM (SELECT DISTINCT sid, d FROM u WHERE minute_idx IS NOT NULL))
         SELECT g.sid, CAST(strftime(DATE '1970-01-01' + g.d, '%Y%m%d') AS INT) AS day, CAST(g.minute_idx AS INT) AS minute_idx FROM g ANTI JOIN u ON g.sid = u.sid AND g.d = u.d AND g.minute_idx = u.minute_idx""",
+    "p5_daily_averages": _windows(_AMOUNT_ROWS, {"t": "c", "n": "CASE WHEN c IS NOT NULL THEN 1 ELSE 0 END"}, f"sid, {_NUMBER}, " + ", ".join(f"CAST(coalesce(n_{p}, 0) AS BIGINT) AS close_n_{p}, round(t_{p} / n_{p}, 8) AS close_avg_{p}" for p in (7, 30))),
+    "p5_panel_averages": _windows(_VOL_ROWS, {"t": "v", "n": "CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END"}, f"sid, {_NUMBER}, " + ", ".join(f"CAST(coalesce(n_{p}, 0) AS BIGINT) AS vol_20d_n_{p}, round(t_{p} / n_{p}, 11) AS vol_20d_avg_{p}" for p in (7, 30))),
     "p5_found": f"SELECT * FROM ({_AMOUNT_FOUND}) UNION ALL SELECT * FROM ({_VOL_FOUND})",
 }
