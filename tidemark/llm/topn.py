@@ -58,12 +58,12 @@ def top_n(df: DataFrame, group: list[str], score: str, ties: list[Column | str],
     kept: list[DataFrame] = []
     for k in range(len(bounds) + 1):
         rows = banded.where(F.col("_band") == k).drop("_band")
+        if state is not None:
+            rows = rows.join(state.where(F.col("_n") + F.col("_new") >= n).select(*group), group, "left_anti")
         counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_new"))
         if state is None:
             after = counts.select(*group, F.lit(0).cast("long").alias("_n"), "_new")
         else:
-            filled = state.where(F.col("_n") + F.col("_new") >= n).select(*group)
-            rows = rows.join(filled, group, "left_anti")
             # Groups filled before are carried along so that they stay filled.
             after = state.select(*group, (F.col("_n") + F.col("_new")).alias("_n")).join(counts, group, "full_outer").select(
                 *group, F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_new", F.lit(0)).alias("_new")
