@@ -202,3 +202,20 @@ def test_tail_bins_match_the_kernel(spark):
 
 def test_anchored_chain_stops_at_a_cycle():
     assert M.anchored_chain({5: 3, 3: 1, 1: 3}, 5) == [5, 3, 1] and M.anchored_chain({}, 2) == [2]
+
+
+def test_end_of_day_windows(spark):
+    rng = np.random.default_rng(6)
+    bars = [("a", d, i, float(rng.normal()), 10 + float(rng.normal())) for d in range(4) for i in range(240) if not (d == 2 and i > 200)]
+    cum = spark.createDataFrame([r[:4] for r in bars], "sid string, day int, minute_idx int, cum double")
+    price = spark.createDataFrame([(*r[:3], r[4]) for r in bars], "sid string, day int, minute_idx int, close double")
+    got = {r.day: r.curve for r in RS.eod_features(cum, price, 5, 60).collect()}
+    buckets = {}
+    for _, d, i, v, _p in bars:
+        if i <= 235:
+            buckets[d, -(-i // 5)] = v * 1000
+    order = sorted(buckets)
+    assert set(got) == {1, 3}
+    for d in got:
+        upto = [buckets[k] for k in order if k[0] <= d]
+        assert got[d] == pytest.approx(upto[-60:])

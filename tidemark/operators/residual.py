@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.exprs import array_mean
+
 
 def snapshot(bars: DataFrame, at: str, minute_of_day: str, cutoff: int = 895) -> DataFrame:
     """The last row of each (sid, day) at or before a minute of the day (14:55 is 895), all columns.
@@ -54,10 +56,16 @@ def eod_features(cum: DataFrame, prices: DataFrame, downsample: int = 5, m: int
     bucket = F.ceil((F.col("minute_idx") + F.lit(0)) / downsample).cast("int")
     last = F.max(F.struct("minute_idx", "cum", "close")).alias("r")
     b = rows.groupBy("sid", "day", bucket.alias("bucket")).agg(last).select("sid", "day", "bucket", F.col("r.minute_idx").alias("newest"), (F.col("r.cum") * amplify).alias("v"), F.col("r.close").alias("close"))
-    order = W.partitionBy("sid").orderBy("day", "bucket")
-    b = b.select(
-        "*", F.collect_list("v").over(order.rowsBetween(-(m - 1), 0)).alias("curve"), F.stddev_pop("close").over(order.rowsBetween(-2, 0)).alias("_sd"),
-        F.lead("day").over(order).alias("_next"),
-    )
-    ends = b.where(F.col("_next").isNull() | (F.col("_next") != F.col("day")))
+    # One row per day with its buckets in order, so that windows along a sid run over days and not over buckets.
+    ordered = F.sort_array(F.collect_list(F.struct("bucket", "newest", "v", "close")))
+    days = b.groupBy("sid", "day").agg(ordered.alias("b")).select("sid", "day", F.transform("b", lambda x: x["v"]).alias("v"), F.transform("b", lambda x: x["close"]).alias("p"), F.element_at("b", -1)["newest"].alias("newest"))
+    along = W.partitionBy("sid").orderBy("day")
+
+    def trailing(name: str, n: int) -> Column:
+        joined = F.flatten(F.collect_list(F.slice(F.col(name), F.greatest(F.size(name) - (n - 1), F.lit(1)), F.lit(n))).over(along.rowsBetween(-(n - 1), 0)))
+        return F.slice(joined, F.greatest(F.size(joined) - (n - 1), F.lit(1)), F.lit(n))
+
+    ends = days.select("sid", "day", "newest", trailing("v", m).alias("curve"), trailing("p", 3).alias("_p"))
+    mean = array_mean(F.col("_p"))
+    ends = ends.withColumn("_m", mean).withColumn("_sd", F.sqrt(F.aggregate("_p", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / F.size("_p")))
     return ends.where((F.size("curve") == m) & (F.col("newest") >= stale) & (F.col("_sd") >= flat)).select("sid", "day", "curve")

@@ -41,7 +41,7 @@ class SpikeConfig:
     """block, halo: in units of the position; the halo must hold more rows than max_run and 2^levels.
     scale: multiples of the robust deviation that make a spike; jump, volume_jump: the least log distance of one;
     row_jump: the least one from the row's own level; carry_scale, carry_jump: the same for fields of a row whose close
-    is false; lone_jump: the least one of a volume that has no amount, or no true close, to be held against.
+    is false; lone_scale, lone_jump: the same for a volume that has no amount, or no true close, to be held against.
     min_run, max_run: bounds of the shortest stuck run; alpha: expected false runs per block.
     """
 
@@ -54,6 +54,7 @@ class SpikeConfig:
     carry_scale: float = 6.0
     carry_jump: float = 0.03
     volume_jump: float = 1.0
+    lone_scale: float = 6.0
     lone_jump: float = 3.4
     min_run: int = 5
     max_run: int = 7
@@ -116,7 +117,7 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
     before, after = neighbours(log["volume"], group, 1)
     before, after = log["volume"] - before, log["volume"] - after
     usual = 1.4826 * np.nan_to_num(group_median(np.abs(before), group, groups))[group]
-    alone = np.isnan(implied) & (np.sign(before) == np.sign(after)) & (np.minimum(np.abs(before), np.abs(after)) > np.maximum(c.lone_jump, c.scale * usual))
+    alone = np.isnan(implied) & (np.sign(before) == np.sign(after)) & (np.minimum(np.abs(before), np.abs(after)) > np.maximum(c.lone_jump, c.lone_scale * usual))
 
     h, lo, cl, v = (rows[f] for f in FIELDS)
     crossed = h < lo
@@ -151,17 +152,18 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
 def implausible_readings(df: DataFrame, source: str, time: str, position: Column, config: SpikeConfig = SpikeConfig()) -> DataFrame:
     """Readings that can't be real, as rows (source, time, field, value, reason).
 
-    ``df`` has one row per (source, time) with numeric columns open, high, low, close, volume and amount;
-    ``position`` maps time to a number that rises with it. Rows with volume 0 and amount 0 are pauses and are left
-    out. Null and NaN readings are no cases and are skipped over by runs and details. Rows with a null source or
-    time are ignored. Other columns are ignored, so their names can't clash. An empty table gives no rows.
-    Reasons: ``bounds``, ``spike``, ``stuck``; a field reported for several reasons comes once, with the first.
+    ``df`` has one row per (source, time) with numeric columns open, high, low, close, volume and amount; ``position``
+    maps time to a number that rises with it. Rows with volume 0 and amount 0, or one of them 0 and the other unknown,
+    are pauses and are left out. Null and NaN readings are no cases and are skipped over by runs and details. Rows with
+    a null source or time are ignored. Other columns are ignored, so their names can't clash. An empty table gives no
+    rows. Reasons: ``bounds``, ``spike``, ``stuck``; a field reported for several reasons comes once, with the first.
     """
     c = config
     numbers = ("open", "high", "low", "close", "volume", "amount")
     rows = df.select(
         F.col(source).alias("_s"), F.col(time).alias("_t"), position.alias("_p"), *[F.col(x).cast("double").alias(x) for x in numbers]
-    ).where("_s is not null and _t is not null and _p is not null and not (volume <=> 0D and amount <=> 0D)")
+    ).where("_s is not null and _t is not null and _p is not null")
+    rows = rows.where(~F.coalesce(F.least("volume", "amount") == 0, F.lit(False)) | F.coalesce(F.greatest("volume", "amount") != 0, F.lit(False)))
     first, last = F.floor((F.col("_p") - c.halo) / c.block), F.floor((F.col("_p") + c.halo) / c.block)
     blocks = rows.withColumn("_b", F.explode(F.sequence(first, last))).withColumn("_own", F.floor(F.col("_p") / c.block) == F.col("_b")).drop("_p")
     types = {x.name: x.dataType for x in blocks.schema}
