@@ -461,6 +461,7 @@ def eod_feature_window(spark, d):
 @query("", "SELECT date_trunc('hour', ts) AS hour, " + ", ".join(f"round(max(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in ("click", "view")) + " FROM events GROUP BY 1")
 def pivot_metric_max(spark, d):
     rows = read(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    rows = rows.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
     return rows.groupBy("hour").pivot("event_type", ["click", "view"]).agg(F.round(F.max("value"), 6))
 
 
@@ -656,7 +657,7 @@ def _events(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("", "SELECT CAST(user_id % 3 AS INT) AS state, sum(n) + 4 AS total FROM (SELECT user_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id) GROUP BY 1")
+@query("", "SELECT CAST(user_id % 3 AS INT) AS state, CAST(sum(n) + 4 AS BIGINT) AS total FROM (SELECT user_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id) GROUP BY 1")
 def stream_event_posterior(spark, d):
     bin_ = X.digitize(F.col("value"), F.array(F.lit(10.0), F.lit(50.0), F.lit(100.0)))
     rows = _events(spark, d).select((F.col("user_id") % 3).cast("int").alias("state"), bin_.alias("bin"))
