@@ -111,7 +111,7 @@ _CUTOFFS = _MONTHS + """, b AS (
     s AS (SELECT month_id, count(*) AS scored FROM r GROUP BY month_id),
     hit AS (SELECT b.* FROM b JOIN s USING (month_id) JOIN n USING (month_id) WHERE above < least(floor(0.8 * n.n), scored) AND least(floor(0.8 * n.n), scored) <= above + ties)
     SELECT n.month_id, n.n AS records, cutoff, coalesce(above + (ties + 1) / 2.0 <= 0.8 * n.n, false) AS inclusive, coalesce(above + CASE WHEN above + (ties + 1) / 2.0 <= 0.8 * n.n THEN ties ELSE 0 END, 0) AS kept FROM n LEFT JOIN hit USING (month_id)"""
-_TOP = """SELECT sid, score_id, fsm_score, day, place FROM (
+_TOP = """SELECT sid, score_id, fsm_score, day, CAST(place AS INT) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY sid ORDER BY fsm_score DESC, day, score_id) AS place
     FROM (SELECT DISTINCT sid, score_id, day, fsm_score FROM scores WHERE sid IS NOT NULL AND day IS NOT NULL AND fsm_score IS NOT NULL AND NOT isnan(fsm_score))) WHERE place <= 5"""
 SQL: dict[str, str] = {

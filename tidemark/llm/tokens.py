@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,14 +15,16 @@ VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=4)
 def encoder(vocabulary: str):
-    """The encoder of a rank file, loaded once per worker."""
+    """The encoder of a rank file, loaded once per worker process: it is kept on the library, as functions come by value."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    kept = tiktoken.__dict__.setdefault("_kept_encoders", {})
+    if vocabulary not in kept:
+        with open(vocabulary, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        kept[vocabulary] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return kept[vocabulary]
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
