@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark.plans import catalog
@@ -12,7 +13,7 @@ from tidemark.plans import catalog
 
 def canonical(frame):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         if isinstance(v, str):
             return v
