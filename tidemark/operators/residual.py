@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.exprs import array_mean
+from tidemark.session import written
 
 
 def snapshot(bars: DataFrame, at: str, minute_of_day: str, cutoff: int = 895) -> DataFrame:
@@ -30,7 +31,7 @@ def residuals(bars: DataFrame, signal: str = "close", reset_daily: bool = False)
         price = F.when(F.col("volume") > 0, F.try_divide("amount", "volume")).otherwise(price)
     day = W.partitionBy("sid", "day").orderBy("minute_idx")
     days = W.partitionBy("sid").orderBy("day")
-    rows = bars.select("sid", "day", "minute_idx", "volume", F.ln(F.when(price > 0, price)).alias("_l"))
+    rows = written(bars.select("sid", "day", "minute_idx", "volume", F.ln(F.when(price > 0, price)).alias("_l")), "log-prices")
     last = rows.groupBy("sid", "day").agg(F.max_by("_l", "minute_idx").alias("_last")).select("sid", "day", F.lag("_last").over(days).alias("_before"))
     first = F.row_number().over(day) == 1
     out = rows.join(last, ["sid", "day"]).withColumn("ret", F.coalesce(F.col("_l") - F.when(first, F.col("_before")).otherwise(F.lag("_l").over(day)), F.lit(0.0)))
@@ -42,6 +43,7 @@ def residuals(bars: DataFrame, signal: str = "close", reset_daily: bool = False)
     out = out.select("sid", "day", "minute_idx", "residual", F.sum("residual").over(day.rowsBetween(W.unboundedPreceding, 0)).alias("cum"))
     if reset_daily:
         return out
+    out = written(out, "residuals")
     offsets = out.groupBy("sid", "day").agg(F.sum("residual").alias("_s")).select("sid", "day", F.coalesce(F.sum("_s").over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_offset"))
     return out.join(offsets, ["sid", "day"]).select("sid", "day", "minute_idx", "residual", (F.col("cum") + F.col("_offset")).alias("cum"))
 

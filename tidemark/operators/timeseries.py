@@ -39,14 +39,22 @@ def minute_bars(ticks: DataFrame) -> DataFrame:
 
 
 def minute_skeleton(bars: DataFrame, minutes: int = 240) -> DataFrame:
-    """Every minute of each (sid, day) that has a bar. close is filled forward, then backward, within the day; open,
+    """Every minute of each (sid, day) that has a bar; one bar per minute. close is filled forward, then backward, within the day; open,
     high and low of an empty minute are its close; volume and amount 0. Minutes outside the session are dropped."""
+    # Each bar fills the minutes up to the next one, the first also those before it: no join and no window over the grid.
     inside = bars.where(F.col("minute_idx").between(0, minutes - 1))
-    grid = inside.select("sid", "day").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))).alias("minute_idx"))
-    joined = grid.join(inside, ["sid", "day", "minute_idx"], "left").withColumn("close", filled("close", ["sid", "day"], ["minute_idx"]))
-    return joined.select(
-        "sid", "day", "minute_idx", *[F.coalesce(c, "close").alias(c) for c in ("open", "high", "low")], "close", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("volume", "amount")]
+    day = W.partitionBy("sid", "day").orderBy("minute_idx")
+    whole = day.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    held = F.coalesce(F.last("close", True).over(day.rowsBetween(W.unboundedPreceding, 0)), F.first("close", True).over(whole))
+    spans = inside.select(
+        "sid", "day", F.col("minute_idx").alias("_at"), "open", "high", "low", held.alias("close"), "volume", "amount", F.lead("minute_idx").over(day).alias("_to"), (F.row_number().over(day) == 1).alias("_first")
     )
+    minute = F.explode(F.sequence(F.when(F.col("_first"), F.lit(0)).otherwise(F.col("_at")), F.coalesce(F.col("_to") - 1, F.lit(minutes - 1))))
+    seen = F.col("_at") == F.col("minute_idx")
+    return spans.select("*", minute.alias("minute_idx")).select(
+        "sid", "day", "minute_idx", *[F.coalesce(F.when(seen, F.col(c)), "close").alias(c) for c in ("open", "high", "low")], "close",
+        *[F.coalesce(F.when(seen, F.col(c)), F.lit(0.0)).alias(c) for c in ("volume", "amount")],
+    )
 
 
 def flow_ratio_bars(skeleton: DataFrame, downsample: int = 5) -> DataFrame:
