@@ -116,8 +116,9 @@ def regular_grid(readings: DataFrame, config: GridConfig = GridConfig()) -> Data
     usable = readings.where(F.col("source").isNotNull() & F.col("day").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y") & F.col("slot").between(0, c.slots - 1))
     days = written(day_cells(usable, c), "grid-days")
     salts = F.explode(F.sequence(F.lit(0), F.lit(c.salt - 1)))
+    # Copies for every salt outgrow the size that Spark sees, so they are never broadcast.
     beta = fitted_terms(days, c).select("source", "beta", salts.alias("salt"))
-    joined = days.select("source", "day", "cells", F.pmod(F.hash("day"), F.lit(c.salt)).alias("salt")).join(beta, ["source", "salt"])
+    joined = days.select("source", "day", "cells", F.pmod(F.hash("day"), F.lit(c.salt)).alias("salt")).join(beta.hint("merge"), ["source", "salt"])
 
     def predicted(slot: Column) -> Column:
         terms = _basis(F.col("day").cast("double"), slot.cast("double"), c)

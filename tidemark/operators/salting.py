@@ -18,9 +18,10 @@ def spread_join(big: DataFrame, per_key: DataFrame, keys: list[str], parts: int
     """Join ``big`` with ``per_key`` (at most one row per key) on ``keys``, each key's rows spread over ``parts`` tasks.
 
     The salt of a row is drawn from all its columns, so repeated rows stay together but different ones part. Null
-    keys match nothing, as in any equi-join. Column names other than the keys must differ.
+    keys match nothing, as in any equi-join. Column names other than the keys must differ. The copies outgrow the size
+    that Spark sees, so they are never broadcast.
     """
     salt = fresh("_salt", big, per_key)
     salted = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(parts)).cast("int"))
     copies = per_key.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return salted.join(copies, [*keys, salt], how).drop(salt)
+    return salted.join(copies.hint("merge"), [*keys, salt], how).drop(salt)
