@@ -59,3 +59,26 @@ def test_doubtful_endings_count_at_limits_only(spark):
     assert {(r.source, r.length) for r in limits.collect()} == {("a", 1000)}
     empty, none = truncated(spark.createDataFrame([], SCHEMA))
     assert empty.count() == 0 and none.count() == 0
+
+
+CLOSED_PART = [
+    "Text.\n\\begin{figure}\n\\caption{A.}\n\\end{figure}", "So\n\\begin{equation}\nx=1\n\\end{equation}\n", "So \\[ x=1 \\]", "So $$x=1$$", "Text.\n\\input{sections/one}", "\\title{A}\n\\maketitle",
+    "Text.\n\nDepartment of Physics, University of Somewhere, 12345 Town, Country", "Text.\n\nA. Author, a.author@example.org", "as shown by Author et al.", "with x = 0.", "pages 12--17.",
+]
+OPEN_PART = ["Text\\footnote{As shown.", "we get \\[ x = 1.", "so \\(x.", "a\\\\{b.", "\\emph{One. Two."]
+STILL_WHOLE = ["The set \\{1, 2\\} is small.", "a \\\\[2pt] b.", "\\{ alone.", "so \\(x\\) and \\[y\\] hold.", "the total."]
+
+
+@pytest.mark.parametrize(("texts", "expected"), [(CLOSED_PART, 1), (OPEN_PART, 2), (STILL_WHOLE, 0)])
+def test_closed_parts_are_doubtful_and_open_groups_broken(spark, texts, expected):
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ending(F.col("t")).alias("e")).collect()
+    assert [(r.t, r.e) for r in got if r.e != expected] == []
+
+
+def test_hazards_decide_closed_parts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "x" * int(n - 1) + ".", "a", "", 0) for i, n in enumerate(rng.integers(500, 3000, 400))]
+    ends = ["by Author et al.", "so x = 0.", "\n\\input{sections/one}", " so \\[ x=1 \\]"]
+    rows += [(1000 + i, ("y" * 2000 + ends[i % 4])[-1000:], "a", "", 0) for i in range(32)] + [(2000 + i, "y" * 200 + "." + e, "a", "", 0) for i, e in enumerate(ends)]
+    judged, _ = truncated(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r.doc_id for r in judged.where("cut").collect()) == [*range(1000, 1032)]

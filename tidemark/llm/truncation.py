@@ -29,6 +29,12 @@ ELLIPSIS = r"(?:\.\.\.|…|\[\.\.\.\]|\[…\])$"
 KEYWORD_LINE = r"(?:^|\n)[^\n]{0,5}(?:Keywords?|Key words|Index terms|Mots[- ]cl[ée]s|Schlagw[öo]rter|Ключевые слова|关键词)\s*[:：][^\n]*$"
 CLOSED = r"(?:\\endinput|\\end\{document\}|\\end\{thebibliography\}|\\bye|\\bibliography\{[^{}]*\}|\\printbibliography)$"
 HEADING = r"(?:^|\n)\\(?:part|chapter|section|subsection|subsubsection|paragraph|appendix|title|author|date|label)\*?(?:\{[^{}\n]*\})?(?:\\label\{[^{}\n]*\})?$"
+# Marks that close a part of a text, which may be its last one or lie before a cut.
+PART_END = r"(?:\\end\{[^{}\n]*\}|\\\]|\$\$)$"
+COMMAND_LINE = r"(?:^|\n)[ \t]*\\(?:maketitle|tableofcontents|listoffigures|listoftables|newpage|clearpage|cleardoublepage|pagebreak|appendix|balance|printindex|bibliographystyle|input|include|address|affiliation|affil|institute|email|thanks)\*?(?:\[[^\]\n]*\])?(?:\{[^\n]*\})?$"
+ADDRESS_LINE = r"(?:^|\n)[^\n]*(?:\S@[\w-]+(?:\.[\w-]+)*\.\p{L}{2,}|(?:Universit|Institut|Department|D[ée]partement|Laborator|Facult|Fakult|Academy|Akademie|Университет|Институт)[^\n.!?]*,[ ~]*\p{Lu}[\p{L} -]*|(?:大学|研究所)[^\n。！？]*)$"
+# A full stop that may be the point of a cut number or belong to 'et al.'.
+OPEN_STOP = r"(?:\d|(?:^|[\s~({])al)\.$"
 
 
 def normal_source(source: Column) -> Column:
@@ -39,23 +45,26 @@ def ending(text: Column) -> Column:
     """How a text ends: 0 whole, 1 open to doubt, 2 broken off; null for a null or blank text.
 
     Comments are left out, so drafts in them don't count; whatever follows an uncommented end of the document is not
-    looked at. Broken off is an ending inside a formula or environment, in a replacement character or an ellipsis
-    that stands for missing text, after an abbreviation, or in running text without the end of a sentence. A line of
-    key words or a heading may be an end or a cut, which is open to doubt. The whole text is read.
+    looked at. Broken off is an ending inside a formula, environment or group in braces, in a replacement character or
+    an ellipsis that stands for missing text, after an abbreviation, or in running text without the end of a sentence.
+    Open to doubt is what may be an end or a cut: a line of key words, a heading, an address or a layout command, the
+    end of an environment or displayed formula, and a full stop after a digit or 'al'. The whole text is read.
     """
     blank = F.lit(" \t\r\n\f\v\u00a0\u3000")
     plain = F.rtrim(F.regexp_replace(text, F.lit(r"(?<!\\)%[^\n]*"), F.lit("")), blank)
     tail = F.substring(plain, -400, 400)  # only for the marks at the very end; counts below run over the whole text
-    dollars = F.length(F.regexp_replace(F.regexp_replace(plain, F.lit(r"\\\\|\\\$"), F.lit("")), F.lit(r"[^$]+"), F.lit("")))
+    bare = F.regexp_replace(plain, F.lit(r"\\\\|\\[${}]"), F.lit(""))
+    count = lambda mark: F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit(mark[1:])))
     opened = F.regexp_count(plain, F.lit(r"\\begin\{(?!document\})")) - F.regexp_count(plain, F.lit(r"\\end\{(?!document\})"))
-    is_open = (dollars % 2 == 1) | (opened > 0)
+    is_open = (count("$") % 2 == 1) | (opened > 0) | (count("{") > count("}")) | (count("\\[") > count("\\]")) | (count("\\(") > count("\\)"))
     return (
         F.when(text.isNull() | (F.length(F.rtrim(text, blank)) == 0), F.lit(None).cast("int"))
         .when(plain.contains("\\end{document}") | tail.rlike(CLOSED), 0)
         .when(F.length(plain) == 0, 0)
         .when(is_open | tail.endswith("\ufffd") | tail.rlike(ELLIPSIS) | tail.rlike(ABBREVIATION), 2)
+        .when(tail.rlike(OPEN_STOP), 1)
         .when(tail.rlike(SENTENCE_END), 0)
-        .when(tail.rlike(KEYWORD_LINE) | tail.rlike(HEADING), 1)
+        .when(tail.rlike(KEYWORD_LINE) | tail.rlike(HEADING) | tail.rlike(PART_END) | tail.rlike(COMMAND_LINE) | tail.rlike(ADDRESS_LINE), 1)
         .otherwise(2)
     )
 
