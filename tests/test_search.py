@@ -48,3 +48,21 @@ def test_second_generation(planted):
     found = S.evaluate_whole_curves(cut, shape, 2, 3.0)
     assert found["score"] in (0.0, 5.0, 50.0) and S.direction_score(0.01, 0.99, 1.0, 30) == 100 and S.direction_score(0.01, 0.12, -1.0, 12) == 5
     assert S.guard(S.SearchConfig()) == (True, 0.0) and S.guard(S.SearchConfig(motif_minutes=30))[1] == -9999.0
+
+
+def test_profile_queries_compare_all_sids(spark, data, planted, monkeypatch):
+    from tidemark.plans import reference as R
+
+    few = planted.where("day < '2004-01-04'")
+    monkeypatch.setattr(R, "panel", lambda spark, d: few)
+    z = lambda w: (w - w.mean()) / (w.std() + 1e-8)
+    wins = [(f"{r.sid}|{r.day}", i, z(np.array(r.daily_curve[i : i + 12]))) for r in few.collect() for i in range(37)]
+    all_w = np.stack([w for *_, w in wins])
+    least = {}
+    for s, i, w in wins:
+        d = np.sqrt(((all_w - w) ** 2).sum(1))
+        least[s, i] = min(x for x, (t, j, _) in zip(d, wins) if t != s or abs(i - j) > 3)
+    got = R.matrix_profile(spark, data).collect()
+    assert len(got) == len(wins) and all(r.distance == pytest.approx(least[r.series, r.pos], abs=1e-6) and r.sid == r.series.split("|")[0] for r in got)
+    top = R.motif_topk(spark, data).orderBy("distance").first()
+    assert top.distance == pytest.approx(min(least.values()), abs=1e-6)

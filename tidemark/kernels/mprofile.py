@@ -6,17 +6,34 @@ import numpy as np
 
 from tidemark.kernels.dtw import znorm
 
+#: Distances held at once.
+STRIP = 1 << 20
+
 
 def block_minima(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at: np.ndarray, left_series: np.ndarray, right_series: np.ndarray, exclusion: int) -> tuple[np.ndarray, np.ndarray]:
     """For each left window the least distance to a right window, and that window's row; windows of one series closer
     than ``exclusion`` don't match. inf and -1 without a match."""
     a, b = znorm(left), znorm(right)
-    d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-    near = (left_series[:, None] == right_series[None, :]) & (np.abs(left_at[:, None] - right_at[None, :]) <= exclusion)
-    d2[near] = np.inf
-    best = d2.argmin(axis=1)
-    least = d2[np.arange(len(a)), best]
-    return np.sqrt(least), np.where(np.isfinite(least), best, -1)
+    # One product gives the squared distances: |a|^2 + |b|^2 - 2ab. A strip of left windows is held at a time.
+    one = np.ones((len(b), 1))
+    wide = np.ascontiguousarray(np.hstack([b, one, (b * b).sum(1)[:, None]]).T)
+    order = np.argsort(right_series, kind="stable")
+    first, end = (np.searchsorted(right_series[order], left_series, side) for side in ("left", "right"))
+    best = np.empty(len(a), np.int64)
+    found = np.empty(len(a), bool)
+    step = max(1, STRIP // max(1, len(b)))
+    for at in range(0, len(a), step):
+        x = a[at : at + step]
+        d2 = np.hstack([-2 * x, (x * x).sum(1)[:, None], np.ones((len(x), 1))]) @ wide
+        n = (end - first)[at : at + step]
+        row = np.repeat(np.arange(len(x)), n)
+        col = order[np.repeat(first[at : at + step] - np.cumsum(n) + n, n) + np.arange(len(row))]
+        near = np.abs(left_at[at + row] - right_at[col]) <= exclusion
+        d2[row[near], col[near]] = np.inf
+        best[at : at + step] = d2.argmin(axis=1)
+        found[at : at + step] = np.isfinite(d2[np.arange(len(x)), best[at : at + step]])
+    # Of the pairs kept the distance is taken again, without cancellation.
+    return np.where(found, np.sqrt(((a - b[best]) ** 2).sum(1)), np.inf), np.where(found, best, -1)
 
 
 def top_candidates(distance: np.ndarray, m: int, k: int, limit: float, trivial: float = 1e-5) -> list[int]:

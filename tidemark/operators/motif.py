@@ -53,7 +53,7 @@ def series_windows(curves: DataFrame, series: list[str], curve: str, m: int) ->
     return rows.where(~F.exists("window", lambda x: x.isNull() | F.isnan(x)))
 
 
-def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, within: list[str] = (), exclusion: int | None = None, block: int = 2048) -> DataFrame:
+def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, within: list[str] = (), exclusion: int | None = None, block: int = 16384) -> DataFrame:
     """(within, series, pos, distance, nn_series, nn_pos): of each window the nearest other one, z-normalised.
 
     Windows match windows of the same ``within`` group (all, by default); those of one series within ``exclusion`` (a

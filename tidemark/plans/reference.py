@@ -412,14 +412,16 @@ SQL["dtw_band_1"] = SQL_BAND_1
 
 @query()
 def matrix_profile(spark, d):
-    return M.matrix_profile(finite_curves(spark, d), ["sid", "day"], "curve", 12, within=["sid"]).select("sid", "series", "pos", *r6("distance"))
+    profile = M.matrix_profile(finite_curves(spark, d), ["sid", "day"], "curve", 12)
+    # A series is named sid|day.
+    return profile.select(F.regexp_replace("series", r"\|[^|]*$", "").alias("sid"), "series", "pos", *r6("distance"))
 
 
 @query()
 def motif_topk(spark, d):
     from tidemark.session import written
 
-    profile = written(M.matrix_profile(finite_curves(spark, d), ["sid", "day"], "curve", 12, within=["sid"]), "profile")
+    profile = written(M.matrix_profile(finite_curves(spark, d), ["sid", "day"], "curve", 12), "profile")
     picks = M.candidate_motifs(profile, 12)
     return spark.createDataFrame(picks, "series string, pos int, distance double")
 
