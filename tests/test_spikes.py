@@ -81,3 +81,17 @@ def test_kernels():
     assert np.array_equal(group_median(x, g, 3), [2, 8, np.nan], equal_nan=True)
     length, begins, n, repeats = runs(np.array([1.0, 1, np.nan, 1, 2, 2]), g, 2)
     assert length.tolist() == [3, 3, 0, 3, 2, 2] and begins.tolist() == [True, False, False, False, True, False] and n.tolist() == [3, 2] and repeats.tolist() == [1, 1]
+
+
+def test_small_false_volumes_are_judged_by_the_sid_s_own_scale(spark):
+    rows = series()
+    for i, r in enumerate(rows):
+        r[7] *= 5000 / r[6] * (1 + 0.02 * (i % 5))
+        r[6] = 5000.0 * (1 + 0.02 * (i % 5)) + i * 0.01
+    rows[30][6] *= 2
+    rows[60][6] *= 0.5
+    rows[90][6] *= 1.4
+    rows[91][6] *= 1.4
+    rows[120][6] *= 10
+    rows[120][7] = None
+    assert {k[1] - 20200000 for k in found(spark, rows) if k[2] == "volume"} == {30, 60, 90, 91, 120}

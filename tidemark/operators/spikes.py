@@ -14,7 +14,8 @@ sort bring the rows of a block together; a NumPy kernel then works on many block
 * bounds: a price at or below zero, a negative or infinite reading, a high below its low, a close outside a sound
   range, no volume with a positive amount;
 * a spike on the day of a lasting move shows in the distance from the row's own level, which such a move leaves alone;
-* volume is judged through what price and amount imply: ln(volume) - ln(amount / level); a high or low that a false
+* volume is judged through what price and amount imply: details of ln(volume) - ln(amount / level) and its distance from
+  the median, against its own scale, of ln(volume) where amount is missing; a high or low that a false
   close carried along through the price that volume and amount imply.
 """
 
@@ -41,7 +42,7 @@ class SpikeConfig:
     """block, halo: in units of the position; the halo must hold more rows than max_run and 2^levels.
     scale: multiples of the robust deviation that make a spike; jump, volume_jump: the least log distance of one;
     row_jump: the least one from the row's own level; carry_scale, carry_jump: the same for fields of a row whose close
-    is false; lone_scale, lone_jump: the same for a volume that has no amount, or no true close, to be held against.
+    is false; lone_scale: the same for a volume that has no amount; lone_jump: the least one for a volume beside a stuck close.
     min_run, max_run: bounds of the shortest stuck run; alpha: expected false runs per block.
     """
 
@@ -53,7 +54,7 @@ class SpikeConfig:
     row_jump: float = 0.2
     carry_scale: float = 6.0
     carry_jump: float = 0.03
-    volume_jump: float = 1.0
+    volume_jump: float = 0.1
     lone_scale: float = 6.0
     lone_jump: float = 3.4
     min_run: int = 5
@@ -104,6 +105,13 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
         off = np.abs(x - group_median(x, group, groups)[group])
         return off, 1.4826 * np.nan_to_num(group_median(off, group, groups))[group]
 
+    def details(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The smaller of the details of level 0 on both sides where they agree in sign, and their scale."""
+        before, after = neighbours(x, group, 1)
+        before, after = x - before, x - after
+        size = 1.4826 * np.nan_to_num(group_median(np.abs(before), group, groups))[group]
+        return np.where(np.sign(before) == np.sign(after), np.minimum(np.abs(before), np.abs(after)), 0), size
+
     beyond = {}  # distance from the price that amount and volume imply
     for f in ("high", "low", "close"):
         from_row, row_scale = robust(log[f] - row_level)
@@ -111,13 +119,14 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
         off = np.fmin(from_row, beyond[f][0])
         spike[f] |= off > np.maximum(c.row_jump, c.scale * row_scale)
 
-    # The volume that amount and price imply; the nearer of two price levels counts, as one may be false.
-    off_level, level_scale = robust(log["volume"] - log["amount"] + level)
-    off_volume = np.fmin(off_level, robust(log["volume"] - log["amount"] + row_level)[0])
-    before, after = neighbours(log["volume"], group, 1)
-    before, after = log["volume"] - before, log["volume"] - after
-    usual = 1.4826 * np.nan_to_num(group_median(np.abs(before), group, groups))[group]
-    alone = np.isnan(implied) & (np.sign(before) == np.sign(after)) & (np.minimum(np.abs(before), np.abs(after)) > np.maximum(c.lone_jump, c.lone_scale * usual))
+    # The volume that amount and price imply; the nearer of two price levels counts, as one may be false. The ratio has no
+    # lasting moves, so its distance from the median finds what its details find and false volumes side by side, too.
+    ratio = log["volume"] - log["amount"]
+    off_level, level_scale = robust(ratio + level)
+    off_volume = np.fmin(off_level, robust(ratio + row_level)[0])
+    volume_detail, detail_scale = details(np.where(np.isnan(ratio), np.nan, ratio + level))
+    lone_detail, usual = details(log["volume"])
+    alone = np.isnan(implied) & (lone_detail > np.maximum(c.volume_jump, c.lone_scale * usual))
 
     h, lo, cl, v = (rows[f] for f in FIELDS)
     crossed = h < lo
@@ -136,7 +145,8 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
         rate = np.clip(repeats / n, 1e-9, 0.9)
         needed = np.clip(np.ceil(np.log(n / c.alpha) / -np.log(rate)) + 1, c.min_run, c.max_run)
         stuck[f] = ~begins & (length >= needed[group])
-    spike["volume"] = alone | (off_volume > np.maximum(np.where(stuck["close"], c.lone_jump, c.volume_jump), c.scale * level_scale))
+    off = (off_volume > np.maximum(c.volume_jump, c.scale * level_scale)) | ((volume_detail > np.maximum(c.volume_jump, c.scale * detail_scale)) & (off_volume > c.volume_jump))
+    spike["volume"] = alone | np.where(stuck["close"], off_volume > np.maximum(c.lone_jump, c.scale * level_scale), off)
     for f in FIELDS:
         out[f] = np.where(bounds[f], 1, np.where(spike[f], 2, np.where(stuck[f], 3, 0)))
     # A false close pulls the high up or the low down to itself, beyond the open.
