@@ -95,3 +95,20 @@ def test_small_false_volumes_are_judged_by_the_sid_s_own_scale(spark):
     rows[120][6] *= 10
     rows[120][7] = None
     assert {k[1] - 20200000 for k in found(spark, rows) if k[2] == "volume"} == {30, 60, 90, 91, 120}
+
+
+def test_run_lengths_follow_the_sid_s_own_rate(spark):
+    quiet, coarse = series("quiet", 300), series("coarse", 300, seed=3)
+    for i in range(101, 104):
+        quiet[i][6] = quiet[100][6]
+    rng = np.random.default_rng(5)
+    for i in range(1, 300):
+        if rng.random() < 0.5 and i not in (201,):
+            coarse[i][6] = coarse[i - 1][6]
+    for r in coarse:
+        r[7] = r[6] * (r[3] + r[4] + r[5]) / 3
+    for i in range(201, 208):
+        coarse[i][6] = coarse[200][6]
+        coarse[i][7] = coarse[i][6] * (coarse[i][3] + coarse[i][4] + coarse[i][5]) / 3
+    got = {k for k, why in found(spark, quiet + coarse).items() if why == "stuck" and k[2] == "volume"}
+    assert got == {("quiet", 20200000 + i, "volume") for i in range(101, 104)}

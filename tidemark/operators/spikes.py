@@ -39,11 +39,11 @@ FIELDS = ("high", "low", "close", "volume")
 
 @dataclass(frozen=True)
 class SpikeConfig:
-    """block, halo: in units of the position; the halo must hold more rows than max_run and 2^levels.
+    """block, halo: in units of the position; the halo must hold more rows than 2^levels and the longest run a sid's rate of repeats explains.
     scale: multiples of the robust deviation that make a spike; jump, volume_jump: the least log distance of one;
     row_jump: the least one from the row's own level; carry_scale, carry_jump: the same for fields of a row whose close
     is false; lone_scale: the same for a volume that has no amount; lone_jump: the least one for a volume beside a stuck close.
-    min_run, max_run: bounds of the shortest stuck run; alpha: expected false runs per block.
+    alpha: expected false runs per block.
     """
 
     block: int = 744
@@ -57,8 +57,6 @@ class SpikeConfig:
     volume_jump: float = 0.1
     lone_scale: float = 6.0
     lone_jump: float = 3.4
-    min_run: int = 5
-    max_run: int = 7
     alpha: float = 0.01
 
 
@@ -140,10 +138,10 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
     out, stuck = {}, {}
     for f in FIELDS:
         length, begins, n, repeats = runs(rows[f], group, groups)
-        # A run counts once among the repeats, so a stuck one doesn't excuse itself.
-        n = np.maximum(n, 1)
-        rate = np.clip(repeats / n, 1e-9, 0.9)
-        needed = np.clip(np.ceil(np.log(n / c.alpha) / -np.log(rate)) + 1, c.min_run, c.max_run)
+        # Of a field that repeats at a rate, this share of all runs is longer than one. A run counts once, so a stuck
+        # one doesn't excuse itself, however long; a sid without repeats is taken to have one.
+        rate = np.clip(np.maximum(repeats, 1) / np.maximum(np.bincount(group[begins], minlength=groups), 1), 1e-9, 0.99)
+        needed = np.maximum(np.ceil(np.log(np.maximum(n, 1) / c.alpha) / -np.log(rate)) + 1, 2)
         stuck[f] = ~begins & (length >= needed[group])
     off = (off_volume > np.maximum(c.volume_jump, c.scale * level_scale)) | ((volume_detail > np.maximum(c.volume_jump, c.scale * detail_scale)) & (off_volume > c.volume_jump))
     spike["volume"] = alone | np.where(stuck["close"], off_volume > np.maximum(c.lone_jump, c.scale * level_scale), off)
