@@ -105,10 +105,26 @@ def test_run_lengths_follow_the_sid_s_own_rate(spark):
     for i in range(1, 300):
         if rng.random() < 0.5 and i not in (201,):
             coarse[i][6] = coarse[i - 1][6]
-    for r in coarse:
+    for r in quiet + coarse:
         r[7] = r[6] * (r[3] + r[4] + r[5]) / 3
     for i in range(201, 208):
         coarse[i][6] = coarse[200][6]
         coarse[i][7] = coarse[i][6] * (coarse[i][3] + coarse[i][4] + coarse[i][5]) / 3
     got = {k for k, why in found(spark, quiet + coarse).items() if why == "stuck" and k[2] == "volume"}
     assert got == {("quiet", 20200000 + i, "volume") for i in range(101, 104)}
+
+
+def test_excursions_that_return_are_spikes_on_all_rows(spark):
+    rows = series(n=300)
+    for first, size, by in ((50, 3, 1.17), (100, 9, 1.15), (150, 20, 0.85)):
+        for r in rows[first : first + size]:
+            for i in (2, 3, 4, 5):
+                r[i] *= by
+            r[7] *= by
+    for r in rows[220:]:
+        for i in (2, 3, 4, 5):
+            r[i] *= 0.8
+        r[7] *= 0.8
+    days = {20200000 + i for first, size in ((50, 3), (100, 9), (150, 20)) for i in range(first, first + size)}
+    got = found(spark, rows)
+    assert {k[1] for k in got if k[2] == "close"} == days and set(got.values()) == {"spike"}

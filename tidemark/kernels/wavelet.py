@@ -47,3 +47,27 @@ def runs(x: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.
     length[at] = size[run]
     begins[at] = first
     return length, begins, np.bincount(g, minlength=groups), np.bincount(g[first & (size[run] > 1)], minlength=groups)
+
+
+def excursions(x: np.ndarray, group: np.ndarray, longest: int, least: np.ndarray) -> np.ndarray:
+    """Values of runs of at most ``longest`` that all stand off by more than ``least``, in one direction, from the value
+    before the run and the one after it, while these two are no further apart than ``least``; NaN skipped, within a group."""
+    at = np.flatnonzero(~np.isnan(x))
+    out = np.zeros(len(x), bool)
+    n = len(at)
+    if n < 3:
+        return out
+    v, g, far = x[at], group[at], least[at]
+    # Runs that begin with a large step and may end with one; few, so lengths are tried on these alone.
+    begin = np.flatnonzero((np.abs(v[1:] - v[:-1]) > far[1:]) & (g[1:] == g[:-1])) + 1
+    low, high = v[begin], v[begin]
+    for size in range(1, longest + 1):
+        inside = (begin + size < n) & (g[np.minimum(begin + size, n - 1)] == g[begin])
+        begin, low, high = begin[inside], low[inside], high[inside]
+        before, after = v[begin - 1], v[begin + size]
+        back = np.abs(after - before) <= far[begin]
+        off = back & ((low - np.maximum(before, after) > far[begin]) | (np.minimum(before, after) - high > far[begin]))
+        for i in range(size):
+            out[at[begin[off] + i]] = True
+        low, high = np.minimum(low, after), np.maximum(high, after)
+    return out

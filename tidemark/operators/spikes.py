@@ -9,6 +9,8 @@ sort bring the rows of a block together; a NumPy kernel then works on many block
   direction, a lasting move only on one, so the smaller of two details of equal sign is thresholded. Details are
   scaled by their median absolute deviation in the block. Readings found at one level are taken out before the
   next, coarser one, so that they don't blur its means;
+* a series that steps away from its level and returns within some rows was false throughout: all rows between two opposite
+  details of level 0 that stand off from both sides are spikes, whatever the width of a coarser level would see;
 * the detail of level 0 is zero within a stuck run. A run counts when it is longer than the source's own rate of
   repeats explains;
 * bounds: a price at or below zero, a negative or infinite reading, a high below its low, a close outside a sound
@@ -32,14 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.kernels.wavelet import group_median, neighbours, runs
+from tidemark.kernels.wavelet import excursions, group_median, neighbours, runs
 
 FIELDS = ("high", "low", "close", "volume")
 
 
 @dataclass(frozen=True)
 class SpikeConfig:
-    """block, halo: in units of the position; the halo must hold more rows than 2^levels and the longest run a sid's rate of repeats explains.
+    """longest: rows of the longest excursion that returns and is no lasting move; block, halo: in units of the position; the halo must hold more rows than 2^levels and the longest run a sid's rate of repeats explains.
     scale: multiples of the robust deviation that make a spike; jump, volume_jump: the least log distance of one;
     row_jump: the least one from the row's own level; carry_scale, carry_jump: the same for fields of a row whose close
     is false; lone_scale: the same for a volume that has no amount; lone_jump: the least one for a volume beside a stuck close.
@@ -49,6 +51,7 @@ class SpikeConfig:
     block: int = 744
     halo: int = 93
     levels: int = 3
+    longest: int = 32
     scale: float = 10.0
     jump: float = 0.06
     row_jump: float = 0.2
@@ -96,7 +99,7 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
             now = least > np.maximum(c.jump, c.scale * grow * scale[f])
             hit |= now
             seen = np.where(now, np.nan, seen)
-        spike[f] = hit
+        spike[f] = hit | excursions(seen, group, c.longest, np.maximum(c.jump, c.scale * scale[f]))
 
     def robust(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distance from the group's median, and the scale of that distance."""
