@@ -128,3 +128,17 @@ def test_excursions_that_return_are_spikes_on_all_rows(spark):
     days = {20200000 + i for first, size in ((50, 3), (100, 9), (150, 20)) for i in range(first, first + size)}
     got = found(spark, rows)
     assert {k[1] for k in got if k[2] == "close"} == days and set(got.values()) == {"spike"}
+
+
+def test_rows_with_volume_or_amount_unknown_keep_bounds_and_spikes(spark):
+    rows = series()
+    for i, volume, amount in ((40, 0.0, None), (60, None, 0.0), (80, 0.0, None), (100, 0.0, 0.0)):
+        rows[i][6], rows[i][7] = volume, amount
+    rows[40][3], rows[40][4] = rows[40][4], rows[40][3]
+    rows[60][4] = -1.0
+    rows[80][3] *= 1.6
+    rows[100][4] = -1.0
+    for i in range(120, 130):
+        rows[i][2:6], rows[i][6:8] = rows[119][2:6], [0.0, None]
+    day = lambda i: 20200000 + i
+    assert set(found(spark, rows)) == {("a", day(40), "high"), ("a", day(40), "low"), ("a", day(60), "low"), ("a", day(80), "high")}

@@ -139,8 +139,10 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
         "volume": (v < 0) | np.isinf(v) | ((v == 0) & (rows["amount"] > 0)),
     }
     out, stuck = {}, {}
+    # Volume or amount 0 and the other one unknown may be a pause, whose unchanged prices are no stuck ones.
+    pause = (np.isnan(v) & (rows["amount"] == 0)) | ((v == 0) & np.isnan(rows["amount"]))
     for f in FIELDS:
-        length, begins, n, repeats = runs(rows[f], group, groups)
+        length, begins, n, repeats = runs(np.where(pause, np.nan, rows[f]), group, groups)
         # Of a field that repeats at a rate, this share of all runs is longer than one. A run counts once, so a stuck
         # one doesn't excuse itself, however long; a sid without repeats is taken to have one.
         rate = np.clip(np.maximum(repeats, 1) / np.maximum(np.bincount(group[begins], minlength=groups), 1), 1e-9, 0.99)
@@ -164,8 +166,8 @@ def implausible_readings(df: DataFrame, source: str, time: str, position: Column
     """Readings that can't be real, as rows (source, time, field, value, reason).
 
     ``df`` has one row per (source, time) with numeric columns open, high, low, close, volume and amount; ``position``
-    maps time to a number that rises with it. Rows with volume 0 and amount 0, or one of them 0 and the other unknown,
-    are pauses and are left out. Null and NaN readings are no cases and are skipped over by runs and details. Rows with
+    maps time to a number that rises with it. Rows with volume 0 and amount 0 are pauses
+    and are left out; where one of them is 0 and the other unknown, only runs leave the row out. Null and NaN readings are no cases and are skipped over by runs and details. Rows with
     a null source or time are ignored. Other columns are ignored, so their names can't clash. An empty table gives no
     rows. Reasons: ``bounds``, ``spike``, ``stuck``; a field reported for several reasons comes once, with the first.
     """
@@ -174,7 +176,7 @@ def implausible_readings(df: DataFrame, source: str, time: str, position: Column
     rows = df.select(
         F.col(source).alias("_s"), F.col(time).alias("_t"), position.alias("_p"), *[F.col(x).cast("double").alias(x) for x in numbers]
     ).where("_s is not null and _t is not null and _p is not null")
-    rows = rows.where(~F.coalesce(F.least("volume", "amount") == 0, F.lit(False)) | F.coalesce(F.greatest("volume", "amount") != 0, F.lit(False)))
+    rows = rows.where(~F.coalesce((F.col("volume") == 0) & (F.col("amount") == 0), F.lit(False)))
     first, last = F.floor((F.col("_p") - c.halo) / c.block), F.floor((F.col("_p") + c.halo) / c.block)
     blocks = rows.withColumn("_b", F.explode(F.sequence(first, last))).withColumn("_own", F.floor(F.col("_p") / c.block) == F.col("_b")).drop("_p")
     types = {x.name: x.dataType for x in blocks.schema}
