@@ -13,7 +13,7 @@ from tidemark.llm.tokens import VOCABULARY, token_count
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_equals_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("universe_month", "scores"):
+    for t in ("universe_month", "scores", "documents"):
         con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
     assert canonical(queries.QUERIES[name](spark, data).toPandas()) == canonical(con.execute(queries.SQL[name]).fetchdf())
 
@@ -31,3 +31,10 @@ def test_token_counts(spark):
     rows = spark.createDataFrame([(None,), ("",), ("hello world",), ("a" * 100_000,), ("<|endoftext|>",)], "t string")
     got = [r.n for r in rows.select(token_count(F.col("t")).alias("n")).collect()]
     assert got[:3] == [0, 0, 2] and got[3] > 1000 and got[4] > 1
+
+
+def test_source_shares_add_up_to_the_judged_texts(spark, data):
+    judged = queries.p8_judged(spark, data).toPandas()
+    shares = queries.p8_sources(spark, data).toPandas()
+    assert shares["documents"].sum() == len(judged) and shares["cut"].sum() == judged["cut"].sum() == queries.p8_found(spark, data).count()
+    assert (shares["cut"] == shares[["cut_by_length", "cut_by_omission", "cut_by_ending"]].sum(axis=1)).all()

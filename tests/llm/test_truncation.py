@@ -2,30 +2,34 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.truncation import ending, poisson_tail, significant_lengths, truncated
-
-WHOLE = [
-    "A sentence.", "Is it? \n\n", "Quoted text.''\n", "\\begin{document}\nText\n\\end{document}\n% draft that stops in the mid", "Body.\n\\endinput\n", "x\n\\begin{thebibliography}{9}\n\\bibitem{a} A.\n\\end{thebibliography}",
-    "Text.\n% an unfinished draft of", "% only a comment", "这是一个句子。", "It costs 5\\% more.", "As in \\eqref{a}, so $x$.",
-]
-BROKEN = [
-    "and then the res", "with $\\alpha", "we get\n\\begin{equation}\nx = 1", "it is small, e.g.", "cut here...", "cut here [...]", "cut hi…", "bad byte \ufffd", "see \\cite{abc", "\\begin{document} Text goes on and", "in line with Ref.", "\\bibitem{a} A. Author, P.",
-    "\\begin{itemize}\n\\item One.",
-]
-DOUBT = ["Text.\n\nKeywords: one, two", "Text.\n\\section{Results}"]
+from tidemark.llm.truncation import abbreviations, ending, measured_lengths, endings, poisson_tail, significant_lengths, truncated
+
+ENDINGS = {
+    "complete": [
+        "A sentence.", "Is it? \n\n", "Quoted text.''\n", "\\begin{document}\nText\n\\end{document}\n% draft that stops in the mid", "Text.\n% an unfinished draft of", "% only a comment", "这是一个句子。", "It costs 5\\% more.",
+        "As in \\eqref{a}, so $x$.", "The set \\{1, 2\\} is small.", "a \\\\[2pt] bb.", "so \\(x\\) and \\[y\\] hold.", "in line with Ref.",
+    ],
+    "omission": ["cut here...", "cut here [...]", "cut hi…"],
+    "open": ["with $\\alpha", "we get\n\\begin{equation}\nx = 1", "see \\cite{abc", "\\begin{itemize}\n\\item One.", "bad byte \ufffd", "Text\\footnote{As shown.", "we get \\[ x = 1.", "so \\(x.", "a\\\\{b.", "\\emph{One. Two."],
+    "closed": ["Body.\n\\endinput\n", "x\n\\begin{thebibliography}{9}\n\\bibitem{a} A.\n\\end{thebibliography}", "So \\[ x=1 \\]", "So $$x=1$$", "Text.\n\\input{sections/one}", "\\title{A}\n\\maketitle", "Text.\n\\section{Results}", "\\bibliography{" + "a," * 400 + "b}"],
+    "number": ["with x = 0.", "pages 12--17."],
+    "letter": ["\\bibitem{a} A. Author, P."],
+    "word": ["and then the res", "\\begin{document} Text goes on and", "Text.\n\nKeywords: one, two", "Text.\n\nKeywords: " + "word, " * 400 + "last"],
+}
 SCHEMA = "doc_id long, text string, source string, cut string, ending int"
 
 
-@pytest.mark.parametrize(("texts", "expected"), [(WHOLE, 0), (BROKEN, 2), (DOUBT, 1)])
-def test_endings(spark, texts, expected):
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ending(F.col("t")).alias("e")).collect()
-    assert [r.t for r in got if r.e != expected] == []
+@pytest.mark.parametrize("expected", sorted(ENDINGS))
+def test_endings(spark, expected):
+    got = spark.createDataFrame([(t,) for t in ENDINGS[expected]], "t string").select("t", ending(F.col("t"))["class"].alias("e")).collect()
+    assert [(r.t, r.e) for r in got if r.e != expected] == []
 
 
 def test_blank_and_very_long_texts(spark):
-    long = ["word " * 400_000 + "end.", "$x$ " * 200_000 + "$y", " " * 500_000 + "x." + " " * 500_000, "\\begin{a}\\end{a}" * 50_000 + "."]
+    long = ["word " * 400_000 + "end.", "$x$ " * 200_000 + "$y", " " * 500_000 + "x, y." + " " * 500_000, "\\begin{a}\\end{a}" * 50_000 + "."]
     rows = [(t,) for t in [None, "", " \n ", *long]]
-    assert [r.e for r in spark.createDataFrame(rows, "t string").select(ending(F.col("t")).alias("e")).collect()] == [None, None, None, 0, 2, 0, 0]
+    got = [r.e for r in spark.createDataFrame(rows, "t string").select(ending(F.col("t"))["class"].alias("e")).collect()]
+    assert got == [None, None, None, "complete", "open", "letter", "complete"]
 
 
 def test_poisson_tail():
@@ -40,45 +44,59 @@ def test_poisson_tail():
 
 def test_limits_are_found_and_only_those(spark):
     rng = np.random.default_rng(0)
-    rows = [("a", int(x)) for x in rng.integers(200, 8000, 3000)] + [("a", 4000)] * 60 + [("b", int(x)) for x in rng.integers(200, 8000, 500)] + [("c", 300)] * 3
+    rows = [("a", int(x)) for x in rng.integers(200, 8000, 3000)] + [("a", 4000)] * 60 + [("b", int(x)) for x in rng.integers(200, 8000, 500)] + [("c", 300)]
     df = spark.createDataFrame(rows, "source string, length int").withColumn("measure", F.lit("chars"))
     assert {(r.source, r.length) for r in significant_lengths(df).collect()} == {("a", 4000)}
     assert significant_lengths(df.where("false")).count() == 0
 
 
-def test_doubtful_endings_count_at_limits_only(spark):
+def test_a_small_source_has_limits_and_copies_are_one_text(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"{i} " + "x" * int(n), "a", "", 0) for i, n in enumerate(rng.integers(300, 3000, 60))]
+    rows += [(100 + i, (f"{i} " + "y" * 700)[:700], "a", "", 0) for i in range(4)] + [(200 + i, "one text " * 90, "a", "", 0) for i in range(9)]
+    limits = significant_lengths(measured_lengths(endings(spark.createDataFrame(rows, SCHEMA))))
+    assert {r.length for r in limits.where("measure = 'chars'").collect()} == {700}
+
+
+def test_packets_show_in_what_is_left_over(spark):
+    rng = np.random.default_rng(4)
+    lengths = [int(n) for n in rng.integers(300, 30_000, 400)] + [1460 * k for k in range(1, 16)]
+    limits = significant_lengths(measured_lengths(endings(spark.createDataFrame([(i, (f"{i} " + "x" * n)[:n], "a", "", 0) for i, n in enumerate(lengths)], SCHEMA))))
+    assert {r.measure for r in limits.collect()} == {"bytes%1460"}
+
+
+def _corpus(limit: bool):
+    """Texts of one source: whole ones in three ways, cuts at a limit of 1000 and cuts elsewhere."""
     rng = np.random.default_rng(1)
-    rows = [(i, "x" * int(n - 1) + ".", " A ", "", 0) for i, n in enumerate(rng.integers(500, 3000, 400))]
-    fixed = lambda i, end: (i, ("y" * 2000 + end)[-1000:], "a", "", 0)
-    rows += [fixed(1000 + i, " and so on") for i in range(30)] + [fixed(2000, "\nKeywords: one, tw")]
-    rows += [(2001, "Text.\nKeywords: one, two", "a", "", 0), (2002, None, "a", "", 0), (2003, "", None, "", 0), (2004, "stops mid", None, "", 0), (2004, "stops mid", None, "", 0), (None, "stops mid", "a", "", 0)]
+    rows = [(i, f"{i} " + "x" * int(n - 1) + ", and.", " A ", "", 0) for i, n in enumerate(rng.integers(500, 3000, 400))]
+    rows += [(500 + i, f"{i} " + "x" * int(n) + ".\nKeywords: one, two", "a", "", 0) for i, n in enumerate(rng.integers(500, 3000, 40))]
+    rows += [(600 + i, f"{i} " + "x" * int(n) + ".\n\\endinput", "a", "", 0) for i, n in enumerate(rng.integers(500, 3000, 40))]
+    if limit:
+        ends = [" and so on", " with $x", " it is al", "\nthus the"]
+        rows += [(1000 + i, (f"{i} " + "y" * 1000)[: 1000 - len(ends[i % 4])] + ends[i % 4], "a", "", 0) for i in range(32)] + [(1900, "z" * 978 + ".\nKeywords: one, twooo", "a", "", 0), (1901, "z" * 990 + " complete.", "a", "", 0)]
+    rows += [(2000 + i, f"{i} " + "y" * int(n) + e, "b", "", 0) for i, (n, e) in enumerate(zip(rng.integers(500, 3000, 6), ["stops mid", " then $y", "\nthe res", " {\\em a", "so that", " and $\\alpha"], strict=True))]
+    return rows + [(3000, "what is left…", "c", "", 0), (3001, None, "a", "", 0), (3002, "", None, "", 0), (3003, " so that", None, "", 0), (3003, " so that", None, "", 0), (None, " so that", "a", "", 0)]
+
+
+def test_endings_are_measured_against_the_limits(spark):
+    rows = _corpus(True)
     judged, limits = truncated(spark.createDataFrame(rows, SCHEMA))
     got = judged.collect()
-    cut = sorted(r.doc_id for r in got if r.cut and r.doc_id is not None)
-    assert len(got) == len(rows) and cut == [*range(1000, 1030), 2000, 2004, 2004]
+    by = lambda reason: sorted(r.doc_id for r in got if r.reason == reason and r.doc_id is not None)
+    assert len(got) == len(rows) and all(r.cut == (r.reason is not None) for r in got)
+    assert by("length") == [*range(1000, 1032), 1900] and by("omission") == [3000] and by("ending") == [*range(2000, 2006), 3003, 3003]
     assert {(r.source, r.length) for r in limits.collect()} == {("a", 1000)}
-    empty, none = truncated(spark.createDataFrame([], SCHEMA))
-    assert empty.count() == 0 and none.count() == 0
-
-
-CLOSED_PART = [
-    "Text.\n\\begin{figure}\n\\caption{A.}\n\\end{figure}", "So\n\\begin{equation}\nx=1\n\\end{equation}\n", "So \\[ x=1 \\]", "So $$x=1$$", "Text.\n\\input{sections/one}", "\\title{A}\n\\maketitle",
-    "Text.\n\nDepartment of Physics, University of Somewhere, 12345 Town, Country", "Text.\n\nA. Author, a.author@example.org", "as shown by Author et al.", "with x = 0.", "pages 12--17.",
-]
-OPEN_PART = ["Text\\footnote{As shown.", "we get \\[ x = 1.", "so \\(x.", "a\\\\{b.", "\\emph{One. Two."]
-STILL_WHOLE = ["The set \\{1, 2\\} is small.", "a \\\\[2pt] b.", "\\{ alone.", "so \\(x\\) and \\[y\\] hold.", "the total."]
 
 
-@pytest.mark.parametrize(("texts", "expected"), [(CLOSED_PART, 1), (OPEN_PART, 2), (STILL_WHOLE, 0)])
-def test_closed_parts_are_doubtful_and_open_groups_broken(spark, texts, expected):
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ending(F.col("t")).alias("e")).collect()
-    assert [(r.t, r.e) for r in got if r.e != expected] == []
+def test_without_limits_only_marks_of_omission_count(spark):
+    judged, limits = truncated(spark.createDataFrame(_corpus(False), SCHEMA))
+    assert limits.count() == 0 and [r.doc_id for r in judged.where("cut").collect()] == [3000]
+    empty, none = truncated(spark.createDataFrame([], SCHEMA))
+    assert empty.count() == 0 and none.count() == 0
 
 
-def test_hazards_decide_closed_parts(spark):
-    rng = np.random.default_rng(2)
-    rows = [(i, "x" * int(n - 1) + ".", "a", "", 0) for i, n in enumerate(rng.integers(500, 3000, 400))]
-    ends = ["by Author et al.", "so x = 0.", "\n\\input{sections/one}", " so \\[ x=1 \\]"]
-    rows += [(1000 + i, ("y" * 2000 + ends[i % 4])[-1000:], "a", "", 0) for i in range(32)] + [(2000 + i, "y" * 200 + "." + e, "a", "", 0) for i, e in enumerate(ends)]
-    judged, _ = truncated(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(r.doc_id for r in judged.where("cut").collect()) == [*range(1000, 1032)]
+def test_abbreviations_are_words_after_which_sentences_go_on(spark):
+    texts = ["See Fig. 3 and Fig.~4 here. The case, cf. the data. Then Fig. 5, cf. \\cite{a}, ends here. So it is. We go." for _ in range(9)]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string")
+    tokens = spark.createDataFrame([(t,) for t in ("Fig.", "cf.", "here.", "data.", "is.", "new.")], "token string")
+    assert {r.token for r in abbreviations(docs, tokens).collect()} == {"Fig.", "cf."}

@@ -10,7 +10,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.packing import fill, packed
 from tidemark.llm.tokens import token_count
 from tidemark.llm.topn import top_n
-from tidemark.llm.truncation import normal_source, truncated
+from tidemark.llm.truncation import endings, measured_lengths, normal_source, significant_lengths, truncated
 from tidemark.operators.inforce import in_force
 from tidemark.session import new_path, written
 
@@ -88,14 +88,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths at which a source cuts, with their hazard."""
-    return truncated(_read(spark, sf_dir, "documents"))[1]
+    """Lengths at which a source cuts, with their hazard and its error."""
+    limits = significant_lengths(measured_lengths(endings(_read(spark, sf_dir, "documents"))))
+    return limits.select("source", "measure", F.col("length").cast("bigint").alias("length"), "n", "at_risk", F.round("hazard", 6).alias("hazard"), F.round("expected", 6).alias("expected"), F.round(F.log10(F.greatest("p", F.lit(1e-300))), 3).alias("log10_p"))
 
 
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each source cuts."""
+    """How often each source cuts: all texts, those cut, and of these by a significant length, a mark or the kind of ending."""
     return p8_judged(spark, sf_dir).groupBy("source").agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("cut_at_limit"), F.avg(F.col("cut").cast("double")).alias("share_cut")
+        F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut"), *[F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(f"cut_by_{r}") for r in ("length", "omission", "ending")], F.avg(F.col("cut").cast("double")).alias("share_cut")
     )
 
 
@@ -114,9 +115,26 @@ _CUTOFFS = _MONTHS + """, b AS (
 _TOP = """SELECT sid, score_id, fsm_score, day, CAST(place AS INT) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY sid ORDER BY fsm_score DESC, day, score_id) AS place
     FROM (SELECT DISTINCT sid, score_id, day, fsm_score FROM scores WHERE sid IS NOT NULL AND day IS NOT NULL AND fsm_score IS NOT NULL AND NOT isnan(fsm_score))) WHERE place <= 5"""
+# Texts differ by body; what is left over from whole packets counts once per length. The Poisson tail is summed term by term.
+_LIMITS = """WITH b AS (SELECT DISTINCT coalesce(lower(trim(source)), '') AS source, regexp_replace(text, '\\n{1,2}$', '') AS body FROM documents WHERE regexp_matches(text, '[^ \\t\\r\\n\\f\\v\u00a0\u3000]')),
+    s AS (SELECT source, len(body) AS chars, strlen(body) AS bytes FROM b),
+    l AS (SELECT source, 'chars' AS measure, chars AS length FROM s UNION ALL SELECT source, 'bytes', bytes FROM s
+        UNION ALL SELECT source, 'bytes%' || g, bytes % g FROM (SELECT DISTINCT source, bytes FROM s) d, (SELECT unnest([512, 1024, 1460]) AS g) g WHERE bytes >= g),
+    c AS (SELECT source, measure, length, count(*) AS n FROM l GROUP BY ALL),
+    h AS (SELECT *, CAST(sum(n) OVER (PARTITION BY source, measure ORDER BY length ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS at_risk, CAST(floor(ln(length + 500) / 0.1) AS BIGINT) AS bin, length - coalesce(lag(length) OVER (PARTITION BY source, measure ORDER BY length), length - 1) AS gap FROM c),
+    hd AS (SELECT *, floor(log2(at_risk)) AS depth FROM h), d AS (SELECT source, measure, depth, sum(n) AS ends2, sum(gap * at_risk) AS exposure2 FROM hd GROUP BY ALL),
+    e AS (SELECT source, measure, bin, sum(n) AS ends, sum(gap * at_risk) AS exposure FROM h GROUP BY ALL),
+    o AS (SELECT source, measure, bin, sum(ends) AS ends, sum(exposure) AS exposure FROM (SELECT source, measure, ends, exposure, bin + unnest([-1, 0, 1]) AS bin FROM e) GROUP BY ALL),
+    x AS (SELECT hd.*, n / at_risk AS hazard, greatest((ends - n + 0.5) / exposure, (ends2 - n + 0.5) / exposure2) * at_risk AS expected FROM hd JOIN o USING (source, measure, bin) JOIN d USING (source, measure, depth) WHERE n > 1 AND (measure IN ('chars', 'bytes') OR length = 0)),
+    t AS (SELECT *, CASE WHEN n <= expected THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(400), lambda i: exp((n + i) * ln(greatest(expected, 1e-12)) - greatest(expected, 1e-12) - lgamma(n + i + 1))))) END AS p FROM x),
+    k AS (SELECT *, least(floor(-log2(greatest(p, 1e-300)) * 4), 4000) AS k FROM t),
+    f AS (SELECT k, sum(count(*)) OVER (ORDER BY k DESC) AS passed, (SELECT count(*) FROM h) AS tests FROM k GROUP BY k)
+    SELECT source, measure, CAST(length AS BIGINT) AS length, n, at_risk, round(hazard, 6) AS hazard, round(expected, 6) AS expected, round(log10(greatest(p, 1e-300)), 3) AS log10_p FROM k
+    WHERE p <= (SELECT max(2.0 ** (-k / 4)) FROM f WHERE 2.0 ** (-k / 4) * tests <= 0.001 * passed)"""
 SQL: dict[str, str] = {
     "p3_cutoffs": _CUTOFFS,
     "p3_found": _MONTHS + "SELECT month_id, sid FROM kept",
     "p4_top": _TOP,
     "p4_found": f"SELECT sid, score_id FROM ({_TOP})",
+    "p8_limits": _LIMITS,
 }

@@ -1,16 +1,24 @@
 """Texts cut off by field limits or in transfer, and how often each source cuts.
 
 A field limit shows in the lengths: the hazard of a length is the share of texts, among those at least that long,
-that end right there. Hazards come from counts by window functions, per source and measure (characters and bytes,
-a closing line break left out). Each is tested against the pooled hazard of its neighbourhood, with the false
-discovery rate controlled over all lengths of all sources. At a significant length every ending that isn't
-positively complete is a cut. A transfer can break off anywhere and leaves no such length: away from significant
-lengths only endings that can't belong to a whole text count.
+that end right there. Hazards come from counts of different texts by window functions, per source and measure
+(characters, bytes, and bytes left over from whole packets; a closing line break or empty last line left out). Each is tested against the
+pooled hazard of its neighbourhood, with the false discovery rate controlled over all lengths of all sources.
+
+Which endings are incomplete is measured against those lengths. A text that ends with a closed sentence or document is
+complete, whatever its length. Every other ending has a kind: inside an open formula, environment or brace, after a
+closed command or display, after a numbered full stop, or otherwise, and within these the first word of its last line.
+A kind is an ending of whole texts if it comes away from significant lengths significantly more often than cuts explain,
+their number there being that at significant lengths times the ratio found for open structures; otherwise it is
+incomplete. At significant lengths every ending is a cut that its neighbours' hazard doesn't explain. Away from them,
+where a broken transfer raises no hazard, only endings of kinds that were measured as incomplete are. Without significant
+lengths there is nothing to measure against, and only texts that end in a mark of omission are flagged.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,19 +30,17 @@ from pyspark.sql import Window as W
 from tidemark.operators.salting import spread_join
 from tidemark.session import written
 
-# Marks that end a sentence, with what may close after them; abbreviations that never do.
-SENTENCE_END = r"[.!?。！？؟։।]['\"”’»)\]}]*$"
-ABBREVIATION = r"(?:^|[\s~({])(?:e\.g|i\.e|cf|vs|resp|approx|viz|Fig|Figs|Eq|Eqs|Ref|Refs|Sec|Tab|Thm|Prof|Dr|Mr|Mrs|No|z\.B|d\.h|bzw|ca|p\.ex|\p{Lu})\.$"
-ELLIPSIS = r"(?:\.\.\.|…|\[\.\.\.\]|\[…\])$"
-KEYWORD_LINE = r"(?:^|\n)[^\n]{0,5}(?:Keywords?|Key words|Index terms|Mots[- ]cl[ée]s|Schlagw[öo]rter|Ключевые слова|关键词)\s*[:：][^\n]*$"
-CLOSED = r"(?:\\endinput|\\end\{document\}|\\end\{thebibliography\}|\\bye|\\bibliography\{[^{}]*\}|\\printbibliography)$"
-HEADING = r"(?:^|\n)\\(?:part|chapter|section|subsection|subsubsection|paragraph|appendix|title|author|date|label)\*?(?:\{[^{}\n]*\})?(?:\\label\{[^{}\n]*\})?$"
-# Marks that close a part of a text, which may be its last one or lie before a cut.
-PART_END = r"(?:\\end\{[^{}\n]*\}|\\\]|\$\$)$"
-COMMAND_LINE = r"(?:^|\n)[ \t]*\\(?:maketitle|tableofcontents|listoffigures|listoftables|newpage|clearpage|cleardoublepage|pagebreak|appendix|balance|printindex|bibliographystyle|input|include|address|affiliation|affil|institute|email|thanks)\*?(?:\[[^\]\n]*\])?(?:\{[^\n]*\})?$"
-ADDRESS_LINE = r"(?:^|\n)[^\n]*(?:\S@[\w-]+(?:\.[\w-]+)*\.\p{L}{2,}|(?:Universit|Institut|Department|D[ée]partement|Laborator|Facult|Fakult|Academy|Akademie|Университет|Институт)[^\n.!?]*,[ ~]*\p{Lu}[\p{L} -]*|(?:大学|研究所)[^\n。！？]*)$"
-# A full stop that may be the point of a cut number or belong to 'et al.'.
-OPEN_STOP = r"(?:\d|(?:^|[\s~({])al)\.$"
+# Marks that end a sentence and what may close after them; marks of omission.
+SENTENCE_MARKS = ".!?。！？؟։।"
+CLOSERS = "'\"”’»)]}"
+OMISSION = ("...", "…", "[...]", "[…]")
+BLANK = " \t\r\n\f\v\u00a0\u3000"
+# A short word or a chain of them before a full stop, which may be an abbreviation.
+SHORT_STOP = r"(?<![\p{L}\p{N}\\.])((?:\p{L}{1,5}\.)+)"
+FIRST_OF_LINE = r"^\s*(\\[A-Za-z]+\*?|\S{1,24})"
+CLOSED_END = r"(\\end\{[^{}\n]*\}|\\\]|\$\$)$"
+COMMAND_ONLY = r"^\s*\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{.*\})?$"
+GRIDS = (512, 1024, 1460)
 
 
 def normal_source(source: Column) -> Column:
@@ -42,30 +48,38 @@ def normal_source(source: Column) -> Column:
 
 
 def ending(text: Column) -> Column:
-    """How a text ends: 0 whole, 1 open to doubt, 2 broken off; null for a null or blank text.
-
-    Comments are left out, so drafts in them don't count; whatever follows an uncommented end of the document is not
-    looked at. Broken off is an ending inside a formula, environment or group in braces, in a replacement character or
-    an ellipsis that stands for missing text, after an abbreviation, or in running text without the end of a sentence.
-    Open to doubt is what may be an end or a cut: a line of key words, a heading, an address or a layout command, the
-    end of an environment or displayed formula, and a full stop after a digit or 'al'. The whole text is read.
+    """How a text ends, a struct (class, kind, token); null for a null or blank text.
+
+    Comments are left out, so drafts in them don't count. Classes: ``complete`` (a closed sentence, an uncommented end of
+    the document anywhere, or nothing but comments), ``omission`` (a mark that stands for missing text), ``open`` (inside a
+    formula, environment or braces, or in a broken character), ``closed`` (after a closed environment, display or command),
+    ``number`` and ``letter`` (a full stop after a digit or a single letter), ``word`` (all else). The kind tells the closed
+    environment or the first word of the last line. ``token`` is the short word before the full stop of a complete text. The
+    whole text is read.
     """
-    blank = F.lit(" \t\r\n\f\v\u00a0\u3000")
-    plain = F.rtrim(F.regexp_replace(text, F.lit(r"(?<!\\)%[^\n]*"), F.lit("")), blank)
-    tail = F.substring(plain, -400, 400)  # only for the marks at the very end; counts below run over the whole text
+    plain = F.rtrim(F.regexp_replace(text, F.lit(r"(?<!\\)%[^\n]*"), F.lit("")), F.lit(BLANK))
+    last = F.substring_index(plain, "\n", -1)
     bare = F.regexp_replace(plain, F.lit(r"\\\\|\\[${}]"), F.lit(""))
     count = lambda mark: F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit(mark[1:])))
     opened = F.regexp_count(plain, F.lit(r"\\begin\{(?!document\})")) - F.regexp_count(plain, F.lit(r"\\end\{(?!document\})"))
-    is_open = (count("$") % 2 == 1) | (opened > 0) | (count("{") > count("}")) | (count("\\[") > count("\\]")) | (count("\\(") > count("\\)"))
+    is_open = (count("$") % 2 == 1) | (opened > 0) | (count("{") > count("}")) | (count("\\[") > count("\\]")) | (count("\\(") > count("\\)")) | plain.endswith("\ufffd")
+    omitted = reduce(lambda a, b: a | b, [plain.endswith(m) for m in OMISSION])
+    end = F.substring(plain, -64, 64)  # longer than any token, so a token is seen whole
+    token = F.regexp_extract(end, SHORT_STOP + "$", 1)
+    mark = F.substring(F.rtrim(plain, F.lit(CLOSERS)), -1, 1)
+    closing, first = F.regexp_extract(last, CLOSED_END, 1), F.regexp_extract(last, FIRST_OF_LINE, 1)
+    at = lambda cls, kind, tok="": F.struct(F.lit(cls).alias("class"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (tok if isinstance(tok, Column) else F.lit(tok)).alias("token"))
     return (
-        F.when(text.isNull() | (F.length(F.rtrim(text, blank)) == 0), F.lit(None).cast("int"))
-        .when(plain.contains("\\end{document}") | tail.rlike(CLOSED), 0)
-        .when(F.length(plain) == 0, 0)
-        .when(is_open | tail.endswith("\ufffd") | tail.rlike(ELLIPSIS) | tail.rlike(ABBREVIATION), 2)
-        .when(tail.rlike(OPEN_STOP), 1)
-        .when(tail.rlike(SENTENCE_END), 0)
-        .when(tail.rlike(KEYWORD_LINE) | tail.rlike(HEADING) | tail.rlike(PART_END) | tail.rlike(COMMAND_LINE) | tail.rlike(ADDRESS_LINE), 1)
-        .otherwise(2)
+        F.when(text.isNull() | (F.length(F.rtrim(text, F.lit(BLANK))) == 0), F.lit(None))
+        .when(plain.contains("\\end{document}") | (F.length(plain) == 0), at("complete", ""))
+        .when(omitted, at("omission", ""))
+        .when(is_open, at("open", ""))
+        .when(end.rlike(r"\p{N}\.$"), at("number", ""))
+        .when(F.length(token) == 2, at("letter", ""))
+        .when((mark != "") & F.contains(F.lit(SENTENCE_MARKS), mark), at("complete", "", token))
+        .when(closing != "", at("closed", closing))
+        .when(last.rlike(COMMAND_ONLY), at("closed", first))
+        .otherwise(at("word", first))
     )
 
 
@@ -87,30 +101,41 @@ def _tail(k: pd.Series, mean: pd.Series) -> pd.Series:
     return pd.Series(poisson_tail(k.to_numpy(), mean.to_numpy()))
 
 
-def significant_lengths(lengths: DataFrame, q: float = 0.001, least: int = 5, reach: float = 0.1, start: int = 500) -> DataFrame:
-    """Lengths (source, measure, length) at which texts end more often than at neighbouring lengths.
+def significant_lengths(lengths: DataFrame, q: float = 0.001, reach: float = 0.1, start: int = 500) -> DataFrame:
+    """Lengths (source, measure, length, n, at_risk, hazard, expected, p) at which texts end more often than at
+    neighbouring lengths.
 
-    ``lengths`` has a row per text and measure. The neighbourhood of a length is its bin of ln(length + start), of
-    width ``reach``, and the two next to it. ``q`` is the false discovery rate, ``least`` the fewest texts that make
-    a length. Windows span the distinct lengths of a source, which the longest text bounds, not the number of texts.
+    ``lengths`` has a row per different text and measure. The neighbourhood of a length is its bin of ln(length + start), of
+    width ``reach``, and the two next to it, or the lengths with about as many texts at risk, whichever lets more be
+    expected. A length must be shared by two texts. ``q`` is the false discovery rate. Of a measure named bytes%<g>, what is left
+    over from whole packets, only 0 is tested. Windows span the distinct lengths of a source, which the longest text bounds,
+    not the number of texts. An empty table gives no rows.
     """
     key = ["source", "measure"]
     counts = lengths.groupBy(*key, "length").agg(F.count(F.lit(1)).alias("n"))
     upto = W.partitionBy(*key).orderBy("length").rowsBetween(W.unboundedPreceding, 0)
-    hazards = counts.select("*", (F.sum("n").over(W.partitionBy(*key)) - F.sum("n").over(upto) + F.col("n")).alias("at_risk")).withColumn("bin", F.floor(F.log(F.col("length") + F.lit(start)) / reach))
-    bins = hazards.groupBy(*key, "bin").agg(F.sum("n").alias("ends"), F.avg("at_risk").alias("risk")).withColumn(
-        "exposure", F.col("risk") * (F.exp((F.col("bin") + 1) * reach) - F.exp(F.col("bin") * reach))
+    at_risk = F.sum("n").over(W.partitionBy(*key)) - F.sum("n").over(upto) + F.col("n")
+    # Between two lengths the number at risk is that of the longer one, so this sums it over all lengths in between.
+    gap = F.col("length") - F.coalesce(F.lag("length").over(W.partitionBy(*key).orderBy("length")), F.col("length") - 1)
+    hazards = counts.select("*", at_risk.alias("at_risk"), gap.alias("gap")).select(
+        "*", F.floor(F.log(F.col("length") + F.lit(start)) / reach).alias("bin"), F.floor(F.log2("at_risk")).alias("depth")
     )
+    bins = hazards.groupBy(*key, "bin").agg(F.sum("n").alias("ends"), F.sum(F.col("gap") * F.col("at_risk")).alias("exposure"))
     # Each bin goes to itself and to both neighbours, so gaps between bins need no care.
     pooled = bins.select(*key, "ends", "exposure", F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])).alias("bin")).groupBy(*key, "bin").agg(F.sum("ends").alias("ends"), F.sum("exposure").alias("exposure"))
+    # Towards the longest texts a hazard can rise within a bin: those of like numbers at risk are neighbours, too.
+    deep = hazards.groupBy(*key, "depth").agg(F.sum("n").alias("_ends"), F.sum(F.col("gap") * F.col("at_risk")).alias("_exposure"))
     # Half a text is added, as no neighbour may end there.
-    expected = (F.col("ends") - F.col("n") + 0.5) / F.col("exposure") * F.col("at_risk")
+    expected = F.greatest(*[(F.col(e) - F.col("n") + 0.5) / F.col(x) * F.col("at_risk") for e, x in (("ends", "exposure"), ("_ends", "_exposure"))])
+    shared = hazards.where((F.col("n") > 1) & (~F.col("measure").startswith("bytes%") | (F.col("length") == 0)))
     tested = written(
-        hazards.where(F.col("n") >= least).join(pooled, [*key, "bin"]).select(*key, "length", "n", "at_risk", (F.col("n") / F.col("at_risk")).alias("hazard"), _tail(F.col("n").cast("double"), expected).alias("p")), "hazards"
-    )
+        shared.join(pooled, [*key, "bin"]).join(deep, [*key, "depth"])
+        .select(*key, "length", "n", "at_risk", (F.col("n") / F.col("at_risk")).alias("hazard"), expected.alias("expected")).withColumn("p", _tail(F.col("n").cast("double"), F.col("expected"))), "hazards"
+    )
     # Benjamini-Hochberg over a grid of thresholds 2^(-k/4): at most 4001 counts come to the driver.
-    tests = counts.count()
     grid = tested.groupBy(F.least(F.floor(-F.log2(F.greatest("p", F.lit(1e-300))) * 4), F.lit(4000)).alias("k")).count().collect()
+    # A length that only one text has can't be significant, but is a test.
+    tests = hazards.count()
     passed, limit = 0, 0.0
     for row in sorted(grid, key=lambda r: -r["k"]):
         passed += row["count"]
@@ -119,25 +144,78 @@ def significant_lengths(lengths: DataFrame, q: float = 0.001, least: int = 5, re
     return tested.where(F.col("p") <= limit)
 
 
+def abbreviations(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Those of the ``tokens`` (short words with their full stop) after which texts mostly go on within the sentence.
+
+    Every occurrence in all texts counts; it goes on if a lower-case letter, digit, command, formula or inner mark follows
+    on the line. More than half by two standard deviations makes an abbreviation.
+    """
+    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit("(" + SHORT_STOP + r"[ \t~]*\S?)"), F.lit(1))).alias("m"))
+    parts = found.select(F.regexp_extract("m", SHORT_STOP, 1).alias("token"), F.col("m").rlike(r"\.[ \t~]*[\p{Ll}\p{N}\\$,;:(]$").alias("on"))
+    seen = parts.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("on").alias("on"))
+    return seen.where(F.col("on") * 2 > F.col("n") + 2 * F.sqrt("n")).select("token").join(tokens.distinct(), "token")
+
+
 def endings(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, ending, chars, bytes) of each text; a closing line break doesn't count as length."""
-    body = F.regexp_replace("text", F.lit(r"\n$"), F.lit(""))
-    return docs.select("doc_id", normal_source(F.col("source")).alias("source"), ending(F.col("text")).alias("ending"), F.length(body).alias("chars"), F.octet_length(body).alias("bytes"))
+    """(doc_id, source, class, kind, token, text_hash, chars, bytes) of each text; a closing line break or empty last line doesn't count as length."""
+    body = F.regexp_replace("text", F.lit(r"\n{1,2}\z"), F.lit(""))
+    rows = docs.select("doc_id", F.coalesce(normal_source(F.col("source")), F.lit("")).alias("source"), ending(F.col("text")).alias("e"), F.xxhash64(body).alias("text_hash"), F.length(body).alias("chars"), F.octet_length(body).alias("bytes"))
+    return rows.select("doc_id", "source", "e.*", "text_hash", "chars", "bytes")
 
 
-def truncated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Judged texts (doc_id, source, ending, at_limit, cut), one row per row of ``docs``, and the significant lengths.
+def measured_lengths(judged: DataFrame) -> DataFrame:
+    """(source, measure, length), a row per different text of a source; what is left over from packets per different length."""
+    texts = judged.where("class is not null").select("source", "text_hash", "chars", "bytes").distinct()
+    whole = texts.select("source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("chars", "bytes")])).alias("m"))
+    sizes = texts.select("source", "bytes").distinct()
+    rest = sizes.select("source", "bytes", F.explode(F.array(*[F.lit(g) for g in GRIDS])).alias("g")).where("bytes >= g")
+    return whole.select("source", "m.*").unionByName(rest.select("source", F.concat(F.lit("bytes%"), "g").alias("measure"), (F.col("bytes") % F.col("g")).alias("length")))
+
+
+def at_limits(judged: DataFrame, limits: DataFrame) -> DataFrame:
+    """``judged`` with ``chance``: the share of the ends at its significant length that neighbours explain, null elsewhere."""
+    out, chances = judged, []
+    share = F.least(F.col("expected") / F.col("n"), F.lit(1.0))
+    for i, (measure, length) in enumerate([("chars", F.col("chars")), ("bytes", F.col("bytes")), *[(f"bytes%{g}", F.when(F.col("bytes") >= g, F.col("bytes") % g)) for g in GRIDS]]):
+        hit = limits.where(F.col("measure") == measure).select("source", F.col("length").alias("_length"), share.alias(f"_chance{i}"))
+        out = spread_join(out.withColumn("_length", length), hit, ["source", "_length"], how="left").drop("_length")
+        chances.append(f"_chance{i}")
+    return out.withColumn("chance", F.least(*chances)).drop(*chances)
+
+
+def truncated(docs: DataFrame, alpha: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """Judged texts (doc_id, source, class, kind, at_limit, cut, reason), one row per row of ``docs``, and the significant lengths.
 
     ``docs`` needs doc_id, text and source; sources are compared trimmed and in lower case, a null source is one of
-    its own. Null and blank texts are never cut. Repeated rows are judged alike. An empty table gives no rows.
+    its own. Null and blank texts are never cut. Repeated rows are judged alike. An empty table gives no rows. ``reason`` is
+    ``length`` at a significant length, ``omission`` or ``ending`` elsewhere, null for texts that aren't cut. ``alpha``: the
+    error of calling a kind an ending of whole texts.
     """
-    judged = written(endings(docs).withColumn("source", F.coalesce("source", F.lit(""))), "endings")
-    measured = judged.where("ending is not null").select("source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("chars", "bytes")])).alias("m")).select("source", "m.*")
-    limits = written(significant_lengths(measured), "limits")
-    out = judged
-    for m in ("chars", "bytes"):
-        hit = limits.where(F.col("measure") == m).select("source", F.col("length").alias(m), F.lit(True).alias(f"at_{m}"))
-        out = spread_join(out, hit, ["source", m], how="left")
-    at_limit = F.coalesce("at_chars", "at_bytes", F.lit(False))
-    cut = F.coalesce((F.col("ending") == 2) | ((F.col("ending") == 1) & at_limit), F.lit(False))
-    return out.select("doc_id", "source", "ending", at_limit.alias("at_limit"), cut.alias("cut")), limits
+    judged = written(endings(docs), "endings")
+    limits = written(significant_lengths(measured_lengths(judged)), "limits")
+    short = abbreviations(docs, judged.where("class = 'complete' and token <> ''").select("token")).withColumn("_abbreviation", F.lit(True))
+    judged = spread_join(judged, short, ["token"], how="left").withColumn("class", F.when(F.col("_abbreviation"), "open").otherwise(F.col("class")))
+    placed = written(at_limits(judged.select("doc_id", "source", "class", "kind", "chars", "bytes"), limits).select("doc_id", "source", "class", "kind", "chance"), "placed")
+    n0, n1 = F.count_if(F.col("chance").isNull()), F.count("chance")
+    kinds = written(placed.where("class is not null").groupBy("class", "kind").agg(n0.alias("n0"), n1.alias("n1"), F.sum("chance").alias("by_chance")), "kinds")
+    sums = kinds.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("by_chance").alias("by_chance"), *[F.coalesce(F.sum(F.when(F.col("class") == "open", F.col(c))), F.lit(0)).alias(f"open{c}") for c in ("n0", "n1")]).first()
+    if not sums["n1"]:
+        flagged = placed.select("doc_id", "source", "class", "kind", F.lit(False).alias("at_limit"), F.coalesce(F.col("class") == "omission", F.lit(False)).alias("cut"))
+        return flagged.withColumn("reason", F.when(F.col("cut"), "omission")), limits
+    # Cuts away from significant lengths per cut at one, by endings that only cuts leave.
+    ratio = (sums["openn0"] + 0.5) / (sums["openn1"] + 0.5)
+    chance = sums["by_chance"] / max(sums["n0"], 1)  # texts at significant lengths by chance, per text elsewhere
+    explained = ratio * (F.col("n1") + 1)
+    whole = written(
+        kinds.where(F.col("class").isin("closed", "number", "letter", "word") & (F.col("n0") > 2 * explained)).where(_tail(F.col("n0").cast("double"), explained) < alpha), "whole-kinds"
+    )
+    # What is left of each class is judged as one; a class not seen at significant lengths isn't one of cuts.
+    rest = kinds.join(whole.select("class", "kind"), ["class", "kind"], "left_anti").groupBy("class").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()  # one row per class
+    away = [r["class"] for r in rest if r["class"] not in ("complete", "omission") and r["n1"] and r["n0"] <= 2 * ratio * r["n1"]]
+    there = [r["class"] for r in rest if r["class"] != "complete" and r["n1"] > 2 * chance * r["n0"]]
+    marked = spread_join(placed, whole.select("class", "kind", (F.col("n1") > 2 * chance * F.col("n0")).alias("_there")), ["class", "kind"], how="left")
+    at_limit = F.col("chance").isNotNull()
+    by_length = at_limit & F.coalesce("_there", F.col("class").isin(there))
+    by_ending = ~at_limit & F.col("_there").isNull() & F.col("class").isin(away)
+    reason = F.when(by_length, "length").when(F.col("class") == "omission", "omission").when(by_ending, "ending")
+    return marked.select("doc_id", "source", "class", "kind", at_limit.alias("at_limit"), reason.isNotNull().alias("cut"), reason.alias("reason")), limits
