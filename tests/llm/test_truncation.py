@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.truncation import abbreviations, ending, measured_lengths, endings, poisson_tail, significant_lengths, truncated
+from tidemark.llm.truncation import abbreviations, endings, measured_lengths, poisson_tail, significant_lengths, truncated, with_endings
 
 ENDINGS = {
     "complete": [
@@ -21,14 +21,14 @@ SCHEMA = "doc_id long, text string, source string, cut string, ending int"
 
 @pytest.mark.parametrize("expected", sorted(ENDINGS))
 def test_endings(spark, expected):
-    got = spark.createDataFrame([(t,) for t in ENDINGS[expected]], "t string").select("t", ending(F.col("t"))["class"].alias("e")).collect()
+    got = with_endings(spark.createDataFrame([(t,) for t in ENDINGS[expected]], "t string"), "t").select("t", F.col("class").alias("e")).collect()
     assert [(r.t, r.e) for r in got if r.e != expected] == []
 
 
 def test_blank_and_very_long_texts(spark):
     long = ["word " * 400_000 + "end.", "$x$ " * 200_000 + "$y", " " * 500_000 + "x, y." + " " * 500_000, "\\begin{a}\\end{a}" * 50_000 + "."]
     rows = [(t,) for t in [None, "", " \n ", *long]]
-    got = [r.e for r in spark.createDataFrame(rows, "t string").select(ending(F.col("t"))["class"].alias("e")).collect()]
+    got = [r.e for r in with_endings(spark.createDataFrame(rows, "t string"), "t").select(F.col("class").alias("e")).collect()]
     assert got == [None, None, None, "complete", "open", "letter", "complete"]
 
 

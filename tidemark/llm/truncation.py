@@ -40,6 +40,8 @@ SHORT_STOP = r"(?<![\p{L}\p{N}\\.])((?:\p{L}{1,5}\.)+)"
 FIRST_OF_LINE = r"^\s*(\\[A-Za-z]+\*?|\S{1,24})"
 CLOSED_END = r"(\\end\{[^{}\n]*\}|\\\]|\$\$)$"
 COMMAND_ONLY = r"^\s*\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{.*\})?$"
+# Any text; the group holds the marks that open and close formulas, displays and groups.
+STRUCTURE = r"\\\\|\\[${}]|(\\[\[\]()]|[${}])|[^${}\\]+|\\"
 GRIDS = (512, 1024, 1460)
 
 
@@ -47,40 +49,44 @@ def normal_source(source: Column) -> Column:
     return F.lower(F.trim(source))
 
 
-def ending(text: Column) -> Column:
-    """How a text ends, a struct (class, kind, token); null for a null or blank text.
+def with_endings(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with how its texts end: ``class``, ``kind`` and ``token``, null for a null or blank text.
 
     Comments are left out, so drafts in them don't count. Classes: ``complete`` (a closed sentence, an uncommented end of
     the document anywhere, or nothing but comments), ``omission`` (a mark that stands for missing text), ``open`` (inside a
     formula, environment or braces, or in a broken character), ``closed`` (after a closed environment, display or command),
     ``number`` and ``letter`` (a full stop after a digit or a single letter), ``word`` (all else). The kind tells the closed
     environment or the first word of the last line. ``token`` is the short word before the full stop of a complete text. The
-    whole text is read.
+    whole text is read. Steps are projections of their own, so that no pass over a text is made twice.
     """
-    plain = F.rtrim(F.regexp_replace(text, F.lit(r"(?<!\\)%[^\n]*"), F.lit("")), F.lit(BLANK))
-    last = F.substring_index(plain, "\n", -1)
-    bare = F.regexp_replace(plain, F.lit(r"\\\\|\\[${}]"), F.lit(""))
-    count = lambda mark: F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit(mark[1:])))
-    opened = F.regexp_count(plain, F.lit(r"\\begin\{(?!document\})")) - F.regexp_count(plain, F.lit(r"\\end\{(?!document\})"))
-    is_open = (count("$") % 2 == 1) | (opened > 0) | (count("{") > count("}")) | (count("\\[") > count("\\]")) | (count("\\(") > count("\\)")) | plain.endswith("\ufffd")
-    omitted = reduce(lambda a, b: a | b, [plain.endswith(m) for m in OMISSION])
-    end = F.substring(plain, -64, 64)  # longer than any token, so a token is seen whole
-    token = F.regexp_extract(end, SHORT_STOP + "$", 1)
-    mark = F.substring(F.rtrim(plain, F.lit(CLOSERS)), -1, 1)
-    closing, first = F.regexp_extract(last, CLOSED_END, 1), F.regexp_extract(last, FIRST_OF_LINE, 1)
-    at = lambda cls, kind, tok="": F.struct(F.lit(cls).alias("class"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (tok if isinstance(tok, Column) else F.lit(tok)).alias("token"))
-    return (
-        F.when(text.isNull() | (F.length(F.rtrim(text, F.lit(BLANK))) == 0), F.lit(None))
-        .when(plain.contains("\\end{document}") | (F.length(plain) == 0), at("complete", ""))
-        .when(omitted, at("omission", ""))
-        .when(is_open, at("open", ""))
-        .when(end.rlike(r"\p{N}\.$"), at("number", ""))
-        .when(F.length(token) == 2, at("letter", ""))
-        .when((mark != "") & F.contains(F.lit(SENTENCE_MARKS), mark), at("complete", "", token))
-        .when(closing != "", at("closed", closing))
-        .when(last.rlike(COMMAND_ONLY), at("closed", first))
-        .otherwise(at("word", first))
+    given = df.columns
+    lit = F.lit
+    steps = df.withColumn("_plain", F.rtrim(F.regexp_replace(text, lit(r"(?<!\\)%[^\n]*"), lit("")), lit(BLANK)))
+    steps = steps.withColumn("_done", F.contains("_plain", lit("\\end{document}")) | (F.length("_plain") == 0)).withColumn("_rest", F.when(~F.col("_done"), F.col("_plain")))
+    rest = F.col("_rest")
+    steps = steps.select(
+        *given, "_done", "_rest", (F.length(F.rtrim(F.col(text), lit(BLANK))) == 0).alias("_blank"), F.substring_index(rest, "\n", -1).alias("_last"),
+        F.substring(rest, -64, 64).alias("_end"),  # longer than any token, so a token is seen whole
+        F.substring(F.rtrim(rest, lit(CLOSERS)), -1, 1).alias("_mark"), F.regexp_replace(rest, lit(STRUCTURE), lit("$1")).alias("_structure"),
+        (F.regexp_count(rest, lit(r"\\begin\{(?!document\})")) - F.regexp_count(rest, lit(r"\\end\{(?!document\})"))).alias("_opened"),
+    )
+    count = lambda mark: F.length("_structure") - F.length(F.replace("_structure", lit(mark), lit(mark[1:])))
+    is_open = (count("$") % 2 == 1) | (F.col("_opened") > 0) | (count("{") > count("}")) | (count("\\[") > count("\\]")) | (count("\\(") > count("\\)")) | F.endswith("_end", lit("\ufffd"))
+    steps = steps.select(*given, "_done", "_blank", "_end", "_mark", "_last", is_open.alias("_open"), F.regexp_extract("_end", SHORT_STOP + "$", 1).alias("_token"), F.regexp_extract("_last", CLOSED_END, 1).alias("_closing"))
+    cls = (
+        F.when(F.col(text).isNull() | F.col("_blank"), lit(None))
+        .when(F.col("_done"), "complete")
+        .when(reduce(lambda a, b: a | b, [F.endswith("_end", lit(m)) for m in OMISSION]), "omission")
+        .when(F.col("_open"), "open")
+        .when(F.col("_end").rlike(r"\p{N}\.$"), "number")
+        .when(F.length("_token") == 2, "letter")
+        .when((F.col("_mark") != "") & F.contains(lit(SENTENCE_MARKS), "_mark"), "complete")
+        .when((F.col("_closing") != "") | F.col("_last").rlike(COMMAND_ONLY), "closed")
+        .otherwise("word")
     )
+    kind = F.when(F.col("class").isin("closed", "word"), F.when(F.col("_closing") != "", F.col("_closing")).otherwise(F.regexp_extract("_last", FIRST_OF_LINE, 1))).when(F.col("class").isNotNull(), "")
+    token = F.when((F.col("class") == "complete") & ~F.col("_done"), F.col("_token")).when(F.col("class").isNotNull(), "")
+    return steps.withColumn("class", cls).select(*given, "class", kind.alias("kind"), token.alias("token"))
 
 
 def poisson_tail(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -159,8 +165,8 @@ def abbreviations(docs: DataFrame, tokens: DataFrame) -> DataFrame:
 def endings(docs: DataFrame) -> DataFrame:
     """(doc_id, source, class, kind, token, text_hash, chars, bytes) of each text; a closing line break or empty last line doesn't count as length."""
     body = F.regexp_replace("text", F.lit(r"\n{1,2}\z"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce(normal_source(F.col("source")), F.lit("")).alias("source"), ending(F.col("text")).alias("e"), F.xxhash64(body).alias("text_hash"), F.length(body).alias("chars"), F.octet_length(body).alias("bytes"))
-    return rows.select("doc_id", "source", "e.*", "text_hash", "chars", "bytes")
+    rows = with_endings(docs.select("doc_id", F.coalesce(normal_source(F.col("source")), F.lit("")).alias("source"), "text")).withColumn("body", body)
+    return rows.select("doc_id", "source", "class", "kind", "token", F.xxhash64("body").alias("text_hash"), F.length("body").alias("chars"), F.octet_length("body").alias("bytes"))
 
 
 def measured_lengths(judged: DataFrame) -> DataFrame:
