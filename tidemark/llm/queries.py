@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.cutoff import CountTree, keep_above
-from tidemark.llm.mixing import mix
+from tidemark.llm.mixing import Mix, mix
 from tidemark.llm.packing import fill, packed
 from tidemark.llm.tokens import token_count
 from tidemark.llm.topn import top_n
@@ -19,12 +19,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = in_force(_read(spark, sf_dir, "universe_month"), ["sid", "month_id"], "recv_at", ["avg_amount", "days_since_ipo"])
-    eligible = written(rows.where("days_since_ipo >= 120").select("month_id", "sid", "avg_amount"), "eligible")
+    return written(rows.where("days_since_ipo >= 120").select("month_id", "sid", "avg_amount"), "eligible")
+
+
+def _cutoffs(tree: CountTree, eligible: DataFrame) -> DataFrame:
+    return tree.cutoffs(eligible.groupBy("month_id").agg(F.count(F.lit(1)).alias("records")), 0.8, "average")
+
+
+def _universe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    eligible = _eligible(spark, sf_dir)
     tree = CountTree(spark, new_path(spark, "amounts"), ["month_id"])
     tree.add(eligible, "avg_amount", 0)
-    return eligible, tree.cutoffs(eligible.groupBy("month_id").agg(F.count(F.lit(1)).alias("records")), 0.8, "average")
+    return eligible, _cutoffs(tree, eligible)
 
 
 def p3_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +40,19 @@ def p3_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _universe(spark, sf_dir)[1]
 
 
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a tree that got its records in three batches, one of them again, and was compacted in between."""
+    eligible = _eligible(spark, sf_dir)
+    tree = CountTree(spark, new_path(spark, "batched-amounts"), ["month_id"])
+    batch = F.pmod(F.xxhash64("sid"), F.lit(3))
+    for i in (0, 1, 1):
+        tree.add(eligible.where(batch == i), "avg_amount", i)
+    tree.compact()
+    for i in (0, 2):
+        tree.add(eligible.where(batch == i), "avg_amount", i)
+    return _cutoffs(tree, eligible)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     eligible, cutoffs = _universe(spark, sf_dir)
     return keep_above(eligible, "avg_amount", cutoffs, ["month_id"]).select("month_id", "sid")
@@ -66,16 +87,24 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(_packed(spark, sf_dir))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> Mix:
+    plan = _read(spark, sf_dir, "source_mix").withColumn("source", normal_source(F.col("source")))
+    return mix(_sizes(spark, sf_dir), plan)
+
+
 def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses of each document in each plan."""
-    plan = _read(spark, sf_dir, "source_mix").withColumn("source", normal_source(F.col("source")))
-    return mix(_sizes(spark, sf_dir), plan)[0]
+    return _mixed(spark, sf_dir).uses
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source in each plan."""
-    plan = _read(spark, sf_dir, "source_mix").withColumn("source", normal_source(F.col("source")))
-    return mix(_sizes(spark, sf_dir), plan)[1]
+    return _mixed(spark, sf_dir).shares
+
+
+def p7_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each slot of each shard holds: its source, block, and the parts of documents in it."""
+    return _mixed(spark, sf_dir).slots
 
 
 def p8_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +129,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_cutoffs, p3_found, p4_top, p4_found, p6_packed, p6_fill, p7_uses, p7_shares, p8_judged, p8_found, p8_limits, p8_sources)}
+QUERIES = {f.__name__: f for f in (p3_cutoffs, p3_batches, p3_found, p4_top, p4_found, p6_packed, p6_fill, p7_uses, p7_shares, p7_slots, p8_judged, p8_found, p8_limits, p8_sources)}
 
 _MONTHS = """WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, month_id ORDER BY recv_at DESC) AS rn FROM universe_month WHERE sid IS NOT NULL AND month_id IS NOT NULL) WHERE rn = 1 AND days_since_ipo >= 120),
     n AS (SELECT month_id, count(*) AS n FROM f GROUP BY month_id),
@@ -133,6 +162,7 @@ _LIMITS = """WITH b AS (SELECT DISTINCT coalesce(lower(trim(source)), '') AS sou
     WHERE p <= (SELECT max(2.0 ** (-k / 4)) FROM f WHERE 2.0 ** (-k / 4) * tests <= 0.001 * passed)"""
 SQL: dict[str, str] = {
     "p3_cutoffs": _CUTOFFS,
+    "p3_batches": _CUTOFFS,
     "p3_found": _MONTHS + "SELECT month_id, sid FROM kept",
     "p4_top": _TOP,
     "p4_found": f"SELECT sid, score_id FROM ({_TOP})",
