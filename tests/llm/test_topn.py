@@ -39,3 +39,11 @@ def test_nulls_ties_and_empty(spark):
 def test_few_distinct_scores_give_few_bands(spark):
     df = spark.createDataFrame([("a", i, float(i % 2), 1, 0, "") for i in range(50)], SCHEMA)
     assert len(band_bounds(df, "score", 6)) <= 2 and band_bounds(df.where("false"), "score", 6) == []
+
+
+def test_heavy_groups_are_split(spark):
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.6 else f"g{rng.randrange(9)}", i, rng.randrange(30) / 7, rng.randrange(5), 1, "x") for i in range(2000)]
+    out = top_n(spark.createDataFrame(rows, SCHEMA), ["g"], "score", ["day", "id"], ["id"], 40, 4, split=50)
+    assert sorted((r.g, r.place, r.id) for r in out.collect()) == brute(rows, 40)
+    assert out.columns == ["g", "id", "score", "day", "place"]
