@@ -7,7 +7,7 @@ batch that comes again replaces its part; a manifest, put in place by a rename,
 batch wholly or not at all. Parts can be compacted into one. A target rank is found by walking down: among the at most 2^8
 descendants of a source's current node that are stored next, the one that holds the rank is the next node. The leaf
 reached is then refined over the distinct scores of its own records, 16 bits at a time, so equal scores are one count.
-Distinct scores are stored by their first 16 bits, so only the bands that hold a cutoff are read.
+Distinct scores are stored by their first 12 bits (sign and exponent), so only the bands that hold a cutoff are read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from tidemark.operators.salting import fresh, spread_join
 from tidemark.session import written
 
-STEP, BAND, LEAF, REFINE, DEPTH = 8, 16, 32, 16, 64
+STEP, BAND, LEAF, REFINE, DEPTH = 8, 12, 32, 16, 64
 
 
 def codes(scores: np.ndarray) -> np.ndarray:
@@ -166,7 +166,7 @@ class CountTree:
             children = nodes.where(F.col("bits") == bits).groupBy(*self.source, F.col("prefix").alias("child")).agg(F.sum("n").alias("n"))
             at = self._step(at, children.withColumn("prefix", F.shiftrightunsigned("child", STEP)), STEP).drop("ties")
         at = written(at, "leaves")
-        # Only records of the leaves reached are looked at from here on, in the at most 2^16 bands that hold one.
+        # Only records of the leaves reached are looked at from here on, in the at most 2^12 bands that hold one.
         bands = [r["band"] for r in at.select(F.shiftrightunsigned("prefix", LEAF - BAND).cast("int").alias("band")).distinct().collect()]
         leaves = at.select(*self.source, F.col("prefix").alias("leaf"))
         refined = kept.where(F.col("band").isin(bands)).join(leaves, [*self.source, "leaf"]).groupBy(*self.source, "code").agg(F.sum("n").alias("n"))
