@@ -174,7 +174,7 @@ def mix(sizes: DataFrame, plan: DataFrame, config: MixConfig = MixConfig()) -> M
                 (name, draw, lo, hi, n, starts.tolist(), part.tolist(), names, [blocks.get(x, 0) for x in names], keys)
                 for lo, hi, n, starts, part in split_down(root, [c.seed, draw], c.shard, NODES.bit_length() - 1)
             ]
-    tree = spark.createDataFrame(nodes, "plan string, draw long, lo long, hi long, slots long, starts array<long>, owed array<long>, names array<string>, blocks array<long>, keys array<long>").repartition(max(1, min(len(nodes), 64)))
+    tree = spark.createDataFrame(nodes, "plan string, draw long, lo long, hi long, slots long, starts array<long>, owed array<long>, names array<string>, blocks array<long>, keys array<long>").repartition(max(1, min(len(nodes), -(-total // UNROLL))))
 
     def shards_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["plan", "shard", "size", "key", "source", "start", "count", "offset", "blocks", "draw"]
