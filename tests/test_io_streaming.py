@@ -21,9 +21,14 @@ def test_readers(spark, tmp_path):
 
 
 def test_block_csv(spark):
-    lines = spark.createDataFrame([(0, "title"), (1, "n;o,c;n;o,c"), (2, "x;1,2;y;3,"), (3, "x;4;;")], "line_no int, value string")
-    got = {(r.line_no, r.name, r.field): r.value for r in io.block_rows(lines).collect()}
-    assert got == {(2, "x", "o"): 1.0, (2, "x", "c"): 2.0, (2, "y", "o"): 3.0, (2, "y", "c"): None, (3, "x", "o"): 4.0, (3, "x", "c"): None}
+    rows = [("f", 0, "title"), ("f", 1, "id;n;o,c;m;o,c"), ("f", 2, "1;x;1,2;y;3,"), ("f", 3, "2;x;4;;"), ("f", 4, "3"), ("g", 0, ""), ("g", 1, "id;k;v"), ("g", 2, "7;t;8"), ("h", 2, "9;t;8")]
+    lines = spark.createDataFrame(rows, "file string, line_no int, value string")
+    got = {(r.file, r.id, r.block, r["at"], r.field): r.value for r in io.block_rows(lines, file="file").collect()}
+    assert got == {
+        ("f", "1", "n", "x", "o"): 1.0, ("f", "1", "n", "x", "c"): 2.0, ("f", "1", "m", "y", "o"): 3.0, ("f", "1", "m", "y", "c"): None, ("f", "2", "n", "x", "o"): 4.0, ("f", "2", "n", "x", "c"): None,
+        ("f", "2", "m", "", "o"): None, ("f", "2", "m", "", "c"): None, ("g", "7", "k", "t", "v"): 8.0,
+    }
+    assert io.block_rows(lines.where("file = 'g'").drop("file")).count() == 1 and io.block_rows(lines.where("false")).count() == 0
 
 
 def test_wire_scales(spark):
@@ -45,21 +50,24 @@ def events(spark, data):
 
 def test_stream_equals_batch(spark, data):
     batch, stream = events(spark, data)
-    out = online.drain(online.tumbling(stream, "ts", ["event_type"], "value"), "t1", new_path(spark, "s"))
+    out = online.drain(online.tumbling(stream, "ts", ["event_type"], "value"), new_path(spark, "s"))
     whole = batch.groupBy("event_type", F.window("ts", "1 hour").alias("w")).count().select("event_type", F.col("w.start").alias("start"), F.col("count").alias("n"))
     assert out.count() > 0 and out.select("event_type", "start", "n").exceptAll(whole).count() == 0
-    state = online.drain(online.posterior_counts(stream.select((F.col("user_id") % 2).alias("s"), (F.col("user_id") % 4).alias("b")), "s", "b", 4), "t2", new_path(spark, "s"), "update")
+    pairs = stream.select((F.col("user_id") % 2).alias("s"), (F.col("user_id") % 4).alias("b"))
+    state = online.latest(online.drain(online.posterior_counts(pairs, "s", "b", 4), new_path(spark, "s"), "update"), ["s"])
+    with pytest.raises(Exception, match="a bin outside the range"):
+        online.drain(online.posterior_counts(pairs, "s", "b", 3), new_path(spark, "s"), "update")
     n = batch.count()
     assert sum(sum(r.counts) for r in state.collect()) == n + 8
-    s = online.drain(online.sessions(stream, "ts", "user_id"), "t3", new_path(spark, "s"))
+    s = online.drain(online.sessions(stream, "ts", "user_id"), new_path(spark, "s"))
     assert s.agg(F.sum("n")).first()[0] <= n and s.count() > 0
 
 
 def test_rate_limit_drops_the_excess(spark, tmp_path):
-    rows = spark.range(10).select(F.lit("k").alias("key"), F.timestamp_seconds(F.col("id")).alias("ts")).unionByName(spark.sql("select 'k' key, timestamp_seconds(100) ts"))
+    rows = spark.range(10).select(F.lit("k").alias("key"), F.timestamp_seconds(F.col("id") + 1_000_000).alias("ts")).unionByName(spark.sql("select 'k' key, timestamp_seconds(1000100) ts"))
     rows.coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "e"))
-    out = online.drain(online.rate_limited(stream, "ts", "key", 4), "t4", new_path(spark, "s"))
+    out = online.drain(online.rate_limited(stream, "ts", "key", 4), new_path(spark, "s"))
     assert out.where("accepted").count() == 5 and out.count() == 11
 
 
@@ -71,3 +79,14 @@ def test_instruments_ranges_and_trials(spark, tmp_path):
     for s in (1.0, 2.0):
         io.append_trial(spark, str(tmp_path / "t"), {"m": 1}, s)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_a_stream_in_many_triggers_gives_the_last_counts_once(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(0, j % 2) for j in range(10 * (i + 1))], "s int, b int").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = online.file_stream(spark, str(tmp_path / "in/*"), "s int, b int", 1)
+    path = new_path(spark, "s")
+    rows = online.drain(online.posterior_counts(stream, "s", "b", 2), path, "update")
+    assert rows.select("_batch").distinct().count() == 3 and [r.counts for r in online.latest(rows, ["s"]).collect()] == [[31, 31]]
+    again = online.drain(online.posterior_counts(stream, "s", "b", 2), path, "update")
+    assert [r.counts for r in online.latest(again, ["s"]).collect()] == [[31, 31]]

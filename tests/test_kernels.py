@@ -6,8 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.kernels import dtw as K
-from tidemark.kernels.gpd import fit, tail_bins
-from tidemark.kernels.mprofile import block_minima, top_candidates
+from tidemark.kernels.mprofile import block_minima
 
 
 def slow_dtw(a, b, w):
@@ -46,10 +45,8 @@ def test_least_distance_over_windows():
     assert np.isinf(got[1:]).all() and np.isinf(K.least_distance(curves[:1], motif, 2, got[0] * 0.9)).all()
 
 
-def test_band_and_candidates():
+def test_band():
     assert K.band(5, 0.05) == 1 and K.band(60, 0.2) == 12 and K.band(60, 0.9, 5) == 24
-    d = np.array([5.0, 1, 2, 9, 0, 3, 1.5])
-    assert top_candidates(d, 1, 5, 4.0) == [1, 6] and top_candidates(d, 0, 2, 4.0) == [1, 6] and top_candidates(np.array([]), 1, 3, 1.0) == []
 
 
 def test_block_minima_shuts_out_near_windows():
@@ -61,11 +58,3 @@ def test_block_minima_shuts_out_near_windows():
         far = [j for j in range(6) if abs(i - j) > 2]
         assert d[i] == pytest.approx(min(np.linalg.norm(z[i] - z[j]) for j in far)) and nn[i] in far
 
-
-def test_pareto_fit_recovers_its_parameters():
-    rng = np.random.default_rng(2)
-    xi, sigma = fit(((1 - rng.random(20_000)) ** -0.2 - 1) / 0.2 * 1.5)
-    assert xi == pytest.approx(0.2, abs=0.03) and sigma == pytest.approx(1.5, rel=0.04)
-    assert tail_bins(np.arange(49.0), (0.1, 0.9)) is None
-    edges, centres = tail_bins(rng.normal(size=5000), (0.1, 0.5, 0.9))
-    assert centres[0] < edges[0] < centres[1] < edges[1] < centres[2] < edges[2] < centres[3]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.kernels.dtw import znorm
-from tidemark.kernels.gpd import tail_bins
 from tidemark.operators import motif as M
 from tidemark.operators import panel as P
 from tidemark.operators import reports as R
@@ -113,7 +112,7 @@ def test_expressions(spark):
     z = one.select(X.znorm(F.array(*[F.lit(float(v)) for v in (1, 2, 4)]))).first()[0]
     assert z == pytest.approx(znorm(np.array([1.0, 2, 4])).tolist())
     labels = one.select(*[X.volume_label(F.lit(float(v)), F.lit(1e9)).alias(f"c{i}") for i, v in enumerate((999, 1500, 2.5e6, 1.1e9, 1.3e9))]).first()
-    assert list(labels) == ["999", "1K", "2M", "1G", ""]
+    assert list(labels) == ["0G", "0G", "0G", "1G", ""]
     values = one.select(*[X.zero_if_not_finite(F.lit(v)).alias(f"c{i}") for i, v in enumerate((1.0, float("nan"), float("inf")))]).first()
     assert list(values) == [1.0, 0.0, 0.0]
 
@@ -190,18 +189,62 @@ def test_matrix_profile_against_brute_force(spark):
         assert got[g, s, i] == pytest.approx(min(np.linalg.norm(w - v) for h, t, j, v in wins if h == g and not (t == s and abs(i - j) <= 2)), abs=1e-6)
 
 
-def test_tail_bins_match_the_kernel(spark):
+def test_tail_bins_recover_known_tails(spark):
     rng = np.random.default_rng(5)
-    x = rng.standard_t(4, 20_000) * 0.01
+    n, xi, sigma = 40_000, 0.2, 1.5
+    tail = lambda k: ((1 - rng.random(k)) ** -xi - 1) / xi * sigma
+    x = np.concatenate([-1 - tail(n // 20), rng.uniform(-1, 1, n - 2 * (n // 20)), 1 + tail(n // 20)])
     df = spark.createDataFrame([("a", float(v)) for v in x] + [("few", 1.0)] * 9 + [("a", None), ("a", float("nan")), (None, 1.0)], "k string, v double")
     out = TL.gpd_bins(df, "v", "k").collect()
-    edges, centres = tail_bins(x, TL.QUANTILES)
-    assert [r.k for r in out] == ["a"] and out[0].edges == pytest.approx(edges, abs=2e-4) and out[0].centres == pytest.approx(centres, rel=0.05, abs=5e-4)
+    assert [r.k for r in out] == ["a"] and out[0].edges == pytest.approx(np.quantile(x, TL.QUANTILES), abs=5e-3)
+    beyond = sigma / (1 - xi)
+    assert out[0].centres[0] == pytest.approx(-1 - beyond, rel=0.06) and out[0].centres[4] == pytest.approx(1 + beyond, rel=0.06)
+    inner = [x[(x >= a) & (x < b)].mean() for a, b in zip(out[0].edges, out[0].edges[1:])]
+    assert out[0].centres[1:4] == pytest.approx(inner, abs=1e-3)
     assert TL.gpd_bins(df.where("false"), "v", "k").count() == 0
 
 
-def test_anchored_chain_stops_at_a_cycle():
-    assert M.anchored_chain({5: 3, 3: 1, 1: 3}, 5) == [5, 3, 1] and M.anchored_chain({}, 2) == [2]
+def test_anchored_chains_go_back_within_a_series(spark):
+    rows = [("a", 9, 0.1, "a", 5), ("a", 5, 0.1, "a", 2), ("a", 2, 0.1, "a", 9), ("a", 7, 0.9, "a", 1), ("b", 9, 0.1, "a", 5), ("b", 3, 0.1, "b", 1)]
+    profile = spark.createDataFrame(rows, "series string, pos int, distance double, nn_series string, nn_pos int")
+    anchors = spark.createDataFrame([("a", 9), ("a", 7), ("b", 9), ("c", 1)], "series string, pos int")
+    got = {}
+    for r in M.anchored_chains(profile, anchors, 0.5).orderBy("step").collect():
+        got.setdefault((r.series, r.anchor), []).append(r.pos)
+    assert got == {("a", 9): [9, 5, 2], ("a", 7): [7], ("b", 9): [9]}
+    assert M.anchored_chains(profile, anchors.where("false"), 0.5).count() == 0
+
+
+def test_axis_helpers(spark):
+    df = spark.createDataFrame([(i, f"l{i}") for i in range(10)], "k int, l string")
+    assert sorted(r.k for r in R.row_slice(df, ["k"], -3, 9).collect()) == [7, 8] and R.row_slice(df, ["k"], 5, 2).count() == 0
+    ticks = spark.createDataFrame([(-4.0,), (2.6,), (99.0,)], "tick double")
+    assert rows(R.index_labels(df, ["k"], ticks, F.col("l")), "tick", "label") == [(-4.0, "l0"), (2.6, "l3"), (99.0, "l9")]
+    assert R.index_labels(df.where("false"), ["k"], ticks, F.col("l")).where("label is null").count() == 3
+    clocks = spark.createDataFrame([("a", 2, 1), ("b", 1, 5), ("c", 1, 3), ("d", None, 0)], "name string, timeframe int, compression int")
+    assert [r.name for r in R.finest_clock(clocks).collect()] == ["c"] and R.finest_clock(clocks.where("false")).count() == 0
+
+
+def test_volume_labels_share_the_divisor_of_their_axis(spark):
+    from tidemark.functions.exprs import volume_label
+
+    df = spark.createDataFrame([(950.0, 2e6), (1_500_000.0, 2e6), (2_500_000.0, 2e6), (-1500.0, 2000.0), (7e15, 9e15), (999.0, 999.0)], "v double, top double")
+    assert [r.s for r in df.select(volume_label(F.col("v"), F.col("top")).alias("s")).collect()] == ["0M", "1M", "", "-1K", "7P", "999"]
+
+
+def test_dashboard_leaves_other_kinds_and_sids_out(spark):
+    log = spark.createDataFrame(
+        [("bar", "a", 1, 5.0, None, None), ("bar", "a", 2, 6.0, None, None), ("bar", "b", 1, 7.0, None, None), ("fill", "a", 1, None, "BUY", 2.0), ("fill", "a", 1, None, "BUY", None), ("fill", "a", 1, None, "SELL", 3.0), ("fill", "a", 1, None, "HOLD", 9.0), ("note", "a", 2, None, "BUY", 9.0)],
+        "table_type string, sid string, datetime int, close double, direction string, size double",
+    )
+    got = R.dashboard(log, "a", "bar", "fill").collect()
+    assert [(r.datetime, r.close, r.buy, r.sell) for r in got] == [(1, 5.0, 2.0, 3.0), (2, 6.0, 0.0, 0.0)] and R.dashboard(log, "z", "bar", "fill").count() == 0
+
+
+def test_bars_take_the_first_open_that_is_there(spark):
+    ticks = spark.createDataFrame([("a", 1, 0, 1.0, None, 5.0, 4.0, 4.5, 1.0, 1.0), ("a", 1, 0, 2.0, 4.2, 6.0, 4.0, 5.5, 1.0, 1.0)], "sid string, day int, minute_idx int, at double, open double, high double, low double, close double, volume double, amount double")
+    bar = TS.minute_bars(ticks).first()
+    assert bar.open == 4.2 and bar.close == 5.5
 
 
 def test_end_of_day_windows(spark):

@@ -32,6 +32,7 @@ def test_discovery_finds_the_shape_and_predicts(spark, planted, tmp_path):
     assert scores.count() >= model["triggers"] and scores.where("abs(fsm_score) > 1").count() == 0
     io.save_model(spark, str(tmp_path / "m"), 2004, model["config"], model["motif"], model["network"], model["score"])
     assert io.latest_model(spark, str(tmp_path / "m"), 2003) is None and io.latest_model(spark, str(tmp_path / "m"), 2009)["motif"] == pytest.approx(model["motif"])
+    assert scores.collect() == sorted(scores.collect(), key=lambda r: (r.day, -r.fsm_score, r.sid))
     assert S.still_good(model, planted)
     again = S.search(lambda c: planted, [config])
     assert again["motif"] == pytest.approx(model["motif"])
@@ -66,3 +67,44 @@ def test_profile_queries_compare_all_sids(spark, data, planted, monkeypatch):
     assert len(got) == len(wins) and all(r.distance == pytest.approx(least[r.series, r.pos], abs=1e-6) and r.sid == r.series.split("|")[0] for r in got)
     top = R.motif_topk(spark, data).orderBy("distance").first()
     assert top.distance == pytest.approx(min(least.values()), abs=1e-6)
+
+
+def test_a_test_year_s_own_distribution_plays_no_part(spark, planted):
+    """States of the test year come from the training year's terciles: shifting all flows of the test year shifts its states."""
+    first = planted.where("day < '2004-01-16'")
+    later = planted.where("day >= '2004-01-16'").withColumn("daily_curve", F.transform("daily_curve", lambda x: x + 5.0))
+    panel_of = lambda y, c: first if y == 2004 else later
+    shape = (np.sin(np.linspace(0, 3 * np.pi, 12)) * 0.5).tolist()
+    [(year, model, scores)] = S.walk_forward([2005], panel_of, 1, configs=[S.SearchConfig(threshold_r=0.9)], motifs=[shape], gate=False)
+    assert year == 2005 and model["bounds"] is not None
+    rows = scores.collect()
+    assert rows and {r.macro_state for r in rows} == {2}
+    assert {r.macro_state for r in S.predict(later, model, mode="triggers").collect()} == {0, 1, 2}
+
+
+def test_walk_forward_over_years(spark, planted, tmp_path):
+    calls = []
+
+    def panel_of(y, c):
+        calls.append((y, c.downsample, c.cross_days))
+        return planted
+
+    shape = (np.sin(np.linspace(0, 3 * np.pi, 12)) * 0.5).tolist()
+    configs = [S.SearchConfig(threshold_r=0.9), S.SearchConfig(threshold_r=0.95), S.SearchConfig(motif_minutes=360)]
+    out = S.walk_forward([2005, 2006], panel_of, 3, path=str(tmp_path), configs=configs, motifs=[shape])
+    assert [y for y, *_ in out] == [2005, 2006] and out[0][1] is out[1][1]  # held on the next training year
+    # One panel for all configurations of the search, then one to score, one to check the model and one to score.
+    assert [y for y, *_ in calls].count(2004) == 2 and len(calls) == 5
+    trials = sorted(r.metrics_score for r in spark.read.parquet(str(tmp_path / "trials")).collect())
+    assert trials[0] == -9999.0 and len(trials) == 3
+    assert io.latest_model(spark, str(tmp_path / "models"), 2006)["bounds"] == pytest.approx(out[0][1]["bounds"])
+    assert spark.read.parquet(str(tmp_path / "scores")).groupBy("year").count().count() == 2
+    noise = planted.withColumns({f"fwd_ret_{k}": F.lit(0.01) for k in (1, 2, 3)})
+    assert S.walk_forward([2005], lambda y, c: noise, 1, configs=configs[:1], motifs=[shape]) == []
+
+
+def test_missing_horizons_are_skipped(planted):
+    two = planted.drop("fwd_ret_3")
+    model = S.discover(two, S.SearchConfig(threshold_r=0.9), [(np.sin(np.linspace(0, 3 * np.pi, 12)) * 0.5).tolist()])
+    assert {r["step"] for r in model["network"]} == {"macro_state->bin_1", "bin_1->bin_2"} and S.predict(two, model).count() > 0
+    assert S.discover(planted.where("false"), S.SearchConfig()) is None

@@ -21,11 +21,6 @@ def zero_if_not_finite(c: Column) -> Column:
     return F.when(finite(c), c).otherwise(F.lit(0.0))
 
 
-def clip(c: Column, low: float, high: float) -> Column:
-    """Null stays null (greatest and least alone would drop it)."""
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
-
-
 def rescaled(c: Column, factor: float, digits: int = 2) -> Column:
     """A fixed-point integer as a number."""
     return F.round(c.cast("double") * factor, digits)
@@ -75,20 +70,21 @@ def windows_of(a: Column, width: int) -> Column:
     return F.when(F.size(a) >= width, F.transform(F.sequence(F.lit(1), F.size(a) - width + 1), lambda i: F.slice(a, i, width))).otherwise(F.array().cast("array<array<double>>"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
 def motif_threshold(m: int, r: float) -> float:
     """Z-normalised Euclidean distance of two windows of m points whose correlation is r."""
     return (2 * m * (1 - r)) ** 0.5
 
 
 def volume_label(v: Column, top: Column) -> Column:
-    """A tick label: divided by 1000 until below it, truncated, with its suffix; blank above 1.2 times the top."""
-    step = F.when(v < 1e3, 0).when(v < 1e6, 1).when(v < 1e9, 2).when(v < 1e12, 3).otherwise(4)
-    suffix = F.element_at(F.array(*[F.lit(s) for s in ("", "K", "M", "G", "T")]), step + 1)
-    return F.when(v > 1.2 * top, F.lit("")).otherwise(F.concat(F.floor(v / F.pow(F.lit(1000.0), step)).cast("string"), suffix))
+    """A tick label of an axis that ends at ``top``: all of an axis are divided by the thousands of its top, truncated, with
+    one suffix; blank above 1.2 times the top. Tops of a million P and more keep the last suffix."""
+    size = F.abs(top)
+    step = F.when(size < 1e3, 0).when(size < 1e6, 1).when(size < 1e9, 2).when(size < 1e12, 3).when(size < 1e15, 4).otherwise(5)
+    # Suffixes of powers of a thousand.
+    suffix = F.element_at(F.array(*[F.lit(s) for s in ("", "K", "M", "G", "T", "P")]), step + 1)
+    scaled = v / F.pow(F.lit(1000.0), step)
+    whole = F.when(scaled < 0, F.ceil(scaled)).otherwise(F.floor(scaled))
+    return F.when(v > 1.2 * top, F.lit("")).otherwise(F.concat(whole.cast("string"), suffix))
 
 
 def page_of(index: Column, rows: Column, pages: int) -> Column:

@@ -36,14 +36,3 @@ def block_minima(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right
     return np.where(found, np.sqrt(((a - b[best]) ** 2).sum(1)), np.inf), np.where(found, best, -1)
 
 
-def top_candidates(distance: np.ndarray, m: int, k: int, limit: float, trivial: float = 1e-5) -> list[int]:
-    """Greedy minima of a profile with m rows on either side shut out after each pick; trivial matches don't count."""
-    d = np.where(np.isnan(distance) | (distance <= trivial), np.inf, distance).astype(float)
-    out: list[int] = []
-    while len(out) < k and len(d):
-        i = int(d.argmin())
-        if not d[i] <= limit:
-            break
-        out.append(i)
-        d[max(0, i - m) : i + m + 1] = np.inf
-    return out

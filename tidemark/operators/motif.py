@@ -114,13 +114,27 @@ def candidate_motifs(profile: DataFrame, m: int, r: float = 0.85, k: int = 5, tr
     return picks
 
 
-def anchored_chain(profile_left: dict[int, int], anchor: int) -> list[int]:
-    """Follow left neighbours from an anchor until there is none or one comes again."""
-    chain, seen = [anchor], {anchor}
-    while (nxt := profile_left.get(chain[-1], -1)) >= 0 and nxt not in seen:
-        chain.append(nxt)
-        seen.add(nxt)
-    return chain
+def anchored_chains(profile: DataFrame, anchors: DataFrame, limit: float) -> DataFrame:
+    """(series, anchor, step, pos): from each anchor back along nearest windows that lie before it in its own series.
+
+    ``anchors``: series, pos. A chain ends where the nearest window lies in another series or not before it, or is farther
+    than ``limit``. A series' profile is bounded by its length, so a series is walked as one group; an anchor without a
+    profile row gives nothing.
+    """
+    back = profile.where((F.col("nn_series") == F.col("series")) & (F.col("nn_pos") < F.col("pos")) & (F.col("distance") <= limit))
+    known = profile.join(anchors.select("series", "pos").distinct(), ["series", "pos"]).select("series", "pos", F.lit(None).cast("int").alias("nn_pos"))
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        to = frame.dropna().set_index("pos")["nn_pos"].astype(int).to_dict()
+        out = []
+        for anchor in frame.loc[frame["nn_pos"].isna(), "pos"]:
+            at, step = int(anchor), 0
+            while at is not None:
+                out.append((frame["series"].iloc[0], int(anchor), step, at))
+                at, step = to.get(at), step + 1
+        return pd.DataFrame(out, columns=["series", "anchor", "step", "pos"])
+
+    return back.select("series", "pos", "nn_pos").unionByName(known).groupBy("series").applyInPandas(walk, "series string, anchor int, step int, pos int")
 
 
 def mad_znormed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -130,10 +144,3 @@ def mad_znormed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.join(dev, keys).withColumn("robust_z", (F.col(value) - F.col("_med")) / (1.4826 * F.col("_mad") + 1e-8)).drop("_med", "_mad")
 
 
-def left_neighbours(profile: DataFrame) -> DataFrame:
-    """Rows whose nearest window lies earlier in the same series."""
-    return profile.where((F.col("nn_series") == F.col("series")) & (F.col("nn_pos") < F.col("pos")))
-
-
-def ordered_by_distance(profile: DataFrame) -> DataFrame:
-    return profile.withColumn("place", F.row_number().over(W.partitionBy("series").orderBy("distance", "pos")))

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import page_of, volume_label
 from tidemark.operators.globalrank import global_index
 
-DASHBOARD = """
-    WITH bars AS (SELECT * FROM {bars} WHERE sid = :sid),
-         fills AS (
-             SELECT ts, sum(CASE WHEN direction = 'BUY' THEN size ELSE 0 END) AS buy_size, sum(CASE WHEN direction = 'SELL' THEN size ELSE 0 END) AS sell_size
-             FROM {orders} WHERE sid = :sid GROUP BY ts)
-    SELECT b.*, coalesce(f.buy_size, 0) AS buy_size, coalesce(f.sell_size, 0) AS sell_size
-    FROM bars b LEFT JOIN fills f ON b.ts = f.ts ORDER BY b.ts
-"""
+def dashboard(log: DataFrame, sid: str, bar_kind: str, fill_kind: str) -> DataFrame:
+    """Bars of a sid with what was bought and sold at each time, in time order.
 
-
-def dashboard(spark: SparkSession, bars: DataFrame, orders: DataFrame, sid: str) -> DataFrame:
-    """Bars of a sid with what was bought and sold at each time, in time order. The sid is a bound parameter."""
-    return spark.sql(DASHBOARD, args={"sid": sid}, bars=bars, orders=orders)
+    ``log`` holds rows of several kinds, told apart by ``table_type``: bars with their own columns, and fills with direction
+    and size. One scan is filtered by sid, which reaches the files; fills shrink to a row per time before they meet the
+    bars. Times without fills have 0. Null sizes don't count; a fill of another direction counts on neither side.
+    """
+    own = log.where(F.col("sid") == F.lit(sid))
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("direction") == side, F.col("size"))), F.lit(0.0))
+    flows = own.where(F.col("table_type") == fill_kind).groupBy("datetime").agg(of("BUY").alias("buy"), of("SELL").alias("sell"))
+    bars = own.where(F.col("table_type") == bar_kind).drop("direction", "size")
+    return bars.join(flows, "datetime", "left").fillna(0.0, ["buy", "sell"]).orderBy("datetime")
 
 
 def candle_shapes(bars: DataFrame) -> DataFrame:
@@ -69,3 +68,28 @@ def tabbed(names: DataFrame, name: str, per_group: int = 6, colours: int = 10) -
     return global_index(names.select(name).distinct(), [F.col(name)], "index").select(
         name, F.floor(F.col("index") / per_group).cast("int").alias("tab"), (F.col("index") % per_group).cast("int").alias("place"), (F.col("index") % colours).cast("int").alias("colour")
     )
+
+
+def index_labels(df: DataFrame, order: list[str], ticks: DataFrame, label: Column) -> DataFrame:
+    """(tick, label) of axis positions: the label of the row at the rounded position, the first or last one beyond the ends.
+
+    ``ticks`` has ``tick``, a number; rows are numbered from 0 in ``order``. An empty table gives null labels.
+    """
+    rows = global_index(df.withColumn("label", label), [F.col(c) for c in order], "_i").select("_i", "label")
+    last = rows.count() - 1
+    at = F.greatest(F.least(F.round("tick").cast("long"), F.lit(last)), F.lit(0))
+    return ticks.select("tick").withColumn("_i", at.cast("long")).join(rows, "_i", "left").select("tick", "label")
+
+
+def row_slice(df: DataFrame, order: list[str], start: int, end: int) -> DataFrame:
+    """Rows from position ``start`` up to, not with, ``end`` in ``order``; negative positions count from the end."""
+    rows = global_index(df, [F.col(c) for c in order], "_i")
+    n = rows.count() if start < 0 or end < 0 else 0
+    lo, hi = (x + n if x < 0 else x for x in (start, end))
+    return rows.where((F.col("_i") >= max(lo, 0)) & (F.col("_i") < hi)).drop("_i")
+
+
+def finest_clock(clocks: DataFrame, order: tuple[str, ...] = ("timeframe", "compression", "name")) -> DataFrame:
+    """The row with the least (timeframe, compression), the first name among equals: one row, none of an empty table.
+    Rows with a null in the first two don't count."""
+    return clocks.dropna(subset=list(order[:2])).orderBy(*order).limit(1)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tidemark.functions.exprs import array_sum, nearest_quantile
 from tidemark.operators.panel import by_day, day_return
 
+# Weights of the return bins and of the horizons.
 WEIGHTS = (-1.0, -0.5, 0.5, 1.0)
 HORIZON_WEIGHTS = (0.5, 0.3, 0.2)
 

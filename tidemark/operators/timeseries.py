@@ -29,9 +29,9 @@ def filled(column: str, keys: list[str], order: list[str], backward: bool = True
 def minute_bars(ticks: DataFrame) -> DataFrame:
     """One row per (sid, day, minute_idx) from ticks with those columns, ``at`` and OHLC, volume, amount.
 
-    First, greatest, least and last by (at, value); sums of volume and amount. Exact duplicates should be gone.
+    First, greatest, least and last by (at, value) of those that are there; sums of volume and amount. Exact duplicates should be gone.
     """
-    first_last = [F.min(F.struct("at", "open")).alias("_o"), F.max("high").alias("high"), F.min("low").alias("low"), F.max(F.struct("at", "close")).alias("_c")]
+    first_last = [F.min(F.when(F.col("open").isNotNull(), F.struct("at", "open"))).alias("_o"), F.max("high").alias("high"), F.min("low").alias("low"), F.max(F.when(F.col("close").isNotNull(), F.struct("at", "close"))).alias("_c")]
     return (
         ticks.groupBy("sid", "day", "minute_idx").agg(*first_last, F.sum("volume").alias("volume"), F.sum("amount").alias("amount"))
         .select("sid", "day", "minute_idx", F.col("_o.open").alias("open"), "high", "low", F.col("_c.close").alias("close"), "volume", "amount")
@@ -95,7 +95,7 @@ def resampled(df: DataFrame, keys: list[str], ts: str, every: str, aggs: dict[st
     """
     at = F.col(ts) - F.expr("interval 1 microsecond") if right else F.col(ts)
     how = {
-        "first": lambda c: F.min(F.struct(F.col(ts), F.col(c)))[c], "last": lambda c: F.max(F.struct(F.col(ts), F.col(c)))[c],
+        "first": lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(ts), F.col(c))))[c], "last": lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(ts), F.col(c))))[c],
         "max": F.max, "min": F.min, "mean": F.avg, "sum": F.sum,
     }
     w = F.window(at, every)

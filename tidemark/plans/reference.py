@@ -22,6 +22,7 @@ from tidemark.operators import stats as SS
 from tidemark.operators import tail as TL
 from tidemark.operators import timeseries as TS
 from tidemark.operators import universe as U
+from tidemark.operators.globalrank import global_index
 from tidemark.operators.inforce import in_force, yyyymmdd_date
 from tidemark.operators.regrid import epoch_seconds, session_minute
 from tidemark.session import new_path
@@ -41,7 +42,7 @@ PARTS = {
         FROM (SELECT *, CAST(floor((s - floor(s / 86400) * 86400) / 60) AS INT) AS mm FROM (
             SELECT DISTINCT *, CASE WHEN abs(tick) >= 1e17 THEN tick / 1e9 WHEN abs(tick) >= 1e14 THEN tick / 1e6 WHEN abs(tick) >= 1e11 THEN tick / 1e3 ELSE tick END AS s
             FROM tick WHERE tick IS NOT NULL AND close > 0 AND NOT isnan(close)))""",
-    "bars": """SELECT sid, day, minute AS minute_idx, min({'a': s, 'v': coalesce(open, -1e18)}).v AS open, max(high) AS high, min(low) AS low, max({'a': s, 'v': close}).v AS close, sum(volume) AS volume, sum(amount) AS amount
+    "bars": """SELECT sid, day, minute AS minute_idx, (min({'a': s, 'v': open}) FILTER (open IS NOT NULL)).v AS open, max(high) AS high, min(low) AS low, max({'a': s, 'v': close}).v AS close, sum(volume) AS volume, sum(amount) AS amount
         FROM ticks WHERE minute IS NOT NULL GROUP BY sid, day, minute""",
     "skeleton0": """SELECT g.sid, g.day, g.minute_idx, b.open, b.high, b.low, b.volume, b.amount,
         coalesce(last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.sid, g.day ORDER BY g.minute_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -121,7 +122,7 @@ def listed(spark, d):
 def ticks(spark, d):
     s = epoch_seconds(F.col("tick"))
     rows = read(spark, d, "tick").where("tick is not null and close > 0 and not isnan(close)").distinct()
-    return rows.select("sid", s.alias("at"), F.floor(s / 86400).cast("int").alias("day"), session_minute(s).alias("minute_idx"), F.coalesce("open", F.lit(-1e18)).alias("open"), "high", "low", "close", "volume", "amount")
+    return rows.select("sid", s.alias("at"), F.floor(s / 86400).cast("int").alias("day"), session_minute(s).alias("minute_idx"), "open", "high", "low", "close", "volume", "amount")
 
 
 def bars(spark, d):
@@ -158,9 +159,10 @@ def int_date_roundtrip(spark, d):
     return daily_f(spark, d).select("sid", "day", F.date_format(date, "yyyyMMdd").cast("int").alias("back"), F.date_format(date, "yyyyMM").cast("int").alias("month_id"), F.date_format(F.add_months(date, 1), "yyyyMM").cast("int").alias("next_month"))
 
 
-@query("", "SELECT o_orderkey, round(CAST(round(o_totalprice * 1000) AS BIGINT) * 1e-3, 2) AS price FROM orders")
+@query("", "SELECT o_orderkey, o_orderpriority AS name, round(CAST(round(o_totalprice * 100000) AS BIGINT) * 1e-5, 2) AS open, round(CAST(round(o_totalprice * 90000) AS BIGINT) * 1e-5, 2) AS low, round(CAST(round(o_totalprice * 1000) AS BIGINT) * 1e-3, 2) AS price, round(CAST(floor(o_totalprice) AS BIGINT) * 10 * 1e-3, 2) AS volume FROM orders")
 def tick_rescale(spark, d):
-    wire = read(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 1000).cast("bigint").alias("price"))
+    scaled = lambda by: F.round(F.col("o_totalprice") * by).cast("bigint")
+    wire = read(spark, d, "orders").select("o_orderkey", F.encode("o_orderpriority", "UTF-8").alias("name"), scaled(100000).alias("open"), scaled(90000).alias("low"), scaled(1000).alias("price"), (F.floor("o_totalprice") * 10).alias("volume"))
     return io.from_wire(wire)
 
 
@@ -169,9 +171,9 @@ def session_minutes(spark, d):
     return ticks(spark, d).groupBy("sid", "day", "minute_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("close"), 6).alias("top"))
 
 
-@query("skeleton", f"SELECT sid, day, minute_idx, {s6('high', 'low', 'close', 'volume', 'amount')} FROM skeleton")
+@query("skeleton", f"SELECT sid, day, minute_idx, {s6('open', 'high', 'low', 'close', 'volume', 'amount')} FROM skeleton")
 def minute_skeleton(spark, d):
-    return skeleton(spark, d).select("sid", "day", "minute_idx", *r6("high", "low", "close", "volume", "amount"))
+    return skeleton(spark, d).select("sid", "day", "minute_idx", *r6("open", "high", "low", "close", "volume", "amount"))
 
 
 @query("flow_bars", f"SELECT sid, day, bar_idx, round(agg_ofi, 2) AS agg_ofi, {s6('agg_amount', 'close', 'ofi_ratio')} FROM flow_bars")
@@ -179,18 +181,21 @@ def flow_ratio_bars(spark, d):
     return TS.flow_ratio_bars(skeleton(spark, d)).select("sid", "day", "bar_idx", F.round("agg_ofi", 2).alias("agg_ofi"), *r6("agg_amount", "close", "ofi_ratio"))
 
 
-@query("flow_bars", "SELECT sid, day, count(ofi_ratio) AS curve_len, round(sum(ofi_ratio), 6) AS total, round(arg_min(ofi_ratio, bar_idx), 6) AS first_point, round(arg_max(ofi_ratio, bar_idx), 6) AS last_point FROM flow_bars GROUP BY sid, day HAVING count(ofi_ratio) = 48")
+def points(df: DataFrame, curve: str, keep: list[str], digits: int = 6) -> DataFrame:
+    """A row per point of a curve, rounded."""
+    return df.select(*keep, F.posexplode(curve).alias("pos", "v")).select(*keep, F.col("pos").cast("bigint").alias("pos"), F.round("v", digits).alias("v"))
+
+
+@query("flow_bars", "SELECT sid, day, n AS curve_len, CAST(bar_idx AS BIGINT) AS pos, round(ofi_ratio, 6) AS v FROM (SELECT *, count(ofi_ratio) OVER (PARTITION BY sid, day) AS n FROM flow_bars) WHERE n = 48")
 def daily_curve(spark, d):
-    curves = TS.daily_curves(TS.flow_ratio_bars(skeleton(spark, d)), length=48)
-    return curves.select("sid", "day", "curve_len", F.round(X.array_sum(F.col("daily_curve")), 6).alias("total"), F.round(F.get("daily_curve", F.lit(0)), 6).alias("first_point"), F.round(F.get("daily_curve", F.lit(47)), 6).alias("last_point"))
+    return points(TS.daily_curves(TS.flow_ratio_bars(skeleton(spark, d)), length=48), "daily_curve", ["sid", "day", "curve_len"])
 
 
-@query("ticks", "SELECT sid, time_bucket(INTERVAL 30 MINUTE, make_timestamp(CAST(floor(s * 1e6) AS BIGINT))) AS ts, round(max(high), 6) AS high, round(min(low), 6) AS low, round(max({'a': s, 'v': close}).v, 6) AS close, round(avg(close), 6) AS mean FROM ticks GROUP BY 1, 2")
+@query("ticks", "SELECT sid, time_bucket(INTERVAL 30 MINUTE, t) AS ts, round((min({'a': t, 'v': open}) FILTER (open IS NOT NULL)).v, 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(max({'a': t, 'v': close}).v, 6) AS close, round(avg(close), 6) AS mean, round(sum(volume), 3) AS volume FROM (SELECT *, make_timestamp(CAST(floor(s * 1e6) AS BIGINT)) AS t FROM ticks) GROUP BY 1, 2")
 def ohlcv_resample(spark, d):
-    rows = ticks(spark, d).withColumn("ts", F.timestamp_micros(F.floor(F.col("at") * 1e6).cast("bigint")))
-    w = F.window("ts", "30 minutes")
-    out = rows.groupBy("sid", w.alias("w")).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max(F.struct("at", "close")).alias("c"), F.avg("close").alias("mean"))
-    return out.select("sid", F.col("w.start").cast("timestamp_ntz").alias("ts"), *r6("high", "low"), F.round("c.close", 6).alias("close"), *r6("mean"))
+    rows = ticks(spark, d).withColumn("ts", F.timestamp_micros(F.floor(F.col("at") * 1e6).cast("bigint"))).withColumn("mean", F.col("close"))
+    out = TS.resampled(rows, ["sid"], "ts", "30 minutes", {"open": "first", "high": "max", "low": "min", "close": "last", "mean": "mean", "volume": "sum"})
+    return out.select("sid", F.col("ts").cast("timestamp_ntz").alias("ts"), *r6("open", "high", "low", "close", "mean"), F.round("volume", 3).alias("volume"))
 
 
 @query("ticks", "SELECT sid, time_bucket(INTERVAL 5 MINUTE, make_timestamp(CAST(floor(s * 1e6) AS BIGINT)) - INTERVAL 1 MICROSECOND) + INTERVAL 5 MINUTE AS ts, round(max({'a': make_timestamp(CAST(floor(s * 1e6) AS BIGINT)), 'v': close}).v, 6) AS close FROM ticks GROUP BY 1, 2")
@@ -208,7 +213,10 @@ def eod_snapshot(spark, d):
 # Returns
 
 
-@query("priced", f"SELECT sid, day, {s6('ret', 'vol_20d', 'fwd_ret_1', 'fwd_ret_2', 'fwd_ret_3')} FROM (SELECT *, CASE WHEN last_v IS NOT NULL THEN greatest(last_v, 0.005) END AS vol_20d FROM (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY sid ORDER BY day ROWS UNBOUNDED PRECEDING) AS last_v FROM (SELECT *, CASE WHEN count(ret) OVER w >= 5 THEN stddev_samp(ret) OVER w END AS v FROM (SELECT sid, day, close / lag(close) OVER o - 1 AS ret, lead(close, 1) OVER o / close - 1 AS fwd_ret_1, lead(close, 2) OVER o / close - 1 AS fwd_ret_2, lead(close, 3) OVER o / close - 1 AS fwd_ret_3 FROM priced WINDOW o AS (PARTITION BY sid ORDER BY day)) WINDOW w AS (PARTITION BY sid ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))))")
+_RETURNS = "SELECT *, CASE WHEN last_v IS NOT NULL THEN greatest(last_v, 0.005) END AS vol_20d FROM (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY sid ORDER BY day ROWS UNBOUNDED PRECEDING) AS last_v FROM (SELECT *, CASE WHEN count(ret) OVER w >= 5 THEN stddev_samp(ret) OVER w END AS v FROM (SELECT sid, day, date, close / lag(close) OVER o - 1 AS ret, lead(close, 1) OVER o / close - 1 AS fwd_ret_1, lead(close, 2) OVER o / close - 1 AS fwd_ret_2, lead(close, 3) OVER o / close - 1 AS fwd_ret_3 FROM priced WINDOW o AS (PARTITION BY sid ORDER BY day)) WINDOW w AS (PARTITION BY sid ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)))"
+
+
+@query("priced", f"SELECT sid, day, {s6('ret', 'vol_20d', 'fwd_ret_1', 'fwd_ret_2', 'fwd_ret_3')} FROM ({_RETURNS})")
 def returns_and_vol(spark, d):
     return P.returns_and_vol(priced(spark, d)).select("sid", "day", *r6("ret", "vol_20d", "fwd_ret_1", "fwd_ret_2", "fwd_ret_3"))
 
@@ -273,8 +281,6 @@ def stratified_sample(spark, d):
 
 @query("daily_f", "SELECT sid, round(t, 4) AS turnover FROM (SELECT *, row_number() OVER (ORDER BY t DESC, sid) AS i, count(*) OVER () AS n FROM (SELECT sid, avg(coalesce(amount, volume * close, 0)) AS t FROM daily_f GROUP BY sid)) WHERE i <= floor(n * 0.8)")
 def top_fraction(spark, d):
-    from tidemark.operators.globalrank import global_index
-
     t = daily_f(spark, d).groupBy("sid").agg(F.avg(F.coalesce("amount", F.col("volume") * F.col("close"), F.lit(0.0))).alias("turnover"))
     ranked = global_index(t, [F.col("turnover").desc(), F.col("sid")], "i")
     n = ranked.count()
@@ -284,10 +290,13 @@ def top_fraction(spark, d):
 # Curves, states and chains
 
 
-@query("panel_d", "SELECT sid, day, round(list_sum(list_filter(list_concat(lag_1, daily_curve), lambda x: x IS NOT NULL AND NOT isnan(x))), 6) AS total, len(list_concat(lag_1, daily_curve)) AS points FROM (SELECT sid, day, daily_curve, lag(daily_curve) OVER (PARTITION BY sid ORDER BY day) AS lag_1 FROM panel_d) WHERE lag_1 IS NOT NULL")
+_CLEAN = "list_transform({0}, lambda x: CASE WHEN x IS NULL OR isnan(x) THEN 0 ELSE x END)"
+
+
+@query("panel_d", f"SELECT sid, day, CAST(i - 1 AS BIGINT) AS pos, round(c[i], 6) AS v FROM (SELECT sid, day, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT sid, day, {_CLEAN.format('list_concat(lag_1, daily_curve)')} AS c FROM (SELECT sid, day, daily_curve, lag(daily_curve) OVER (PARTITION BY sid ORDER BY day) AS lag_1 FROM panel_d) WHERE lag_1 IS NOT NULL))")
 def curve_lag_concat(spark, d):
-    rows = TS.lagged_curves(panel(spark, d).select("sid", "day", "daily_curve"), 2).withColumn("x", TS.joined_lags(2))
-    return rows.select("sid", "day", F.round(X.array_sum(F.filter("x", lambda v: v.isNotNull() & ~F.isnan(v))), 6).alias("total"), F.size("x").cast("bigint").alias("points"))
+    rows = TS.lagged_curves(panel(spark, d).select("sid", "day", "daily_curve"), 2).withColumn("x", F.transform(TS.joined_lags(2), X.zero_if_not_finite))
+    return points(rows, "x", ["sid", "day"])
 
 
 @query("macro", f"SELECT day, {s6('flow')}, macro_state FROM macro")
@@ -426,14 +435,6 @@ def motif_topk(spark, d):
     return spark.createDataFrame(picks, "series string, pos int, distance double")
 
 
-@query()
-def fsm_predict(spark, d):
-    p = panel(spark, d).withColumn("lag_0", F.col("daily_curve"))
-    network = [r.asDict() for r in ST.transitions(labelled(spark, d), SE.CHAIN).collect()]
-    config = {"downsample": 5, "cross_days": 1, "motif_minutes": 60, "threshold_r": 0.85}
-    return SE.predict(p, {"config": config, "motif": MOTIF, "network": network})
-
-
 # Residuals
 
 
@@ -451,35 +452,49 @@ for _s, _p in _PRICE.items():
     SQL[f"residual_{_s}"] = _with("skeleton", f"SELECT sid, day, minute_idx, round(residual, 6) AS residual, round(sum(residual) OVER (PARTITION BY sid ORDER BY day, minute_idx ROWS UNBOUNDED PRECEDING), 6) AS cum FROM (SELECT sid, day, minute_idx, (ret - quantile_cont(ret, 0.5) OVER (PARTITION BY day, minute_idx)) {_w} AS residual FROM (SELECT *, coalesce(ln(CASE WHEN p > 0 THEN p END) - lag(ln(CASE WHEN p > 0 THEN p END)) OVER (PARTITION BY sid ORDER BY day, minute_idx), 0) AS ret FROM (SELECT *, {_p} AS p FROM skeleton)))")
 
 
-@query()
+_CUM = SQL["residual_close"].replace("round(residual, 6) AS residual, round(", "residual, close, (").replace("ROWS UNBOUNDED PRECEDING), 6) AS cum", "ROWS UNBOUNDED PRECEDING)) AS cum").replace("SELECT sid, day, minute_idx, (ret -", "SELECT sid, day, minute_idx, close, (ret -")
+
+
+@query("", f"SELECT sid, day, CAST(i - 1 AS BIGINT) AS pos, round(c[i], 5) AS v FROM (SELECT sid, day, c, unnest(range(1, 13)) AS i FROM (SELECT *, array_agg(v) OVER (PARTITION BY sid ORDER BY day, bucket ROWS 11 PRECEDING) AS c, stddev_pop(p) OVER (PARTITION BY sid ORDER BY day, bucket ROWS 2 PRECEDING) AS sd, row_number() OVER (PARTITION BY sid, day ORDER BY bucket DESC) AS back FROM (SELECT sid, day, CAST(ceil(minute_idx / 5) AS INT) AS bucket, max(minute_idx) AS newest, arg_max(cum, minute_idx) * 1000 AS v, arg_max(close, minute_idx) AS p FROM ({_CUM}) WHERE minute_idx <= 235 GROUP BY 1, 2, 3)) WHERE back = 1 AND len(c) = 12 AND newest >= 225 AND sd >= 1e-5)")
 def eod_feature_window(spark, d):
     sk = skeleton(spark, d)
-    return RS.eod_features(RS.residuals(sk).select("sid", "day", "minute_idx", "cum"), sk)
+    return points(RS.eod_features(RS.residuals(sk).select("sid", "day", "minute_idx", "cum"), sk), "curve", ["sid", "day"], 5)
 
 
 # Reports and relational pieces
 
 
-@query("", "SELECT date_trunc('hour', ts) AS hour, " + ", ".join(f"round(max(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in ("click", "view")) + " FROM events GROUP BY 1")
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+MOST_METRICS = 1000
+
+
+def metric_names(log: DataFrame, name: str) -> list[str]:
+    """The metrics of a log, which become columns; more than MOST_METRICS are refused."""
+    found = sorted(r[0] for r in log.select(name).where(F.col(name).isNotNull()).distinct().limit(MOST_METRICS + 1).collect())
+    if len(found) > MOST_METRICS:
+        raise ValueError("too many metrics for columns")
+    return found
+
+
+@query("", "SELECT date_trunc('hour', ts) AS hour, " + ", ".join(f"round(max(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in EVENT_TYPES) + " FROM events GROUP BY 1")
 def pivot_metric_max(spark, d):
-    rows = read(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    rows = rows.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
-    return rows.groupBy("hour").pivot("event_type", ["click", "view"]).agg(F.round(F.max("value"), 6))
+    rows = read(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return rows.groupBy("hour").pivot("event_type", metric_names(rows, "event_type")).agg(F.round(F.max("value"), 6))
 
 
-@query()
+@query("", "SELECT user_id, hour, " + ", ".join(f"round(last_value({t} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY hour ROWS UNBOUNDED PRECEDING), 6) AS {t}" for t in EVENT_TYPES) + " FROM (SELECT user_id, date_trunc('hour', ts) AS hour, " + ", ".join(f"(max({{'a': ts, 'b': event_id, 'v': value}}) FILTER (event_type = '{t}')).v AS {t}" for t in EVENT_TYPES) + " FROM events WHERE value IS NOT NULL GROUP BY 1, 2)")
 def pivot_metric_log(spark, d):
-    e = read(spark, d, "events")
-    names = sorted(r[0] for r in e.select("event_type").distinct().collect())
-    return TS.wide_metrics(e.withColumn("hour", F.date_trunc("hour", "ts")), ["user_id", "hour"], "event_type", "value", ["ts", "event_id"], names)
+    e = read(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    names = metric_names(e, "event_type")
+    return TS.wide_metrics(e, ["user_id", "hour"], "event_type", "value", ["ts", "event_id"], names).select("user_id", "hour", *r6(*names))
 
 
-@query("ticks", "SELECT b.ts, round(b.close, 6) AS close, coalesce(f.buy_size, 0) AS buy_size, coalesce(f.sell_size, 0) AS sell_size FROM (SELECT day AS ts, max({'a': s, 'v': close}).v AS close FROM ticks WHERE sid = 'QA0000000' GROUP BY day) b LEFT JOIN (SELECT day AS ts, sum(CASE WHEN close >= open THEN volume ELSE 0 END) AS buy_size, sum(CASE WHEN close < open THEN volume ELSE 0 END) AS sell_size FROM ticks WHERE sid = 'QA0000000' AND open IS NOT NULL GROUP BY day) f ON b.ts = f.ts")
+@query("ticks", "SELECT b.datetime, round(b.close, 6) AS close, coalesce(f.buy, 0) AS buy, coalesce(f.sell, 0) AS sell FROM (SELECT day AS datetime, max({'a': s, 'v': close}).v AS close FROM ticks WHERE sid = 'QA0000000' GROUP BY day) b LEFT JOIN (SELECT day AS datetime, sum(CASE WHEN close >= open THEN volume END) AS buy, sum(CASE WHEN close < open THEN volume END) AS sell FROM ticks WHERE sid = 'QA0000000' AND open IS NOT NULL GROUP BY day) f USING (datetime)")
 def orders_dashboard_sql(spark, d):
     t = ticks(spark, d)
-    b = t.groupBy("sid", F.col("day").alias("ts")).agg(F.max(F.struct("at", "close")).alias("c")).select("sid", "ts", F.round("c.close", 6).alias("close"))
-    o = t.where("open > -1e18").select("sid", F.col("day").alias("ts"), F.when(F.col("close") >= F.col("open"), "BUY").otherwise("SELL").alias("direction"), F.col("volume").alias("size"))
-    return R.dashboard(spark, b, o, "QA0000000").select("ts", "close", F.coalesce("buy_size", F.lit(0.0)).alias("buy_size"), F.coalesce("sell_size", F.lit(0.0)).alias("sell_size"))
+    b = t.groupBy("sid", F.col("day").alias("datetime")).agg(F.max(F.struct("at", "close")).alias("c")).select(F.lit("bar").alias("table_type"), "sid", "datetime", F.round("c.close", 6).alias("close"))
+    o = t.where("open is not null").select(F.lit("fill").alias("table_type"), "sid", F.col("day").alias("datetime"), F.when(F.col("close") >= F.col("open"), "BUY").otherwise("SELL").alias("direction"), F.col("volume").alias("size"))
+    return R.dashboard(io.union_all([b, o]), "QA0000000", "bar", "fill").select("datetime", "close", "buy", "sell")
 
 
 @query("", "SELECT event_id, (SELECT min(o_orderdate) FROM (SELECT DISTINCT o_orderdate FROM orders) o WHERE o.o_orderdate >= e.ts) AS clock_ts FROM events e")
@@ -532,10 +547,11 @@ def volume_scale(spark, d):
     return R.volume_overlay(priced(spark, d), ["sid"]).where("volume is not null").select("sid", "day", F.round("volume_y", 4).alias("volume_y"))
 
 
-@query("daily_f", "SELECT sid, day, CASE WHEN volume > 1.2 * v THEN '' WHEN volume < 1e3 THEN CAST(CAST(floor(volume) AS BIGINT) AS VARCHAR) WHEN volume < 1e6 THEN CAST(CAST(floor(volume / 1e3) AS BIGINT) AS VARCHAR) || 'K' WHEN volume < 1e9 THEN CAST(CAST(floor(volume / 1e6) AS BIGINT) AS VARCHAR) || 'M' WHEN volume < 1e12 THEN CAST(CAST(floor(volume / 1e9) AS BIGINT) AS VARCHAR) || 'G' ELSE CAST(CAST(floor(volume / 1e12) AS BIGINT) AS VARCHAR) || 'T' END AS volume_label FROM daily_f JOIN (SELECT sid, quantile_cont(volume, 0.5) AS v FROM daily_f GROUP BY sid) s USING (sid) WHERE volume IS NOT NULL")
+@query("daily_f", "SELECT sid, day, CASE WHEN volume > 1.2 * v THEN '' ELSE CAST(CAST(trunc(volume / 1000.0 ** k) AS BIGINT) AS VARCHAR) || ['', 'K', 'M', 'G', 'T', 'P'][k + 1] END AS volume_label FROM (SELECT *, CASE WHEN v < 1e3 THEN 0 WHEN v < 1e6 THEN 1 WHEN v < 1e9 THEN 2 WHEN v < 1e12 THEN 3 WHEN v < 1e15 THEN 4 ELSE 5 END AS k FROM daily_f JOIN (SELECT sid, max(volume) / 2 AS v FROM daily_f GROUP BY sid) s USING (sid) WHERE volume IS NOT NULL)")
 def volume_labels(spark, d):
     rows = daily_f(spark, d)
-    v = rows.groupBy("sid").agg(F.expr("percentile(volume, 0.5)").alias("v"))
+    # An axis that ends at half the greatest volume, so that some labels are blank.
+    v = rows.groupBy("sid").agg((F.max("volume") / 2).alias("v"))
     return rows.where("volume is not null").join(v, "sid").select("sid", "day", X.volume_label(F.col("volume"), F.col("v")).alias("volume_label"))
 
 
@@ -554,10 +570,10 @@ def union_distinct_sids(spark, d):
     return io.union_all([read(spark, d, t).select("sid") for t in ("daily", "tick")]).distinct()
 
 
-@query("", "SELECT count(*) AS all_rows, count(*) FILTER (open IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)) AS both_there, count(*) FILTER (open IS NOT NULL OR (close IS NOT NULL AND NOT isnan(close))) AS one_there FROM daily")
+@query("", "SELECT 'any' AS how, sid, day, recv_at FROM daily WHERE open IS NOT NULL AND close IS NOT NULL AND NOT isnan(close) UNION ALL SELECT 'all', sid, day, recv_at FROM daily WHERE open IS NOT NULL OR (close IS NOT NULL AND NOT isnan(close))")
 def dropna_variants(spark, d):
-    rows = read(spark, d, "daily").select("open", "close")
-    return rows.agg(F.count(F.lit(1)).alias("all_rows"), F.count_if(F.col("open").isNotNull() & F.col("close").isNotNull() & ~F.isnan("close")).alias("both_there"), F.count_if(F.col("open").isNotNull() | (F.col("close").isNotNull() & ~F.isnan("close"))).alias("one_there"))
+    rows = read(spark, d, "daily").select("sid", "day", F.col("recv_at").cast("timestamp_ntz").alias("recv_at"), "open", "close")
+    return io.union_all([rows.dropna(how=how, subset=["open", "close"]).select(F.lit(how).alias("how"), "sid", "day", "recv_at") for how in ("any", "all")])
 
 
 @query("priced", "SELECT sid, day, round(coalesce(c, 0), 6) AS close, round(coalesce(v, 0), 6) AS volume FROM (SELECT sid, day, lag(close) OVER (PARTITION BY sid ORDER BY day) AS c, lag(volume) OVER (PARTITION BY sid ORDER BY day) AS v FROM priced) WHERE c IS NOT NULL OR v IS NOT NULL")
@@ -593,9 +609,17 @@ def json_field(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("", "SELECT p_partkey, i AS piece, list_extract(string_split(p_name, ' '), i + 1) AS word FROM (SELECT p_partkey, p_name, unnest(range(len(string_split(p_name, ' ')))) AS i FROM part)")
+@query("", "SELECT 'suppliers' AS file, CAST(row_number() OVER (ORDER BY s_suppkey) + 1 AS INT) AS line_no, CAST(s_suppkey AS VARCHAR) AS id, b AS block, CASE b WHEN 'x' THEN s_name ELSE 'n' || s_nationkey END AS at, f AS field, round(CASE WHEN b = 'x' AND f = 'bal' THEN s_acctbal WHEN b = 'x' THEN s_nationkey WHEN s_suppkey % 2 = 0 THEN s_suppkey END, 2) AS value FROM supplier, (VALUES ('x', 'bal'), ('x', 'nation'), ('y', 'even')) v(b, f) UNION ALL SELECT 'regions', CAST(row_number() OVER (ORDER BY r_regionkey) + 1 AS INT), CAST(r_regionkey AS VARCHAR), 'z', r_name, 'key', r_regionkey FROM region".replace("row_number() OVER (ORDER BY s_suppkey)", "dense_rank() OVER (ORDER BY s_suppkey)"))
 def block_split(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("piece", "word")).withColumn("piece", F.col("piece").cast("bigint"))
+    def file(name, table, key, header, row):
+        rows = global_index(read(spark, d, table), [F.col(key)], "i").select((F.col("i") + 2).cast("int").alias("line_no"), row.alias("value"))
+        head = spark.createDataFrame([(0, "a title"), (1, header)], "line_no int, value string")
+        return head.unionByName(rows).withColumn("file", F.lit(name))
+
+    text = lambda c: F.col(c).cast("string")
+    suppliers = file("suppliers", "supplier", "s_suppkey", "id;x;bal,nation;y;even", F.concat_ws(";", text("s_suppkey"), "s_name", F.concat_ws(",", text("s_acctbal"), text("s_nationkey")), F.concat(F.lit("n"), text("s_nationkey")), F.when(F.col("s_suppkey") % 2 == 0, text("s_suppkey")).otherwise("")))
+    regions = file("regions", "region", "r_regionkey", "id;z;key", F.concat_ws(";", text("r_regionkey"), "r_name", text("r_regionkey")))
+    return io.block_rows(suppliers.unionByName(regions), file="file").withColumn("value", F.round("value", 2))
 
 
 # Scans, curves and side-by-side tables
@@ -617,10 +641,9 @@ def positional_concat(spark, d):
     return TS.positional_concat(a, b, ["r_regionkey"], ["n_nationkey"]).select("r_name", "n_name")
 
 
-@query("panel_d", f"SELECT sid, day, round(list_max(z), 5) AS top, round(list_min(z), 5) AS bottom FROM (SELECT sid, day, {_Z.format('c')} AS z FROM (SELECT sid, day, list_transform(daily_curve, lambda x: CASE WHEN x IS NULL OR isnan(x) THEN 0 ELSE x END) AS c FROM panel_d))")
+@query("panel_d", f"SELECT sid, day, CAST(i - 1 AS BIGINT) AS pos, round(z[i], 5) AS v FROM (SELECT sid, day, z, unnest(range(1, len(z) + 1)) AS i FROM (SELECT sid, day, {_Z.format('c')} AS z FROM (SELECT sid, day, {_CLEAN.format('daily_curve')} AS c FROM panel_d)))")
 def curve_znorm(spark, d):
-    z = finite_curves(spark, d).select("sid", "day", X.znorm(F.col("curve")).alias("z"))
-    return z.select("sid", "day", F.round(F.array_max("z"), 5).alias("top"), F.round(F.array_min("z"), 5).alias("bottom"))
+    return points(finite_curves(spark, d).select("sid", "day", X.znorm(F.col("curve")).alias("z")), "z", ["sid", "day"], 5)
 
 
 @query("", "WITH e AS (SELECT CAST(user_id % 3 AS INT) AS s, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS b FROM events WHERE value IS NOT NULL) SELECT i.r AS from_state, j.r AS to_state, (SELECT count(*) FROM e WHERE e.s = i.r AND e.b = j.r) AS n FROM (SELECT CAST(unnest(range(3)) AS INT) AS r) i, (SELECT CAST(unnest(range(4)) AS INT) AS r) j")
@@ -644,11 +667,13 @@ def curve_panel_join(spark, d):
     return rows.withColumn("day", F.date_format("day", "yyyyMMdd").cast("bigint"))
 
 
-@query()
+@query("panel_d priced", f"SELECT l.sid, l.day, CAST(i - 1 AS BIGINT) AS pos, round(a[i], 6) AS lag_0, round(b[i], 6) AS lag_1, l.curve_len, {s6('vol_20d', 'fwd_ret_1', 'fwd_ret_2', 'fwd_ret_3')} FROM (SELECT sid, day, a, b, curve_len, unnest(range(1, len(a) + 1)) AS i FROM (SELECT sid, day, {_CLEAN.format('daily_curve')} AS a, {_CLEAN.format('lag(daily_curve) OVER (PARTITION BY sid ORDER BY day)')} AS b, curve_len FROM panel_d) WHERE b IS NOT NULL) l JOIN ({_RETURNS}) r ON l.sid = r.sid AND l.day = r.date")
 def research_panel(spark, d):
-    curves = panel(spark, d).select("sid", "day", "daily_curve", "curve_len")
+    curves = panel(spark, d).select("sid", "day", F.transform("daily_curve", X.zero_if_not_finite).alias("daily_curve"), "curve_len")
     daily = priced(spark, d).select("sid", F.col("date").alias("day"), "close")
-    return P.research_panel(curves, daily, 2)
+    out = P.research_panel(curves, daily, 2)
+    both = out.select("sid", "day", "curve_len", *r6("vol_20d", "fwd_ret_1", "fwd_ret_2", "fwd_ret_3"), F.posexplode(F.arrays_zip("lag_0", "lag_1")).alias("pos", "p"))
+    return both.select("sid", "day", F.col("pos").cast("bigint").alias("pos"), F.round("p.lag_0", 6).alias("lag_0"), F.round("p.lag_1", 6).alias("lag_1"), "curve_len", "vol_20d", "fwd_ret_1", "fwd_ret_2", "fwd_ret_3")
 
 
 # Streams, drained over what is there
@@ -659,18 +684,32 @@ def _events(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("", "SELECT CAST(user_id % 3 AS INT) AS state, CAST(sum(n) + 4 AS BIGINT) AS total FROM (SELECT user_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id) GROUP BY 1")
+@query("", "WITH e AS (SELECT CAST(user_id % 3 AS INT) AS s, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS b FROM events WHERE value IS NOT NULL) SELECT i.r AS state, j.r AS bin, (SELECT count(*) FROM e WHERE e.s = i.r AND e.b = j.r) + 1 AS n FROM (SELECT CAST(unnest(range(3)) AS INT) AS r) i, (SELECT CAST(unnest(range(4)) AS INT) AS r) j")
 def stream_event_posterior(spark, d):
     bin_ = X.digitize(F.col("value"), F.array(F.lit(10.0), F.lit(50.0), F.lit(100.0)))
     rows = _events(spark, d).select((F.col("user_id") % 3).cast("int").alias("state"), bin_.alias("bin"))
-    name = "posterior_" + new_path(spark, "q").rsplit("-", 1)[1]
-    out = online.drain(online.posterior_counts(rows, "state", "bin", 4), name, new_path(spark, "stream"), "update")
-    last = out.groupBy("state").agg(F.max(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("total"))
-    return last
+    out = online.latest(online.drain(online.posterior_counts(rows, "state", "bin", 4), new_path(spark, "stream"), "update"), ["state"])
+    return out.select("state", F.posexplode("counts").alias("bin", "n"))
 
 
 @query("", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def stream_tumbling(spark, d):
-    name = "tumbling_" + new_path(spark, "q").rsplit("-", 1)[1]
-    out = online.drain(online.tumbling(_events(spark, d), "ts", ["event_type"], "value"), name, new_path(spark, "stream"))
+    out = online.drain(online.tumbling(_events(spark, d), "ts", ["event_type"], "value"), new_path(spark, "stream"))
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS \"end\", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def stream_sessions(spark, d):
+    out = online.drain(online.sessions(_events(spark, d), "ts", "user_id"), new_path(spark, "stream"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("", """WITH RECURSIVE o AS (SELECT event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM events),
+    w AS (SELECT event_type, i, us, [us] AS recent, true AS accepted FROM o WHERE i = 1 UNION ALL
+        SELECT o.event_type, o.i, o.us, CASE WHEN len(list_filter(w.recent, lambda x: x > o.us - 60000000)) < 1 THEN list_append(list_filter(w.recent, lambda x: x > o.us - 60000000), o.us) ELSE list_filter(w.recent, lambda x: x > o.us - 60000000) END,
+            len(list_filter(w.recent, lambda x: x > o.us - 60000000)) < 1 FROM w JOIN o ON o.event_type = w.event_type AND o.i = w.i + 1)
+    SELECT event_type, us, accepted FROM w""")
+def stream_rate_limit(spark, d):
+    """At most one event of a type a minute."""
+    out = online.drain(online.rate_limited(_events(spark, d), "ts", "event_type", 1), new_path(spark, "stream"))
+    return out.select("event_type", F.unix_micros("ts").alias("us"), "accepted")

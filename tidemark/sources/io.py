@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import rescaled
 
+# Scales of the feed by field name.
 SCALES = {**dict.fromkeys(("open", "high", "low", "close"), 1e-5), **dict.fromkeys(("volume", "amount", "bonus_share", "transfer", "bonus", "price", "ratio"), 1e-3)}
 
 
@@ -41,26 +42,37 @@ def read_table(spark: SparkSession, path: str, kind: str, schema: T.StructType |
     raise ValueError(f"unknown kind {kind}")
 
 
+def scan_sql(spark: SparkSession, query: str, files: dict[str, str], args: dict[str, object] | None = None) -> DataFrame:
+    """A SQL query over parquet files: ``{name}`` in its text stands for the files of that name, ``:name`` for a bound value.
+    Filters and columns reach the scan."""
+    return spark.sql(query, args=args or {}, **{name: spark.read.parquet(path) for name, path in files.items()})
+
+
 def write_by(df: DataFrame, path: str, partition: list[str] = ()) -> None:
     """Replace a parquet table, partitioned so that later scans prune."""
     (df.repartition(*partition).write.partitionBy(*partition) if partition else df.write).mode("overwrite").parquet(path)
 
 
-def block_rows(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(row, block, fields map) from lines of a block CSV.
+def block_rows(lines: DataFrame, column: str = "value", file: str | None = None) -> DataFrame:
+    """(file, line_no, id, block, at, field, value) from lines of block CSV files.
 
-    Cells are parted by ``;``, columns come in pairs (name, data): the second line of the file is the header, whose
-    data cell lists the fields by ``,``; the data cell of a row has its values in the same order. Lines before the
-    header and empty cells give nothing. ``lines`` has the text and ``line_no`` from 0.
+    Cells are parted by ``;``: an id, then pairs of a name and a data cell. The second line of a file is its header: a pair's
+    name there names the block, its data cell lists the fields by ``,``. In a row the name cell is ``at``, the block's own
+    time or label, and the data cell has the values in the fields' order. Empty and non-numeric values are null; lines before
+    the header, pairs without a header and rows without an id cell give nothing. ``lines`` has the text and ``line_no`` from 0
+    within its file; ``file`` names the column that tells files apart, one file without it.
     """
-    header = lines.where("line_no = 1").select(F.split(column, ";").alias("h"))
-    cells = lines.where("line_no > 1").select("line_no", F.split(column, ";").alias("c")).join(F.broadcast(header))  # one header row
-    pair = F.posexplode(F.sequence(F.lit(0), F.floor((F.size("c") - 2) / 2).cast("int")))
-    out = cells.where("size(c) >= 2").select("line_no", "c", "h", pair.alias("block", "i")).select(
-        "line_no", "block", F.get("c", F.col("i") * 2).alias("name"), F.split(F.get("c", F.col("i") * 2 + 1), ",").alias("v"), F.split(F.get("h", F.col("i") * 2 + 1), ",").alias("k")
-    )
-    return out.where("name <> '' and k is not null").select("line_no", "block", "name", F.posexplode("k").alias("j", "field"), "v").select(
-        "line_no", "block", "name", "field", F.expr("try_cast(nullif(trim(get(v, j)), '') as double)").alias("value")
+    named = lines.select((F.col(file) if file else F.lit("")).alias("file"), "line_no", F.split(column, ";").alias("c"))
+    # One header a file, met by its own rows only.
+    header = named.where("line_no = 1").select("file", F.col("c").alias("h"))
+    cells = named.where("line_no > 1").join(header, "file")
+    pairs = F.explode(F.filter(F.sequence(F.lit(0), F.greatest(F.floor((F.size("h") - 1) / 2).cast("int") - 1, F.lit(0))), lambda i: i * 2 + 2 < F.size("h")))
+    out = cells.select("file", "line_no", "c", "h", pairs.alias("i")).select(
+        "file", "line_no", F.get("c", F.lit(0)).alias("id"), F.get("h", F.col("i") * 2 + 1).alias("block"), F.get("c", F.col("i") * 2 + 1).alias("at"),
+        F.split(F.get("c", F.col("i") * 2 + 2), ",").alias("v"), F.split(F.get("h", F.col("i") * 2 + 2), ",").alias("k"),
+    )
+    return out.where("v is not null").select("file", "line_no", "id", "block", "at", F.posexplode("k").alias("j", "field"), "v").select(
+        "file", "line_no", "id", "block", "at", "field", F.expr("try_cast(nullif(trim(get(v, j)), '') as double)").alias("value")
     )
 
 
@@ -77,12 +89,12 @@ def union_all(frames: list[DataFrame], schema: T.StructType | None = None, spark
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-MODEL = "model_year int, config string, motif array<double>, network string, score double"
+MODEL = "model_year int, config string, motif array<double>, network string, score double, bounds array<double>"
 
 
-def save_model(spark: SparkSession, path: str, year: int, config: dict, motif: list[float], network: list[dict], score: float) -> None:
-    """Keep a model as one row; a year saved again is replaced. JSON, never pickled objects."""
-    row = [(year, json.dumps(config, sort_keys=True), [float(x) for x in motif], json.dumps(network), float(score))]
+def save_model(spark: SparkSession, path: str, year: int, config: dict, motif: list[float], network: list[dict], score: float, bounds: list[float] | None = None) -> None:
+    """Keep a model as one row, with the tercile bounds it learned; a year saved again is replaced. JSON, never pickled objects."""
+    row = [(year, json.dumps(config, sort_keys=True), [float(x) for x in motif], json.dumps(network), float(score), None if bounds is None else [float(x) for x in bounds])]
     spark.createDataFrame(row, MODEL).coalesce(1).write.mode("overwrite").parquet(f"{path}/year={year}")
 
 
