@@ -2,7 +2,7 @@
 
 Readings are reduced to at most one row per slot, so a day holds a bounded number of values whatever its traffic.
 A harmonic seasonal regression with a linear trend is fitted to each source: the normal equations are sums, built
-per day and then added up per source, so a hot source is reduced in parallel and only its 27 sums meet. Missing
+per task and then added up per source, so a hot source is reduced in parallel and only its 27 sums meet. Missing
 slots take the prediction plus the residual, drawn as a straight line between the nearest readings of the day on
 either side, or held where there is one side only. Readings themselves are left as they are.
 """
@@ -24,15 +24,15 @@ from tidemark.session import written
 @dataclass(frozen=True)
 class GridConfig:
     """slots: length of a day's grid; harmonics: sine and cosine pairs over the day; ridge: weight, in readings, that
-    pulls all terms but the level to zero; day_scale: days per unit of the trend; salt: parts that a source's days
-    are spread over when the fitted terms are joined to them.
+    pulls all terms but the level to zero; day_scale: days per unit of the trend; days_a_task: days of one source whose
+    terms are joined in one task, so that the days of a hot source are as many tasks' work as it takes.
     """
 
     slots: int = 240
     harmonics: int = 2
     ridge: float = 1.0
     day_scale: float = 100.0
-    salt: int = 16
+    days_a_task: int = 20_000
 
 
 def epoch_seconds(tick: Column) -> Column:
@@ -41,10 +41,15 @@ def epoch_seconds(tick: Column) -> Column:
     return F.when(size >= 1e17, tick / 1e9).when(size >= 1e14, tick / 1e6).when(size >= 1e11, tick / 1e3).otherwise(tick)
 
 
+# Minutes of the session by minute of the day, null outside of it.
+SESSION = [m - 570 if 570 <= m < 690 else m - 660 if 780 <= m < 900 else None for m in range(1440)]
+
+
 def session_minute(seconds: Column) -> Column:
-    """Minute of the session from epoch seconds: 09:30-11:29 are 0-119, 13:00-14:59 are 120-239, else null."""
-    minute = F.floor((seconds - F.floor(seconds / 86400) * 86400) / 60).cast("int")
-    return F.when((minute >= 570) & (minute < 690), minute - 570).when((minute >= 780) & (minute < 900), minute - 660)
+    """Minute of the session from epoch seconds: 09:30-11:29 are 0-119, 13:00-14:59 are 120-239, else null.
+
+    A look-up, so that ``seconds`` is evaluated once however often the expression is inlined."""
+    return F.get(F.array(*[F.lit(m).cast("int") for m in SESSION]), F.floor(F.pmod(seconds, F.lit(86400.0)) / 60).cast("int"))
 
 
 def _basis(day: Column, slot: Column, c: GridConfig) -> list[Column]:
@@ -73,25 +78,14 @@ def solve_normal(sums: np.ndarray, p: int, ridge: float) -> np.ndarray:
 
 
 def day_cells(readings: DataFrame, c: GridConfig) -> DataFrame:
-    """One row per (source, day): its filled slots in order, and the day's share of the normal equations."""
-    cells = (
-        readings.groupBy("source", "day", "slot")
-        .agg(F.max(F.struct("at", "y")).alias("last"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n"))
-        .select("source", "day", "slot", F.col("last.y").alias("y"), "volume", "n")
-    )
-    x = _basis(F.col("day").cast("double"), F.col("slot").cast("double"), c)
-    p = len(x)
-    cells = cells.select("*", *[v.alias(f"x{i}") for i, v in enumerate(x)])
-    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(p) for j in range(i, p)] + [F.sum(F.col(f"x{i}") * F.col("y")) for i in range(p)]
-    return cells.groupBy("source", "day").agg(
-        F.sort_array(F.collect_list(F.struct("slot", "y", "volume", "n"))).alias("cells"), *[s.alias(f"s{i}") for i, s in enumerate(sums)]
-    )
+    """One row per (source, day) with its filled slots in order."""
+    cells = readings.groupBy("source", "day", "slot").agg(F.max(F.struct("at", "y")).alias("last"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n"))
+    return cells.groupBy("source", "day").agg(F.sort_array(F.collect_list(F.struct("slot", F.col("last.y").alias("y"), "volume", "n"))).alias("cells"))
 
 
 def fitted_terms(days: DataFrame, c: GridConfig) -> DataFrame:
-    """Coefficients of each source as an array, from the sums of its days."""
+    """Coefficients of each source as an array, from the sums over the cells of its days, and how many days it has."""
     p = 2 + 2 * c.harmonics
-    width = p * (p + 1) // 2 + p
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(sums: pd.Series) -> pd.Series:
@@ -99,8 +93,12 @@ def fitted_terms(days: DataFrame, c: GridConfig) -> DataFrame:
             return pd.Series([], dtype=object)
         return pd.Series(list(solve_normal(np.stack(sums.to_numpy()).astype(float), p, c.ridge)))
 
-    totals = days.groupBy("source").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
-    return totals.select("source", solve(F.array(*[f"s{i}" for i in range(width)])).alias("beta"))
+    cells = days.select("source", "day", F.size("cells").alias("_size"), F.explode("cells").alias("cell"))
+    x = _basis(F.col("day").cast("double"), F.col("cell.slot").cast("double"), c)
+    cells = cells.select("source", "day", "cell.slot", "cell.y", *[v.alias(f"x{i}") for i, v in enumerate(x)], (F.lit(1.0) / F.col("_size")).alias("_share"))
+    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(p) for j in range(i, p)] + [F.sum(F.col(f"x{i}") * F.col("y")) for i in range(p)]
+    totals = cells.groupBy("source").agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)], F.round(F.sum("_share")).cast("long").alias("n_days"))
+    return totals.select("source", solve(F.array(*[f"s{i}" for i in range(len(sums))])).alias("beta"), "n_days")
 
 
 def regular_grid(readings: DataFrame, config: GridConfig = GridConfig()) -> DataFrame:
@@ -115,10 +113,12 @@ def regular_grid(readings: DataFrame, config: GridConfig = GridConfig()) -> Data
     c = config
     usable = readings.where(F.col("source").isNotNull() & F.col("day").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y") & F.col("slot").between(0, c.slots - 1))
     days = written(day_cells(usable, c), "grid-days")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(c.salt - 1)))
-    # Copies for every salt outgrow the size that Spark sees, so they are never broadcast.
-    beta = fitted_terms(days, c).select("source", "beta", salts.alias("salt"))
-    joined = days.select("source", "day", "cells", F.pmod(F.hash("day"), F.lit(c.salt)).alias("salt")).join(beta.hint("merge"), ["source", "salt"])
+    beta = written(fitted_terms(days, c), "grid-terms")
+    most = beta.agg(F.max("n_days")).first()[0] or 0
+    # The terms of a source are copied as often as its own days need tasks; the most days any source has give the salt's range.
+    parts = max(1, -(-most // c.days_a_task))
+    copies = beta.select("source", "beta", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt"))
+    joined = days.select("source", "day", "cells", F.pmod(F.hash("day"), F.lit(parts)).alias("salt")).join(copies, ["source", "salt"])
 
     def predicted(slot: Column) -> Column:
         terms = _basis(F.col("day").cast("double"), slot.cast("double"), c)
