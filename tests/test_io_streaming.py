@@ -77,7 +77,7 @@ def test_instruments_ranges_and_trials(spark, tmp_path):
     days = spark.createDataFrame([(20021231,), (20030601,), (20040601,), (20050101,)], "day int")
     assert sorted((r.day, r.warm_up) for r in io.warm_range(days, "day", 20040101, 20041231).collect()) == [(20030601, True), (20040601, False)]
     for s in (1.0, 2.0):
-        io.append_trial(spark, str(tmp_path / "t"), {"m": 1}, s)
+        io.append_trials(spark, str(tmp_path / "t"), [({"m": 1}, s)])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 

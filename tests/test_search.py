@@ -93,7 +93,7 @@ def test_walk_forward_over_years(spark, planted, tmp_path):
     configs = [S.SearchConfig(threshold_r=0.9), S.SearchConfig(threshold_r=0.95), S.SearchConfig(motif_minutes=360)]
     out = S.walk_forward([2005, 2006], panel_of, 3, path=str(tmp_path), configs=configs, motifs=[shape])
     assert [y for y, *_ in out] == [2005, 2006] and out[0][1] is out[1][1]  # held on the next training year
-    # One panel for all configurations of the search, then one to score, one to check the model and one to score.
+    # One panel for all configurations of the search, one for its session, then one to score, one to check the model and one to score.
     assert [y for y, *_ in calls].count(2004) == 2 and len(calls) == 5
     trials = sorted(r.metrics_score for r in spark.read.parquet(str(tmp_path / "trials")).collect())
     assert trials[0] == -9999.0 and len(trials) == 3

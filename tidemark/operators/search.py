@@ -227,9 +227,11 @@ def walk_forward(
             start = SearchConfig(**model["config"]) if model else None
             drawn = configs or draw_configs(trials, seed + y, start)
             drawn = [replace(c, downsample=downsample) for c in drawn] if downsample else drawn
-            spark = panel_of(y - 1, drawn[0]).sparkSession
-            told = (lambda c, score, s=spark: io.append_trial(s, f"{path}/trials", asdict(c), score)) if path else None
-            model = search(lambda c, y=y: panel_of(y - 1, c), drawn, motifs=motifs, tried=told)
+            told: list[tuple[dict, float]] = []
+            model = search(lambda c, y=y: panel_of(y - 1, c), drawn, motifs=motifs, tried=lambda c, score, t=told: t.append((asdict(c), score)))
+            if path:
+                # At once, as trials run side by side and two writers to one table would meet.
+                io.append_trials(panel_of(y - 1, drawn[0]).sparkSession, f"{path}/trials", told)
         if model is None or not model["network"] or (gate and model["score"] <= 0):
             model = None
             continue

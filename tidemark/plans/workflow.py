@@ -125,7 +125,7 @@ def model_latest(spark, d):
 def trials_best(spark, d):
     path = new_path(spark, "trials")
     for minutes, score in ((30, 0.0), (60, 100.0), (120, 10.0)):
-        io.append_trial(spark, path, {"motif_minutes": minutes}, score)
+        io.append_trials(spark, path, [({"motif_minutes": minutes}, score)])
     t = spark.read.parquet(path).withColumn("motif_minutes", F.get_json_object("config", "$.motif_minutes").cast("int"))
     return t.agg(F.max_by("motif_minutes", "metrics_score").alias("motif_minutes"), F.max("metrics_score").alias("metrics_score"), F.count(F.lit(1)).alias("trials"))
 

@@ -119,6 +119,7 @@ def warm_range(df: DataFrame, day: str, start: int, end: int, warm: int = 10_000
     return df.where(F.col(day).between(start - warm, end)).withColumn("warm_up", F.col(day) < start)
 
 
-def append_trial(spark: SparkSession, path: str, config: dict, score: float) -> None:
-    """Add one tried configuration and its score to the trials table."""
-    spark.createDataFrame([(json.dumps(config, sort_keys=True), float(score))], "config string, metrics_score double").write.mode("append").parquet(path)
+def append_trials(spark: SparkSession, path: str, trials: list[tuple[dict, float]]) -> None:
+    """Add tried configurations and their scores to the trials table."""
+    rows = [(json.dumps(config, sort_keys=True), float(score)) for config, score in trials]
+    spark.createDataFrame(rows, "config string, metrics_score double").write.mode("append").parquet(path)
