@@ -7,7 +7,7 @@ sort bring the rows of a block together; a NumPy kernel then works on many block
 * an undecimated Haar pyramid of the log level. At level j the detail of a row is its distance from the mean of
   the 2^j readings before it and of the 2^j after it (nulls skipped). A spike stands off on both sides in one
   direction, a lasting move only on one, so the smaller of two details of equal sign is thresholded. Details are
-  scaled by their median absolute deviation in the block. Readings found at one level are taken out before the
+  scaled by the median absolute deviation of their level in the block. Readings found at one level are taken out before the
   next, coarser one, so that they don't blur its means;
 * a series that steps away from its level and returns within some rows was false throughout: all rows between two opposite
   details of level 0 that stand off from both sides are spikes, whatever the width of a coarser level would see;
@@ -42,9 +42,9 @@ FIELDS = ("high", "low", "close", "volume")
 @dataclass(frozen=True)
 class SpikeConfig:
     """longest: rows of the longest excursion that returns and is no lasting move; block, halo: in units of the position; the halo must hold more rows than 2^levels and the longest run a sid's rate of repeats explains.
-    scale: multiples of the robust deviation that make a spike; jump, volume_jump: the least log distance of one;
+    scale: multiples of the robust deviation that make a spike, beyond what heavy-tailed daily moves reach; jump, volume_jump: the least log distance of one;
     row_jump: the least one from the row's own level; carry_scale, carry_jump: the same for fields of a row whose close
-    is false; lone_scale: the same for a volume that has no amount; lone_jump: the least one for a volume beside a stuck close.
+    is a spike; lone_scale: the same for a volume that has no amount; lone_jump: the least one for a volume beside a stuck close.
     alpha: expected false runs per block.
     """
 
@@ -85,18 +85,17 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
         seen, hit = x.copy(), np.zeros(len(x), bool)
         for j in range(c.levels):
             width = 2**j
-            # Details of a random walk grow by this from level 0 on.
-            grow = sum((1 - i / width) ** 2 for i in range(width)) ** 0.5
             # A reading found before stays out of the means but is looked at no more.
             before, after = neighbours(seen, group, width)
-            if j == 0:
-                scale[f] = 1.4826 * np.nan_to_num(group_median(np.abs(x - before), group, groups))[group]
             before, after = x - before, x - after
+            # Every level by the spread of its own details.
+            own = 1.4826 * np.nan_to_num(group_median(np.abs(before), group, groups))[group]
+            scale.setdefault(f, own)
             # At the ends of a series a missing side is the distance from the price that amount and volume imply.
             before = np.where(np.isnan(before), x - implied, before)
             after = np.where(np.isnan(after), x - implied, after)
             least = np.where(np.sign(before) == np.sign(after), np.minimum(np.abs(before), np.abs(after)), 0)
-            now = least > np.maximum(c.jump, c.scale * grow * scale[f])
+            now = least > np.maximum(c.jump, c.scale * own)
             hit |= now
             seen = np.where(now, np.nan, seen)
         spike[f] = hit | excursions(seen, group, c.longest, np.maximum(c.jump, c.scale * scale[f]))
@@ -152,12 +151,12 @@ def judge(group: np.ndarray, rows: dict[str, np.ndarray], c: SpikeConfig) -> dic
     spike["volume"] = alone | np.where(stuck["close"], off_volume > np.maximum(c.lone_jump, c.scale * level_scale), off)
     for f in FIELDS:
         out[f] = np.where(bounds[f], 1, np.where(spike[f], 2, np.where(stuck[f], 3, 0)))
-    # A false close pulls the high up or the low down to itself, beyond the open.
+    # A close that is a spike pulls the high up or the low down to itself, beyond the open; a stuck one lies where the sid trades.
     toward = np.sign(log["close"] - implied)
     from_open = {f: np.where(np.isnan(log["open"]), np.inf, np.abs(log[f] - log["open"])) for f in ("high", "low")}
     for f, way in (("high", 1), ("low", -1)):
         off, off_scale = beyond[f]
-        carried = (out["close"] > 1) & (out["volume"] == 0) & (out[f] == 0) & (toward == way) & (from_open[f] > c.carry_jump) & (off > np.maximum(c.carry_jump, c.carry_scale * off_scale))
+        carried = (out["close"] == 2) & (out["volume"] == 0) & (out[f] == 0) & (toward == way) & (from_open[f] > c.carry_jump) & (off > np.maximum(c.carry_jump, c.carry_scale * off_scale))
         out[f] = np.where(carried, 2, out[f])
     return out
 
