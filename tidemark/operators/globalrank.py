@@ -37,3 +37,26 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], columns: dict
     same = [rows[g].eqNullSafe(offsets[g]) for g in group]
     joined = rows.join(offsets, same)
     return joined.select(*[rows[c] for c in df.columns], *[(rows[n] + offsets[f"_{n}"]).alias(n) for n in columns])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column per share): quantiles of a value, linear between ranks; nulls and NaN don't count.
+
+    Equal values are counted first, then positions are running sums over ranges of values: no task holds all values of a
+    key. ``shares`` maps a column's name to its share. Keys without values, and null keys, give no row.
+    """
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # Without keys all ranges belong to one constant.
+    group = keys or ["_one"]
+    counts = counts if keys else counts.withColumn("_one", F.lit(1))
+    placed = running_sums(counts, group, ["_v"], {"_upto": "_c"})
+    sizes = counts.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    wanted = sizes.select(*group, "_n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("at")) for name, q in shares.items()])).alias("w")).select(*group, "w.name", F.col("w.at").alias("_at"))
+    # A value covers the ranks from _upto - _c to _upto - 1; a quantile lies between two of them. Few rows per key meet each value.
+    wide = wanted.groupBy(*group).agg(F.collect_list(F.struct("name", "_at")).alias("_w"))
+    hits = placed.join(wide, group).select(*group, "_v", "_upto", "_c", F.explode("_w").alias("w")).where((F.col("_upto") > F.floor("w._at")) & (F.col("_upto") - F.col("_c") <= F.ceil("w._at")))
+    part = F.col("w._at") - F.floor("w._at")
+    ends = hits.groupBy(*group, F.col("w.name").alias("name")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.first(part).alias("part"))
+    value_at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
+    return ends.groupBy(*group).agg(*[F.max(F.when(F.col("name") == name, value_at)).alias(name) for name in shares]).select(*keys, *shares)

@@ -31,21 +31,23 @@ def residuals(bars: DataFrame, signal: str = "close", reset_daily: bool = False)
         price = F.when(F.col("volume") > 0, F.try_divide("amount", "volume")).otherwise(price)
     day = W.partitionBy("sid", "day").orderBy("minute_idx")
     days = W.partitionBy("sid").orderBy("day")
-    rows = written(bars.select("sid", "day", "minute_idx", "volume", F.ln(F.when(price > 0, price)).alias("_l")), "log-prices")
-    last = rows.groupBy("sid", "day").agg(F.max_by("_l", "minute_idx").alias("_last")).select("sid", "day", F.lag("_last").over(days).alias("_before"))
-    first = F.row_number().over(day) == 1
-    out = rows.join(last, ["sid", "day"]).withColumn("ret", F.coalesce(F.col("_l") - F.when(first, F.col("_before")).otherwise(F.lag("_l").over(day)), F.lit(0.0)))
-    medians = out.groupBy("day", "minute_idx").agg(F.expr("percentile(ret, 0.5)").alias("_m"))
-    out = out.join(medians, ["day", "minute_idx"]).withColumn("residual", F.col("ret") - F.col("_m"))
+    weight = F.lit(1.0)
     if signal == "vpt":
         mean = F.avg("volume").over(W.partitionBy("sid", "day"))
-        out = out.withColumn("residual", F.col("residual") * F.when(mean > 0, F.col("volume") / mean).otherwise(F.lit(1.0)))
-    out = out.select("sid", "day", "minute_idx", "residual", F.sum("residual").over(day.rowsBetween(W.unboundedPreceding, 0)).alias("cum"))
+        weight = F.when(mean > 0, F.col("volume") / mean).otherwise(F.lit(1.0))
+    # All that needs the order within a day is done in one pass over it; the day's first return waits for the day before.
+    rows = bars.select("sid", "day", "minute_idx", "volume", F.ln(F.when(price > 0, price)).alias("_l"))
+    rows = written(rows.select("sid", "day", "minute_idx", "_l", (F.col("_l") - F.lag("_l").over(day)).alias("_r"), (F.row_number().over(day) == 1).alias("_first"), weight.alias("_w")), "returns")
+    last = rows.groupBy("sid", "day").agg(F.max_by("_l", "minute_idx").alias("_last")).select("sid", "day", F.lag("_last").over(days).alias("_before"))
+    ret = F.coalesce(F.when(F.col("_first"), F.col("_l") - F.col("_before")).otherwise(F.col("_r")), F.lit(0.0))
+    returns = rows.join(last, ["sid", "day"]).select("sid", "day", "minute_idx", ret.alias("ret"), "_w")
+    medians = returns.groupBy("day", "minute_idx").agg(F.expr("percentile(ret, 0.5)").alias("_m"))
+    out = returns.join(medians, ["day", "minute_idx"]).select("sid", "day", "minute_idx", ((F.col("ret") - F.col("_m")) * F.col("_w")).alias("residual"))
     if reset_daily:
-        return out
+        return out.withColumn("cum", F.sum("residual").over(day.rowsBetween(W.unboundedPreceding, 0)))
     out = written(out, "residuals")
     offsets = out.groupBy("sid", "day").agg(F.sum("residual").alias("_s")).select("sid", "day", F.coalesce(F.sum("_s").over(days.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_offset"))
-    return out.join(offsets, ["sid", "day"]).select("sid", "day", "minute_idx", "residual", (F.col("cum") + F.col("_offset")).alias("cum"))
+    return out.join(offsets, ["sid", "day"]).select("sid", "day", "minute_idx", "residual", (F.sum("residual").over(day.rowsBetween(W.unboundedPreceding, 0)) + F.col("_offset")).alias("cum"))
 
 
 def eod_features(cum: DataFrame, prices: DataFrame, downsample: int = 5, m: int = 12, amplify: float = 1000.0, cutoff: int = 235, stale: int = 225, flat: float = 1e-5) -> DataFrame:

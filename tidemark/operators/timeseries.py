@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.exprs import EPS, money_flow
 from tidemark.operators.globalrank import global_index
+from tidemark.session import written
 
 
 def filled(column: str, keys: list[str], order: list[str], backward: bool = True) -> Column:
@@ -104,17 +105,26 @@ def resampled(df: DataFrame, keys: list[str], ts: str, every: str, aggs: dict[st
 
 
 def asof_index(data: DataFrame, clock: DataFrame, ts: str, keys: list[str] = ()) -> DataFrame:
-    """Each data row with ``clock_ts``, the first clock time at or after it; null beyond the clock's end.
+    """Each data row with ``clock_ts``, the first clock time at or after it; null beyond the clock's end, and for a null time.
 
-    One union and one window per key instead of an inequality join. ``clock`` holds ``ts`` and the keys.
+    ``clock`` holds ``ts`` and the keys. Both are put together and range-partitioned by (keys, time); a range looks within
+    itself, and where its clock has run out takes the first time of the ranges after it, one row each. So no task holds a
+    key or a stretch of time, however much lies there.
     """
-    columns = data.columns
-    both = data.withColumn("_clock", F.lit(None).cast(dict(data.dtypes)[ts])).withColumn("_is", F.lit(0)).unionByName(
-        clock.select(*keys, ts).distinct().withColumn("_clock", F.col(ts)).withColumn("_is", F.lit(1)), allowMissingColumns=True
+    columns, kind, by = data.columns, dict(data.dtypes)[ts], list(keys)
+    both = data.withColumn("_clock", F.lit(None).cast(kind)).withColumn("_is", F.lit(0)).unionByName(
+        clock.select(*by, ts).where(F.col(ts).isNotNull()).distinct().withColumn("_clock", F.col(ts)).withColumn("_is", F.lit(1)), allowMissingColumns=True
     )
+    ranged = written(both.repartitionByRange(*by, ts).withColumn("_range", F.spark_partition_id()), "asof-ranges")
+    group = [*by, "_range"]
+    firsts = ranged.groupBy(*group).agg(F.min("_clock").alias("_first"))
+    later = firsts.select(*group, F.min("_first").over(W.partitionBy(*by).orderBy("_range").rowsBetween(1, W.unboundedFollowing)).alias("_next"))
     # From late to early: a clock row comes before data rows of its own time.
-    w = W.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col("_is").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("clock_ts", F.last("_clock", ignorenulls=True).over(w)).where("_is = 0").select(*columns, "clock_ts")
+    w = W.partitionBy(*group).orderBy(F.col(ts).desc(), F.col("_is").desc()).rowsBetween(W.unboundedPreceding, 0)
+    within = ranged.withColumn("_here", F.last("_clock", ignorenulls=True).over(w)).where("_is = 0")
+    same = [within[g].eqNullSafe(later[g]) for g in group]
+    out = within.join(later, same).select(*[within[c] for c in columns], F.when(within[ts].isNotNull(), F.coalesce(within["_here"], later["_next"])).alias("clock_ts"))
+    return out
 
 
 def outer_merge(frames: list[DataFrame], on: list[str]) -> DataFrame:

@@ -22,9 +22,10 @@ from tidemark.operators import stats as SS
 from tidemark.operators import tail as TL
 from tidemark.operators import timeseries as TS
 from tidemark.operators import universe as U
-from tidemark.operators.globalrank import global_index
+from tidemark.operators.globalrank import exact_quantiles, global_index
 from tidemark.operators.inforce import in_force, yyyymmdd_date
 from tidemark.operators.regrid import epoch_seconds, session_minute
+from tidemark.operators.salting import spread_join
 from tidemark.session import new_path
 from tidemark.sources import io
 from tidemark.streaming import online
@@ -501,17 +502,7 @@ def orders_dashboard_sql(spark, d):
 def asof_align(spark, d):
     e = read(spark, d, "events").select("event_id", F.col("ts"))
     clock = read(spark, d, "orders").select(F.col("o_orderdate").cast(dict(e.dtypes)["ts"]).alias("ts"))
-    # One bucket of time per group, and the first clock time of the next buckets carried over, so no task holds all rows.
-    return _asof_by_month(e, clock)
-
-
-def _asof_by_month(e: DataFrame, clock: DataFrame) -> DataFrame:
-    month = F.date_trunc("month", "ts")
-    firsts = clock.groupBy(month.alias("m")).agg(F.min("ts").alias("first"))
-    months = e.select(month.alias("m")).distinct()
-    later = months.join(firsts.withColumnRenamed("m", "cm"), F.col("cm") > F.col("m"), "left").groupBy("m").agg(F.min("first").alias("next_first"))
-    inside = TS.asof_index(e.withColumn("m", month), clock.withColumn("m", month), "ts", ["m"])
-    return inside.join(later, "m", "left").select("event_id", F.coalesce("clock_ts", "next_first").alias("clock_ts"))
+    return TS.asof_index(e, clock, "ts").select("event_id", "clock_ts")
 
 
 @query("panel_d", "SELECT coalesce(a.day, b.day) AS day, a.n_panel, b.n_scores FROM (SELECT day, count(*) AS n_panel FROM panel_d GROUP BY day) a FULL OUTER JOIN (SELECT day, count(*) AS n_scores FROM (SELECT DISTINCT * FROM scores) WHERE day IS NOT NULL GROUP BY day) b ON a.day = b.day")
@@ -530,11 +521,10 @@ def semi_membership(spark, d):
 def latest_le_lookup(spark, d):
     s = read(spark, d, "scores").where("sid is not null and day is not null").select("score_id", "sid", "day").distinct().withColumn("at", F.date_format("day", "yyyyMM").cast("int")).drop("day")
     u = read(spark, d, "universe_month").where("sid is not null").select("sid", F.col("month_id").alias("at")).distinct()
-    # A month holds until the next one: ranges per sid, so each score meets at most the months of its sid.
-    w = W.partitionBy("sid").orderBy("at")
-    ranges = u.select("sid", F.col("at").alias("month_id"), F.coalesce(F.lead("at").over(w), F.lit(999999)).alias("until"))
-    joined = s.alias("s").join(ranges.alias("r"), (F.col("s.sid") == F.col("r.sid")) & (F.col("r.month_id") <= F.col("s.at")) & (F.col("s.at") < F.col("r.until")), "left")
-    return joined.groupBy("s.score_id").agg(F.max("r.month_id").alias("month_id"))
+    # A sid's months are one short list, so a hot sid's scores are parted as in any join with a row per key.
+    months = u.groupBy("sid").agg(F.sort_array(F.collect_set("at")).alias("months"))
+    joined = spread_join(s, months, ["sid"], how="left")
+    return joined.groupBy("score_id").agg(F.max(F.array_max(F.filter("months", lambda m: m <= F.col("at")))).alias("month_id"))
 
 
 @query("daily_f", f"SELECT sid, day, {s6('body_top', 'body_bottom', 'upper_wick', 'lower_wick')}, close >= open AS up, open < close AS rises FROM (SELECT *, greatest(open, close) AS body_top, least(open, close) AS body_bottom, high - greatest(open, close) AS upper_wick, least(open, close) - low AS lower_wick FROM daily_f WHERE open IS NOT NULL AND close IS NOT NULL)")
@@ -655,7 +645,7 @@ def digitize_posterior(spark, d):
 @query("daily_f", "SELECT round(quantile_cont(close, 1 / 3.0), 4) AS linear_low, round(quantile_cont(close, 2 / 3.0), 4) AS linear_high, any_value(n.lo) AS near_low, any_value(n.hi) AS near_high FROM daily_f, (SELECT round(v[1 + CAST(round((len(v) - 1) / 3.0) AS INT)], 4) AS lo, round(v[1 + CAST(round((len(v) - 1) * 2 / 3.0) AS INT)], 4) AS hi FROM (SELECT list_sort(list(m)) AS v FROM (SELECT day, avg(close) AS m FROM daily_f GROUP BY day))) n")
 def quantile_modes(spark, d):
     rows = daily_f(spark, d)
-    linear = rows.select(F.expr("round(percentile(close, 1D / 3), 4)").alias("linear_low"), F.expr("round(percentile(close, 2D / 3), 4)").alias("linear_high"))
+    linear = exact_quantiles(rows, [], "close", {"linear_low": 1 / 3, "linear_high": 2 / 3}).select(*[F.round(c, 4).alias(c) for c in ("linear_low", "linear_high")])
     lo, hi = ST.tercile_bounds(rows.groupBy("day").agg(F.avg("close").alias("m")), "m")
     return linear.withColumn("near_low", F.round(F.lit(lo), 4)).withColumn("near_high", F.round(F.lit(hi), 4))
 
