@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.kernels import dtw as K
-from tidemark.kernels.mprofile import block_minima
+from tidemark.kernels.mprofile import block_minima, box_distance, cell_of, fit_tree, nearest_within
 
 
 def slow_dtw(a, b, w):
@@ -52,9 +52,29 @@ def test_band():
 def test_block_minima_shuts_out_near_windows():
     rng = np.random.default_rng(1)
     x, at, s = rng.normal(size=(6, 5)), np.arange(6), np.zeros(6, int)
-    d, nn = block_minima(x, at, x, at, s, s, 2)
     z = K.znorm(x)
+    d, nn = block_minima(z, at, z, at, s, s, 2)
     for i in range(6):
         far = [j for j in range(6) if abs(i - j) > 2]
         assert d[i] == pytest.approx(min(np.linalg.norm(z[i] - z[j]) for j in far)) and nn[i] in far
 
+
+
+def test_cells_boxes_and_bounded_search():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(900, 4)) * [3, 1, 1, 0.1], np.zeros((100, 4))])
+    basis, dims, cuts = fit_tree(x[::3], 3)
+    y = x @ basis
+    assert np.allclose(np.linalg.norm(y[:50, None] - y[None, 50:100], axis=-1), np.linalg.norm(x[:50, None] - x[None, 50:100], axis=-1))
+    cell = cell_of(y, dims, cuts)
+    assert set(cell) == set(range(8)) and (cell_of(np.zeros((3, 4)), *fit_tree(np.zeros((0, 4)), 2)[1:]) == 0).all()
+    low, high = (np.stack([f(y[cell == c], axis=0) for c in range(8)]) for f in (np.min, np.max))
+    reach = box_distance(y, low[:, :2], high[:, :2])
+    real = np.stack([np.linalg.norm(y[:, None] - y[None, cell == c], axis=-1).min(1) for c in range(8)], axis=1)
+    assert (reach <= real + 1e-9).all() and (reach[np.arange(1000), cell] == 0).all()
+    at, s = np.zeros(1000, int), np.arange(1000)
+    full, _ = block_minima(y, at, y, at, s, s, 0)
+    d, who = nearest_within(y, at, s, np.full(1000, np.inf), y, at, s, 0, 32)
+    assert np.allclose(d, full) and (np.linalg.norm(y - y[who], axis=1) == d).all()
+    tight, none = nearest_within(y, at, s, full, y, at, s, 0, 32)
+    assert (none[tight == np.inf] == -1).all() and (none == -1).mean() > 0.99

@@ -16,7 +16,7 @@ from tidemark.operators import stats as SS
 from tidemark.operators import tail as TL
 from tidemark.operators import timeseries as TS
 from tidemark.operators import universe as U
-from tidemark.operators.globalrank import global_index
+from tidemark.operators.globalrank import exact_quantiles, global_index
 from tidemark.operators.inforce import in_force
 from tidemark.operators.salting import fresh, spread_join
 
@@ -166,6 +166,33 @@ def test_spread_join_is_a_join(spark):
     out = spread_join(big, per, ["k"])
     assert out.count() == 50 and set(out.columns) == {"k", "_salt", "v", "w"} and fresh("_salt", big) == "_salt_"
     assert spread_join(big, per, ["k"], how="left").where("w is null").count() == 2
+    big = big.unionByName(spark.createDataFrame([(None, 1, i) for i in range(30)], big.schema))
+    per = per.unionByName(spark.createDataFrame([(None, 7.0)], per.schema))
+    for how in ("inner", "left"):
+        plain, parted = big.join(per, "k", how), spread_join(big, per, ["k"], how, split=10)
+        assert parted.columns == plain.columns and sorted(map(str, parted.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(1)
+    data = [(k, float(v)) for k, n in (("a", 101), ("b", 40), ("c", 1)) for v in np.round(rng.normal(size=n), 1)] + [("a", None), ("a", float("nan")), ("d", None), (None, 5.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r.k: (r.lo, r.mid, r.top) for r in exact_quantiles(df, ["k"], "v", {"lo": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    want = {k: np.quantile([v for j, v in data if j == k and v is not None and v == v], [0.1, 0.5, 1.0]) for k in ("a", "b", "c")}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k].tolist()) for k in want)
+    one = exact_quantiles(df, [], "v", {"mid": 0.5}).collect()
+    assert one[0].mid == pytest.approx(np.median([v for _, v in data if v is not None and v == v])) and exact_quantiles(df.where("false"), [], "v", {"mid": 0.5}).count() == 0
+
+
+def test_asof_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    data, clock = [(i, "k" if i % 4 else "l", int(rng.integers(0, 1000))) for i in range(300)] + [(900, "k", None)], [("k", int(t)) for t in rng.integers(100, 900, 40)] + [("l", 500), ("m", 1), ("k", None)]
+    d, c = spark.createDataFrame(data, "id int, k string, t int"), spark.createDataFrame(clock, "k string, t int")
+    want = {i: min((u for j, u in clock if j == k and u is not None and t is not None and u >= t), default=None) for i, k, t in data}
+    assert {r.id: r.clock_ts for r in TS.asof_index(d, c, "t", ["k"]).collect()} == want
+    whole = {i: min((u for _, u in clock if u is not None and t is not None and u >= t), default=None) for i, _, t in data}
+    assert {r.id: r.clock_ts for r in TS.asof_index(d, c.select("t"), "t").collect()} == whole
+    assert TS.asof_index(d, c.where("false"), "t", ["k"]).where("clock_ts is not null").count() == 0
 
 
 def test_residuals_and_features(spark, data):
@@ -178,15 +205,20 @@ def test_residuals_and_features(spark, data):
     assert daily.where("abs(s - c) > 1e-9").count() == 0
 
 
-def test_matrix_profile_against_brute_force(spark):
+@pytest.mark.parametrize("block", [16, 100_000])
+def test_matrix_profile_against_brute_force(spark, block):
     rng = np.random.default_rng(4)
-    curves = {(g, s): rng.normal(size=14) for g in "pq" for s in range(4)}
-    df = spark.createDataFrame([(g, s, c.tolist()) for (g, s), c in curves.items()] + [("r", 0, [1.0] * 3), ("r", 1, None)], "g string, s int, c array<double>")
-    got = {(r.g, r.series, r.pos): r.distance for r in M.matrix_profile(df, ["s"], "c", 5, within=["g"], block=16).collect()}
-    wins = [(g, str(s), i, znorm(c[i : i + 5])) for (g, s), c in curves.items() for i in range(10)]
-    assert len(got) == 80
-    for g, s, i, w in wins:
-        assert got[g, s, i] == pytest.approx(min(np.linalg.norm(w - v) for h, t, j, v in wins if h == g and not (t == s and abs(i - j) <= 2)), abs=1e-6)
+    curves = {s: rng.normal(size=14) for s in range(12)} | {20: np.ones(14), 21: np.ones(14), 22: np.r_[np.zeros(7), np.arange(7.0)]}
+    curves[23] = curves[3].copy()
+    df = spark.createDataFrame([(s, c.tolist()) for s, c in curves.items()] + [(90, [1.0] * 3), (91, None), (92, [None] * 9), (93, [float("nan")] * 9)], "s int, c array<double>")
+    got = {(r.series, r.pos): r for r in M.matrix_profile(df, ["s"], "c", 5, block=block).collect()}
+    wins = {(str(s), i): znorm(c[i : i + 5]) for s, c in curves.items() for i in range(10)}
+    assert set(got) == set(wins)
+    for (s, i), w in wins.items():
+        r = got[s, i]
+        assert r.distance == pytest.approx(min(np.linalg.norm(w - v) for (t, j), v in wins.items() if not (t == s and abs(i - j) <= 2)), abs=1e-6)
+        assert np.linalg.norm(w - wins[r.nn_series, r.nn_pos]) == pytest.approx(r.distance, abs=1e-6) and not (r.nn_series == s and abs(r.nn_pos - i) <= 2)
+    assert M.matrix_profile(df.where("false"), ["s"], "c", 5).count() == 0 and M.matrix_profile(df.where("s = 3").select("s", F.slice("c", 1, 5).alias("c")), ["s"], "c", 5).count() == 0
 
 
 def test_tail_bins_recover_known_tails(spark):

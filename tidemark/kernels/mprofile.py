@@ -1,20 +1,64 @@
-"""Z-normalised nearest neighbours between two blocks of windows (NumPy)."""
+"""Nearest neighbours of points in blocks, and a tree of cells over them (NumPy)."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from tidemark.kernels.dtw import znorm
-
 #: Distances held at once.
 STRIP = 1 << 20
 
 
+def fit_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(basis, dimensions, thresholds) of a tree of ``depth`` levels that halves a sample along its principal directions.
+
+    The basis is orthonormal, so distances stay as they are. Node i of a level has the children 2i and 2i + 1; levels lie
+    one after another. A node without sample points keeps the split of direction 0 at 0.
+    """
+    centred = sample - sample.mean(axis=0) if len(sample) else sample
+    basis = np.linalg.eigh(centred.T @ centred + 1e-12 * np.eye(sample.shape[1]))[1][:, ::-1]
+    points = sample @ basis
+    dims, cuts = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1)
+    groups = [np.arange(len(points))]
+    for level in range(depth):
+        below = []
+        for i, g in enumerate(groups):
+            node = 2**level - 1 + i
+            if len(g):
+                dims[node] = int(points[g].std(axis=0).argmax())
+                cuts[node] = float(np.median(points[g, dims[node]]))
+            left = points[g, dims[node]] <= cuts[node]
+            below += [g[left], g[~left]]
+        groups = below
+    return basis, dims, cuts
+
+
+def cell_of(points: np.ndarray, dims: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The cell of the tree that each point lies in."""
+    at, depth = np.zeros(len(points), np.int64), (len(dims) + 1).bit_length() - 1
+    rows = np.arange(len(points))
+    for level in range(depth):
+        node = 2**level - 1 + at
+        at = 2 * at + (points[rows, dims[node]] > cuts[node])
+    return at
+
+
+def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least possible distance of each point to any point of each box (points x boxes); boxes may have fewer dimensions."""
+    out = np.zeros((len(points), len(low)))
+    for j in range(low.shape[1]):
+        x = points[:, j : j + 1]
+        gap = np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0)
+        out += gap * gap
+    return np.sqrt(out)
+
+
 def block_minima(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right_at: np.ndarray, left_series: np.ndarray, right_series: np.ndarray, exclusion: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each left window the least distance to a right window, and that window's row; windows of one series closer
+    """For each left point the least distance to a right point, and that point's row; points of one series closer
     than ``exclusion`` don't match. inf and -1 without a match."""
-    a, b = znorm(left), znorm(right)
-    # One product gives the squared distances: |a|^2 + |b|^2 - 2ab. A strip of left windows is held at a time.
+    a, b = left, right
+    if not len(b):
+        return np.full(len(a), np.inf), np.full(len(a), -1)
+    # One product gives the squared distances: |a|^2 + |b|^2 - 2ab. A strip of left points is held at a time.
     one = np.ones((len(b), 1))
     wide = np.ascontiguousarray(np.hstack([b, one, (b * b).sum(1)[:, None]]).T)
     order = np.argsort(right_series, kind="stable")
@@ -36,3 +80,25 @@ def block_minima(left: np.ndarray, left_at: np.ndarray, right: np.ndarray, right
     return np.where(found, np.sqrt(((a - b[best]) ** 2).sum(1)), np.inf), np.where(found, best, -1)
 
 
+def _leaves(points: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows in groups of at most ``size``, halved along their widest direction; each group keeps its rows' order."""
+    if len(rows) <= size:
+        return [np.sort(rows)]
+    x = points[rows, points[rows].std(axis=0).argmax()]
+    order = np.argpartition(x, len(rows) // 2)
+    return _leaves(points, rows[order[: len(rows) // 2]], size) + _leaves(points, rows[order[len(rows) // 2 :]], size)
+
+
+def nearest_within(left: np.ndarray, left_at: np.ndarray, left_series: np.ndarray, bound: np.ndarray, right: np.ndarray, right_at: np.ndarray, right_series: np.ndarray, exclusion: int, size: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """``block_minima``, but only matches nearer than ``bound``. The right points are put in small boxes, and a left point meets
+    only boxes that can hold something nearer than what it has."""
+    best, who = bound.astype(float).copy(), np.full(len(left), -1)
+    for rows in _leaves(right, np.arange(len(right)), size):
+        reach = box_distance(left, right[rows].min(axis=0)[None], right[rows].max(axis=0)[None])[:, 0]
+        at = np.flatnonzero(reach < best)
+        if not len(at):
+            continue
+        d, hit = block_minima(left[at], left_at[at], right[rows], right_at[rows], left_series[at], right_series[rows], exclusion)
+        nearer = d < best[at]
+        best[at[nearer]], who[at[nearer]] = d[nearer], rows[hit[nearer]]
+    return np.where(who >= 0, best, np.inf), who

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from tidemark.functions.exprs import motif_threshold, windows_of
 from tidemark.kernels import dtw as K
-from tidemark.kernels.mprofile import block_minima
+from tidemark.kernels.mprofile import box_distance, cell_of, fit_tree, nearest_within
+from tidemark.operators.globalrank import exact_quantiles
 from tidemark.operators.salting import spread_join
 from tidemark.session import written
 
@@ -53,49 +53,110 @@ def series_windows(curves: DataFrame, series: list[str], curve: str, m: int) ->
     return rows.where(~F.exists("window", lambda x: x.isNull() | F.isnan(x)))
 
 
-def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, within: list[str] = (), exclusion: int | None = None, block: int = 16384) -> DataFrame:
-    """(within, series, pos, distance, nn_series, nn_pos): of each window the nearest other one, z-normalised.
+# Curves that the tree is fitted on, levels of the tree, and directions that boxes are kept in: bounds of what the driver holds.
+SAMPLE_CURVES, MOST_LEVELS, BOX_DIMENSIONS = 4096, 12, 12
 
-    Windows match windows of the same ``within`` group (all, by default); those of one series within ``exclusion`` (a
-    quarter of m, rounded up) of each other don't. A group is cut into blocks by a hash and block pairs are compared
-    as matrices in Arrow batches; a task holds two blocks at a time, so a hot group is many tasks' work. Comparing all
-    windows of a group is what the operator is: its cost is quadratic in a group, its memory is not. Windows with
-    nulls or NaN are left out; a group with one window gives no row.
+
+def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exclusion: int | None = None, block: int = 16384) -> DataFrame:
+    """(series, pos, distance, nn_series, nn_pos): of each window the nearest other one, z-normalised, exactly.
+
+    Windows of one series within ``exclusion`` (a quarter of m, rounded up) of each other don't match. Windows with nulls or
+    NaN are left out; a single window gives no row, an empty table none. Among windows at one distance, one is named.
+
+    A tree fitted on at most SAMPLE_CURVES curves parts the space into at most 2^MOST_LEVELS cells; every window is put into
+    its cell, and a cell of more than ``block`` windows is cut into blocks by a hash. A window first meets its own block,
+    which bounds its distance; after that it only visits cells whose bounding box comes nearer than that. So windows far
+    from each other never meet, equal windows (constant stretches, copies) are done within their block, and the result is
+    that of comparing all pairs. A task holds one block and a bounded number of visitors.
     """
     exclusion = -(-m // 4) if exclusion is None else exclusion
-    group = F.to_json(F.struct(*within)) if within else F.lit("")
-    named = curves.select(group.alias("g"), F.concat_ws("|", *series).alias("series"), curve)
-    windows = written(series_windows(named, ["g", "series"], curve, m), "windows")
-    parts = windows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    cut = spread_join(windows, parts, ["g"]).withColumn("part", F.pmod(F.xxhash64("series", "pos"), F.col("parts")).cast("int"))
-    blocks = written(cut.groupBy("g", "parts", "part").agg(F.collect_list(F.struct("series", "pos", "window")).alias("rows")), "blocks")
-    left = blocks.select("g", F.col("part").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rows").alias("left"))
-    pairs = left.join(blocks.select("g", "part", F.col("rows").alias("right")), ["g", "part"]).select("g", "left", "right")
-
-    def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            for i in range(batch.num_rows):
-                sides = []
-                for side in ("left", "right"):
-                    rows = batch.column(side)[i].values
-                    names, pos = rows.field("series"), rows.field("pos").to_numpy()
-                    sides.append((names, pos, rows.field("window").flatten().to_numpy().reshape(len(pos), m)))
-                codes = pa.chunked_array([sides[0][0], sides[1][0]]).combine_chunks().dictionary_encode().indices.to_numpy()
-                n = len(sides[0][1])
-                d, at = block_minima(sides[0][2], sides[0][1], sides[1][2], sides[1][1], codes[:n], codes[n:], exclusion)
-                keep = np.flatnonzero(at >= 0)
-                if len(keep):
-                    yield pa.record_batch(
-                        [pa.array([batch.column("g")[i].as_py()] * len(keep), pa.string()), sides[0][0].take(pa.array(keep)), pa.array(sides[0][1][keep], pa.int32()), pa.array(d[keep]), sides[1][0].take(pa.array(at[keep])), pa.array(sides[1][1][at[keep]], pa.int32())],
-                        names=["g", "series", "pos", "distance", "nn_series", "nn_pos"],
-                    )
-
-    found = pairs.mapInArrow(compare, "g string, series string, pos int, distance double, nn_series string, nn_pos int")
+    spark = curves.sparkSession
+    named = written(curves.select(F.concat_ws("|", *series).alias("series"), F.col(curve).alias("curve")).where(F.size("curve") >= m), "curves")
+    total = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("curve") - (m - 1)), F.lit(0)).alias("windows")).first()
+    parts = max(1, -(-total["n"] // SAMPLE_CURVES))
+    sample = named.where(F.pmod(F.xxhash64("series", "curve"), F.lit(parts)) == 0).limit(SAMPLE_CURVES).select("curve").toPandas()["curve"]
+    depth = min(max(int(np.ceil(np.log2(max(total["windows"], 1) / block))), 0), MOST_LEVELS)
+
+    def windows_in(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, position and z-normalised points of all whole windows of the curves."""
+        rows, at, points = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros((0, m))]
+        for i, c in enumerate(values):
+            views = np.lib.stride_tricks.sliding_window_view(np.asarray(c, float), m)
+            whole = np.flatnonzero(np.isfinite(views).all(axis=1))
+            rows.append(np.full(len(whole), i))
+            at.append(whole)
+            points.append(K.znorm(views[whole]))
+        return np.concatenate(rows), np.concatenate(at), np.concatenate(points)
+
+    basis, dims, cuts = fit_tree(windows_in(sample)[2], depth)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                rows, at, points = windows_in([np.asarray(c.values.to_numpy(zero_copy_only=False)) for c in part.column(1)])
+                points = points @ basis
+                yield pa.record_batch([part.column(0).take(pa.array(rows)), pa.array(at, pa.int32()), pa.array(cell_of(points, dims, cuts), pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), m).cast(pa.list_(pa.float64()))], names=["series", "pos", "cell", "y"])
+
+    placed = written(named.mapInArrow(assign, "series string, pos int, cell int, y array<double>"), "windows")
+    # A row per cell, at most 2^MOST_LEVELS.
+    d = min(m, BOX_DIMENSIONS)
+    boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.get("y", F.lit(j))) for j in range(d)]).alias("low"), F.array(*[F.max(F.get("y", F.lit(j))) for j in range(d)]).alias("high")).orderBy("cell").collect()
+    cells = spark.createDataFrame([(r["cell"], -(-r["n"] // block)) for r in boxes], "cell int, parts int")
+    names = np.array([r["cell"] for r in boxes], np.int64)
+    low, high = (np.array([r[k] for r in boxes], float).reshape(len(boxes), d) for k in ("low", "high"))
+    blocks = placed.join(F.broadcast(cells), "cell").withColumn("part", F.pmod(F.xxhash64("series", "pos"), F.col("parts")).cast("int"))
+
+    def unpack(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        y = table["y"].combine_chunks()
+        return table["series"].combine_chunks(), table["pos"].to_numpy(), y.flatten().to_numpy().reshape(len(y), m)
+
+    def own_block(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("series", "ascending"), ("pos", "ascending")])
+        names_, pos, y = unpack(table)
+        codes = names_.dictionary_encode().indices.to_numpy()
+        dist, who = nearest_within(y, pos, codes, np.full(len(y), np.inf), y, pos, codes, exclusion)
+        near = pa.array(who, mask=who < 0)
+        return table.select(["series", "pos", "cell", "part", "y"]).append_column("distance", pa.array(dist)).append_column("nn_series", names_.take(near)).append_column("nn_pos", pa.array(pos, pa.int32()).take(near))
+
+    own = written(blocks.drop("parts").groupBy("cell", "part").applyInArrow(own_block, "series string, pos int, cell int, part int, y array<double>, distance double, nn_series string, nn_pos int"), "own-block")
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                y = part.column(4).flatten().to_numpy().reshape(part.num_rows, m)
+                reach = box_distance(y, low, high)
+                home = np.searchsorted(names, part.column(2).to_numpy())
+                reach[np.arange(len(y)), home] = 0.0  # its own cell may have further blocks
+                rows, to = np.nonzero(reach < part.column(5).to_numpy()[:, None])
+                keep = (to != home[rows]) | wide[to]
+                rows, to = rows[keep], to[keep]
+                yield pa.record_batch([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), part.column(2).take(pa.array(rows)), part.column(3).take(pa.array(rows)), part.column(4).take(pa.array(rows)), part.column(5).take(pa.array(rows)), pa.array(names[to], pa.int32())], names=["series", "pos", "home", "home_part", "y", "bound", "cell"])
+
+    wide = np.array([r["n"] > block for r in boxes], bool)
+    sent = own.select("series", "pos", "cell", "part", "y", "distance").mapInArrow(visits, "series string, pos int, home int, home_part int, y array<double>, bound double, cell int")
+    sent = written(
+        sent.join(F.broadcast(cells), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part"))).select("series", "pos", "y", "bound", "cell", "part"), "visits"
+    )
+    # Visitors of a block are parted, too; a row per block, as many as there are windows in blocks' worth.
+    guests = sent.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (8 * block)).cast("int").alias("turns"))
+    hosts = own.select("series", "pos", "y", "cell", "part").join(guests, ["cell", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
+    guests = sent.join(guests, ["cell", "part"]).withColumn("turn", F.pmod(F.xxhash64("series", "pos"), F.col("turns")).cast("int")).drop("turns")
+
+    def meet(hosts_: pa.Table, guests_: pa.Table) -> pa.Table:
+        hosts_ = hosts_.sort_by([("series", "ascending"), ("pos", "ascending")])
+        (hn, hp, hy), (gn, gp, gy) = unpack(hosts_), unpack(guests_)
+        codes = pa.chunked_array([hn, gn]).combine_chunks().dictionary_encode().indices.to_numpy()
+        dist, who = nearest_within(gy, gp, codes[len(hn) :], guests_["bound"].to_numpy(), hy, hp, codes[: len(hn)], exclusion)
+        at = np.flatnonzero(who >= 0)
+        return pa.table([gn.take(pa.array(at)), pa.array(gp[at], pa.int32()), pa.array(dist[at]), hn.take(pa.array(who[at])), pa.array(hp[who[at]], pa.int32())], names=["series", "pos", "distance", "nn_series", "nn_pos"])
+
+    key = ["cell", "part", "turn"]
+    better = hosts.groupBy(*key).cogroup(guests.groupBy(*key)).applyInArrow(meet, "series string, pos int, distance double, nn_series string, nn_pos int")
+    found = own.where("nn_series is not null").select("series", "pos", "distance", "nn_series", "nn_pos").unionByName(better)
     best = F.min(F.struct(F.round("distance", 9).alias("r"), "nn_series", "nn_pos", "distance")).alias("m")
-    out = found.groupBy("g", "series", "pos").agg(best)
-    kinds = {c: t for c, t in curves.dtypes if c in within}
-    back = F.from_json("g", ", ".join(f"{c} {kinds[c]}" for c in within)) if within else None
-    return out.select(*[back[c].alias(c) for c in within], "series", "pos", "m.distance", "m.nn_series", "m.nn_pos")
+    return found.groupBy("series", "pos").agg(best).select("series", "pos", "m.distance", "m.nn_series", "m.nn_pos")
 
 
 def candidate_motifs(profile: DataFrame, m: int, r: float = 0.85, k: int = 5, trivial: float = 1e-5) -> list[tuple[str, int, float]]:
@@ -138,9 +199,9 @@ def anchored_chains(profile: DataFrame, anchors: DataFrame, limit: float) -> Dat
 
 
 def mad_znormed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``df`` with ``robust_z``: (x - median) / (1.4826 * median absolute deviation + 1e-8) of its key."""
-    med = df.groupBy(*keys).agg(F.expr(f"percentile({value}, 0.5)").alias("_med"))
-    dev = df.join(med, keys).groupBy(*keys, "_med").agg(F.expr(f"percentile(abs({value} - _med), 0.5)").alias("_mad"))
-    return df.join(dev, keys).withColumn("robust_z", (F.col(value) - F.col("_med")) / (1.4826 * F.col("_mad") + 1e-8)).drop("_med", "_mad")
-
-
+    """``df`` with ``robust_z``: (x - median) / (1.4826 * median absolute deviation + 1e-8) of its key. Exact medians from
+    counts of distinct values, and no task holds a key."""
+    med = exact_quantiles(df, keys, value, {"_med": 0.5})
+    off = spread_join(df, med, keys)
+    mad = exact_quantiles(off.withColumn("_off", F.abs(F.col(value) - F.col("_med"))), keys, "_off", {"_mad": 0.5})
+    return spread_join(off, mad, keys).withColumn("robust_z", (F.col(value) - F.col("_med")) / (1.4826 * F.col("_mad") + 1e-8)).drop("_med", "_mad")
