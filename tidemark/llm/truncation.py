@@ -179,14 +179,16 @@ def measured_lengths(judged: DataFrame) -> DataFrame:
 
 
 def at_limits(judged: DataFrame, limits: DataFrame) -> DataFrame:
-    """``judged`` with ``chance``: the share of the ends at its significant length that neighbours explain, null elsewhere."""
-    out, chances = judged, []
+    """``judged`` with ``chance``: the share of the ends at its significant length that neighbours explain, null elsewhere.
+
+    The significant lengths of a source become one map, so a text looks up all its measures in one join.
+    """
+    key = lambda measure, length: F.concat_ws("=", measure, length.cast("string"))
     share = F.least(F.col("expected") / F.col("n"), F.lit(1.0))
-    for i, (measure, length) in enumerate([("chars", F.col("chars")), ("bytes", F.col("bytes")), *[(f"bytes%{g}", F.when(F.col("bytes") >= g, F.col("bytes") % g)) for g in GRIDS]]):
-        hit = limits.where(F.col("measure") == measure).select("source", F.col("length").alias("_length"), share.alias(f"_chance{i}"))
-        out = spread_join(out.withColumn("_length", length), hit, ["source", "_length"], how="left").drop("_length")
-        chances.append(f"_chance{i}")
-    return out.withColumn("chance", F.least(*chances)).drop(*chances)
+    of_source = limits.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(key(F.col("measure"), F.col("length")), share))).alias("_limits"))
+    measures = [("chars", F.col("chars")), ("bytes", F.col("bytes")), *[(f"bytes%{g}", F.when(F.col("bytes") >= g, F.col("bytes") % g)) for g in GRIDS]]
+    found = [F.try_element_at("_limits", key(F.lit(m), length)) for m, length in measures]
+    return spread_join(judged, of_source, ["source"], how="left").withColumn("chance", F.least(*found)).drop("_limits")
 
 
 def truncated(docs: DataFrame, alpha: float = 0.001) -> tuple[DataFrame, DataFrame]:
