@@ -78,8 +78,9 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     if not histogram:
         return empty
     runs = pd.DataFrame(shortest_pack_first(histogram, capacity), columns=["tokens", "rank", "count", "container", "offset", "place"]).astype({"tokens": np.int32, "offset": np.int32, "place": np.int32})
-    # Long runs are unrolled chunk by chunk, so that no task unrolls one alone.
-    chunks = spark.createDataFrame(runs).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(CHUNK).cast("long"))).alias("at")).repartition(F.col("tokens"), F.col("at"), F.col("container"))
+    # Long runs are unrolled chunk by chunk, so that no task unrolls one alone; the number of tasks comes from the pieces. Runs
+    # are read from the shared folder, so that no task carries them all.
+    chunks = written(spark.createDataFrame(runs), "runs").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(CHUNK).cast("long"))).alias("at")).repartition(max(8, -(-sum(histogram.values()) // (4 * CHUNK))), "tokens", "at", "container")
     slots = chunks.select("*", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + CHUNK, F.col("count")) - 1)).alias("i")).select(
         "tokens", (F.col("rank") + F.col("i")).alias("_before"), (F.col("container") + F.col("i")).alias("container"), "place", "offset"
     )
