@@ -377,14 +377,20 @@ def objective_score(spark, d):
     return rows.select("score_id", F.round(X.smooth_objective(F.exp(-F.col("distance")), F.col("fsm_score"), F.col("macro_state") * 40, 48), 6).alias("objective"))
 
 
+def bins(fitted: DataFrame, key: str, edge_digits: int, centre_digits: int) -> DataFrame:
+    """A row per bin of a key: its lower edge (null for the first) and its centre, rounded."""
+    rows = fitted.select(key, "edges", F.posexplode("centres").alias("bin", "centre"))
+    return rows.select(key, "bin", F.round(F.when(F.col("bin") > 0, F.get("edges", F.col("bin") - 1)), edge_digits).alias("edge"), F.round("centre", centre_digits).alias("centre"))
+
+
 @query()
 def gpd_tail_bins(spark, d):
-    return TL.gpd_bins(read(spark, d, "events"), "value", "event_type")
+    return bins(TL.gpd_bins(read(spark, d, "events"), "value", "event_type"), "event_type", 5, 4)
 
 
 @query()
 def rolling_gpd_bins(spark, d):
-    return TL.rolling_gpd(panel(spark, d), "day", "fwd_ret_1")
+    return bins(TL.rolling_gpd(panel(spark, d), "day", "fwd_ret_1"), "day", 7, 6)
 
 
 # Motifs
@@ -433,7 +439,7 @@ def motif_topk(spark, d):
 
     profile = written(M.matrix_profile(finite_curves(spark, d), ["sid", "day"], "curve", 12), "profile")
     picks = M.candidate_motifs(profile, 12)
-    return spark.createDataFrame(picks, "series string, pos int, distance double")
+    return spark.createDataFrame([(a, b, round(x, 6)) for a, b, x in picks], "series string, pos int, distance double")
 
 
 # Residuals

@@ -156,6 +156,44 @@ SQL["dtw_min_subseq"] = f"""WITH RECURSIVE panel_d AS ({PARTS['panel_d']}), win
     SELECT sid, day, round(min(sqrt(cur[12])), 6) AS distance FROM t JOIN win USING (id) WHERE k = 22 GROUP BY sid, day"""
 
 
+# All pairs of windows; the table's windows are few thousand at the scale of the check.
+_PROFILE = f"""SELECT l.series, l.pos, min(array_distance(l.z, r.z)) AS distance FROM w l JOIN w r ON l.series <> r.series OR abs(l.pos - r.pos) > 3 GROUP BY l.series, l.pos"""
+_POINTS = f"w AS MATERIALIZED (SELECT sid || '|' || CAST(day AS VARCHAR) AS series, CAST(i - 1 AS INT) AS pos, CAST(z AS DOUBLE[12]) AS z FROM ({_WINDOWS}))"
+SQL["matrix_profile"] = f"WITH panel_d AS ({PARTS['panel_d']}), {_POINTS} SELECT regexp_replace(series, '[|].*', '') AS sid, series, pos, round(distance, 6) AS distance FROM ({_PROFILE})"
+_PICKS = ", ".join(
+    f"p{i} AS (SELECT * FROM p WHERE distance > 1e-5 AND distance <= {LIMIT} " + " ".join(f"AND NOT EXISTS (SELECT 1 FROM p{j} q WHERE q.series = p.series AND abs(q.pos - p.pos) <= 12)" for j in range(i)) + " ORDER BY distance, series, pos LIMIT 1)" for i in range(5)
+)
+SQL["motif_topk"] = f"WITH panel_d AS ({PARTS['panel_d']}), {_POINTS}, p AS MATERIALIZED ({_PROFILE}), {_PICKS} SELECT series, pos, round(distance, 6) AS distance FROM (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(5)) + ")"
+
+# Tail bins: the likelihood over a grid of parameters, then between the neighbours of the best; x is (key, x).
+_GPD = """n AS (SELECT key, list_sort(list(x)) AS v, count(*) AS n FROM x GROUP BY key HAVING count(*) >= 50),
+    e AS (SELECT key, list_transform([0.05, 0.25, 0.75, 0.95], lambda q: v[CAST(greatest(1, ceil(q * n)) AS INT)]) AS edges FROM n),
+    b AS (SELECT key, x, edges, CAST((x >= edges[1])::INT + (x >= edges[2])::INT + (x >= edges[3])::INT + (x >= edges[4])::INT AS INT) AS bin FROM x JOIN e USING (key)),
+    m AS (SELECT key, bin, avg(x) AS mean FROM b GROUP BY ALL),
+    t AS (SELECT key, side, x FROM (SELECT key, CASE bin WHEN 0 THEN -1 ELSE 1 END AS side, CASE bin WHEN 0 THEN edges[1] - x ELSE x - edges[4] END AS x FROM b WHERE bin IN (0, 4)) WHERE x > 0),
+    z AS (SELECT key, side, avg(x) AS mean, max(x) AS top FROM t GROUP BY ALL HAVING count(*) > 10),
+    g AS (SELECT key, side, list_concat(list_transform(range(61), lambda i: -exp(ln(20 / mean) + ln(1e-5 / 20) * i / 60)), [0.0::DOUBLE], list_transform(range(61), lambda i: 1e-6 / top + ((1 - 1e-6) / top - 1e-6 / top) * i / 60)) AS grid FROM z),
+    l AS ({0}), f AS (SELECT key, side, list_transform(range(61), lambda i: below + (above - below) * i / 60) AS grid FROM l), h AS ({1}),
+    c AS (SELECT key, edges, bin, CASE WHEN bin IN (0, 4) THEN coalesce(CASE WHEN bin = 0 THEN edges[1] ELSE edges[4] END + beyond, mean, CASE WHEN bin = 0 THEN edges[1] ELSE edges[4] END) ELSE coalesce(mean, (edges[bin] + edges[bin + 1]) / 2) END AS centre
+        FROM (SELECT key, edges, CAST(unnest(range(5)) AS INT) AS bin FROM e) LEFT JOIN m USING (key, bin) LEFT JOIN (SELECT key, CASE WHEN side < 0 THEN 0 ELSE 4 END AS bin, side * sigma / (1 - xi) AS beyond FROM h WHERE xi < 1) USING (key, bin))"""
+
+
+def _likelihood(grid: str) -> str:
+    return f"""SELECT key, side, r.theta, r.xi, r.sigma, grid[greatest(r.i - 1, 1)] AS below, grid[least(r.i + 1, len(grid))] AS above FROM (SELECT key, side, arg_min({{'i': i, 'theta': theta, 'xi': xi, 'sigma': sigma}}, {{'l': ln(sigma) + xi + 1, 'i': i}}) AS r FROM (
+        SELECT key, side, i, theta, CASE WHEN flat THEN 0 ELSE xi END AS xi, CASE WHEN flat THEN mean ELSE -xi / theta END AS sigma, least FROM (SELECT *, abs(theta) * mean < 1e-9 AS flat FROM (
+            SELECT key, side, i, theta, avg(CASE WHEN 1 - theta * x > 0 THEN ln(1 - theta * x) END) AS xi, min(1 - theta * x) AS least, avg(x) AS mean FROM (SELECT key, side, x, unnest(range(1, len(grid) + 1)) AS i, unnest(grid) AS theta FROM t JOIN {grid} USING (key, side)) GROUP BY ALL))
+        ) WHERE least > 0 AND sigma > 0 GROUP BY key, side) JOIN {grid} USING (key, side)"""
+
+
+_GPD = _GPD.replace("{0}", _likelihood("g")).replace("{1}", _likelihood("f"))
+SQL["gpd_tail_bins"] = f"WITH x AS (SELECT event_type AS key, value AS x FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL), {_GPD} SELECT key AS event_type, bin, round(edges[bin], 5) AS edge, round(centre, 4) AS centre FROM c"
+SQL["rolling_gpd_bins"] = f"""WITH r AS (SELECT day, fwd_ret_1 AS ret FROM (SELECT DISTINCT * FROM panel) WHERE fwd_ret_1 IS NOT NULL AND NOT isnan(fwd_ret_1)),
+    cal AS (SELECT day, row_number() OVER (ORDER BY day) AS i, row_number() OVER (PARTITION BY (year(day) * 12 + month(day)) // 3 ORDER BY day) = 1 AS refit FROM (SELECT DISTINCT day FROM r)),
+    x AS (SELECT f.day AS key, r.ret AS x FROM cal f JOIN cal d ON d.i BETWEEN f.i - 59 AND f.i JOIN r ON r.day = d.day WHERE f.refit), {_GPD},
+    k AS (SELECT day, last_value(key IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS key FROM (SELECT cal.day, e.key FROM cal LEFT JOIN e ON e.key = cal.day))
+    SELECT k.day, bin, round(edges[bin], 7) AS edge, round(centre, 6) AS centre FROM k JOIN c USING (key)"""
+
+
 # Tables
 
 
