@@ -39,6 +39,19 @@ def minute_bars(ticks: DataFrame) -> DataFrame:
     )
 
 
+def daily_bars(trades: DataFrame, order: list[str]) -> DataFrame:
+    """(sid, day, open, high, low, close, volume, amount) from trades (sid, day, price, volume).
+
+    The first and last price are by ``order`` and then the price, so rows that tie in ``order`` don't make the result depend
+    on partitioning; rows without a price don't count for prices, nor for the amount. Combined before the shuffle.
+    """
+    first_last = F.when(F.col("price").isNotNull(), F.struct(*order, "price"))
+    bars = trades.groupBy("sid", "day").agg(
+        F.min(first_last).alias("_o"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(first_last).alias("_c"), F.sum("volume").alias("volume"), F.sum(F.col("price") * F.col("volume")).alias("amount")
+    )
+    return bars.select("sid", "day", F.col("_o.price").alias("open"), "high", "low", F.col("_c.price").alias("close"), "volume", "amount")
+
+
 def minute_skeleton(bars: DataFrame, minutes: int = 240) -> DataFrame:
     """Every minute of each (sid, day) that has a bar; one bar per minute. close is filled forward, then backward, within the day; open,
     high and low of an empty minute are its close; volume and amount 0. Minutes outside the session are dropped."""

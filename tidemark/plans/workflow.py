@@ -93,6 +93,22 @@ def walk_forward_scores(spark, d):
     return out.select("day", "sid", *r6("distance"), "macro_state", *r6("fsm_score"))
 
 
+_Z_OF_YEAR = """(SELECT (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) FROM (SELECT sum(a) AS n1, sum(b) AS n2, sum(a * rank) AS r1, sum(t * t * t - t) AS ties FROM (
+        SELECT a, b, t, sum(t) OVER (ORDER BY v) - t + (t + 1) / 2 AS rank FROM (SELECT v, CAST(count(*) FILTER (f) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT f) AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS t FROM (
+            SELECT ret AS v, true AS f FROM hit WHERE year(day) = {0} UNION ALL SELECT fwd_ret_1, false FROM panel_d WHERE year(day) = {0}) WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY v))))"""
+
+
+@query("panel_d dist binned", "SELECT * FROM (WITH hit AS (SELECT b.day, p.fwd_ret_1 AS ret FROM binned b JOIN dist d USING (sid, day) JOIN panel_d p USING (sid, day) WHERE d.distance <= " + str(LIMIT) + " AND bin_1 IS NOT NULL AND bin_2 IS NOT NULL AND bin_3 IS NOT NULL) " + " UNION ALL ".join(f"SELECT {y} AS year, (SELECT count(ret) FROM hit WHERE year(day) = {y}) AS triggers, round((SELECT avg(ret) FROM hit WHERE year(day) = {y}), 8) AS mean, (SELECT count(ret) FROM hit WHERE year(day) = {y}) >= 5 AND {_Z_OF_YEAR.format(y)} >= 1.2815515655446 AS keeps" for y in (2004, 2005)) + ")")
+def decay_check(spark, d):
+    """Whether a motif's triggers are enough and their returns significantly higher in each year: the gates of a model."""
+    rows = []
+    for year in (2004, 2005):
+        p = year_panel(spark, d)(year, CONFIG)
+        found = SE.evaluate(SE.with_states(p, CONFIG), MOTIF, CONFIG)
+        rows.append((year, found["triggers"], None if found["mean"] is None else round(found["mean"], 8), found["score"] > 0))
+    return spark.createDataFrame(rows, "year int, triggers long, mean double, keeps boolean")
+
+
 @query("binned macro", "SELECT step, from_state, to_state, n FROM (" + " UNION ALL ".join(f"SELECT '{a}->{b}' AS step, i.r AS from_state, j.r AS to_state, (SELECT count(*) FROM (SELECT b.*, m.macro_state FROM binned b JOIN macro m USING (day) WHERE bin_1 IS NOT NULL AND bin_2 IS NOT NULL) l WHERE l.{a} = i.r AND l.{b} = j.r) AS n FROM (SELECT CAST(unnest(range({na})) AS INT) AS r) i, (SELECT CAST(unnest(range(4)) AS INT) AS r) j" for a, na, b in (("macro_state", 3, "bin_1"), ("bin_1", 4, "bin_2"))) + ")")
 def two_horizon_chain(spark, d):
     """The chain of a panel without its third forward return: that horizon is skipped."""
@@ -230,6 +246,15 @@ def yearly_bars_node(spark, d):
     return io.union_all([spark.read.parquet(p).select(F.lit(use).alias("use"), F.lit(y).alias("of_year"), "sid", "day", "bar_idx", *r6("close", "ofi_ratio")) for use in ("train", "oos") for y, p in at[use].items()])
 
 
+_ORDER = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+@query("", "SELECT sid, day, round(o.p, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(c.p, 6) AS close, volume, round(amount, 2) AS amount FROM (SELECT l_suppkey AS sid, CAST(l_shipdate AS DATE) AS day, min({'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'p': l_extendedprice / l_quantity}) AS o, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, max({'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'p': l_extendedprice / l_quantity}) AS c, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount FROM lineitem GROUP BY 1, 2)")
+def daily_bars(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("sid"), F.col("l_shipdate").cast("date").alias("day"), *_ORDER, (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"))
+    return TS.daily_bars(rows, _ORDER).select("sid", "day", *r6("open", "high", "low", "close"), "volume", F.round("amount", 2).alias("amount"))
+
+
 @query("daily_f", "SELECT count(*) AS sids, layer, CAST(greatest(floor(count(*) * 0.2), 1) AS BIGINT) AS drawn FROM (SELECT CAST(least(i // greatest(k // 5, 1), 4) AS INT) AS layer FROM (SELECT row_number() OVER (ORDER BY t DESC, sid) - 1 AS i, CAST(floor(count(*) OVER () * 0.8) AS BIGINT) AS k FROM (SELECT sid, avg(coalesce(amount, volume * close, 0)) AS t FROM daily_f GROUP BY sid) WHERE t IS NOT NULL) WHERE i < k) GROUP BY layer")
 def stratified_layers(spark, d):
     """How many sids of each layer there are and are drawn; all drawn ones lie in their layer's range of turnover."""
