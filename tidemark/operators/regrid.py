@@ -41,15 +41,18 @@ def epoch_seconds(tick: Column) -> Column:
     return F.when(size >= 1e17, tick / 1e9).when(size >= 1e14, tick / 1e6).when(size >= 1e11, tick / 1e3).otherwise(tick)
 
 
-# Minutes of the session by minute of the day, null outside of it.
-SESSION = [m - 570 if 570 <= m < 690 else m - 660 if 780 <= m < 900 else None for m in range(1440)]
+# The first session minute less the minute of the day, by half hour; null outside of the session.
+SHIFT = [-570 if 19 <= half < 23 else -660 if 26 <= half < 30 else None for half in range(48)]
 
 
 def session_minute(seconds: Column) -> Column:
     """Minute of the session from epoch seconds: 09:30-11:29 are 0-119, 13:00-14:59 are 120-239, else null.
 
-    A look-up, so that ``seconds`` is evaluated once however often the expression is inlined."""
-    return F.get(F.array(*[F.lit(m).cast("int") for m in SESSION]), F.floor(F.pmod(seconds, F.lit(86400.0)) / 60).cast("int"))
+    A look-up, so that ``seconds`` is evaluated but twice however often the expression is inlined: code that grows beyond
+    what the JVM compiles runs many times slower."""
+    minute = F.floor(F.pmod(seconds, F.lit(86400.0)) / 60).cast("int")
+    shift = F.expr(f"array({', '.join('cast(null as int)' if x is None else str(x) for x in SHIFT)})")
+    return minute + F.get(shift, F.floor(minute / 30).cast("int"))
 
 
 def _basis(day: Column, slot: Column, c: GridConfig) -> list[Column]:
