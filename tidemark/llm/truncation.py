@@ -133,15 +133,15 @@ def significant_lengths(lengths: DataFrame, q: float = 0.001, reach: float = 0.1
     deep = hazards.groupBy(*key, "depth").agg(F.sum("n").alias("_ends"), F.sum(F.col("gap") * F.col("at_risk")).alias("_exposure"))
     # Half a text is added, as no neighbour may end there.
     expected = F.greatest(*[(F.col(e) - F.col("n") + 0.5) / F.col(x) * F.col("at_risk") for e, x in (("ends", "exposure"), ("_ends", "_exposure"))])
-    shared = hazards.where((F.col("n") > 1) & (~F.col("measure").startswith("bytes%") | (F.col("length") == 0)))
+    # A length that only one text has, and what is left over from a packet, is a test but can't be significant.
+    counts_ = (F.col("n") > 1) & (~F.col("measure").startswith("bytes%") | (F.col("length") == 0))
+    p = F.when(counts_, _tail(F.col("n").cast("double"), F.col("expected"))).otherwise(F.lit(1.0))
     tested = written(
-        shared.join(pooled, [*key, "bin"]).join(deep, [*key, "depth"])
-        .select(*key, "length", "n", "at_risk", (F.col("n") / F.col("at_risk")).alias("hazard"), expected.alias("expected")).withColumn("p", _tail(F.col("n").cast("double"), F.col("expected"))), "hazards"
-    )
+        hazards.join(pooled, [*key, "bin"]).join(deep, [*key, "depth"]).select(*key, "length", "n", "at_risk", (F.col("n") / F.col("at_risk")).alias("hazard"), expected.alias("expected")).withColumn("p", p), "hazards"
+    )
     # Benjamini-Hochberg over a grid of thresholds 2^(-k/4): at most 4001 counts come to the driver.
     grid = tested.groupBy(F.least(F.floor(-F.log2(F.greatest("p", F.lit(1e-300))) * 4), F.lit(4000)).alias("k")).count().collect()
-    # A length that only one text has can't be significant, but is a test.
-    tests = hazards.count()
+    tests = sum(r["count"] for r in grid)
     passed, limit = 0, 0.0
     for row in sorted(grid, key=lambda r: -r["k"]):
         passed += row["count"]
@@ -201,7 +201,7 @@ def truncated(docs: DataFrame, alpha: float = 0.001) -> tuple[DataFrame, DataFra
     """
     judged = written(endings(docs), "endings")
     limits = written(significant_lengths(measured_lengths(judged)), "limits")
-    short = abbreviations(docs, judged.where("class = 'complete' and token <> ''").select("token")).withColumn("_abbreviation", F.lit(True))
+    short = written(abbreviations(docs, judged.where("class = 'complete' and token <> ''").select("token")), "abbreviations").withColumn("_abbreviation", F.lit(True))
     judged = spread_join(judged, short, ["token"], how="left").withColumn("class", F.when(F.col("_abbreviation"), "open").otherwise(F.col("class")))
     placed = written(at_limits(judged.select("doc_id", "source", "class", "kind", "chars", "bytes"), limits).select("doc_id", "source", "class", "kind", "chance"), "placed")
     n0, n1 = F.count_if(F.col("chance").isNull()), F.count("chance")
