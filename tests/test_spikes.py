@@ -142,3 +142,23 @@ def test_rows_with_volume_or_amount_unknown_keep_bounds_and_spikes(spark):
         rows[i][2:6], rows[i][6:8] = rows[119][2:6], [0.0, None]
     day = lambda i: 20200000 + i
     assert set(found(spark, rows)) == {("a", day(40), "high"), ("a", day(40), "low"), ("a", day(60), "low"), ("a", day(80), "high")}
+
+
+def test_a_stuck_close_carries_nothing(spark):
+    rows = series(n=300, seed=4)
+    for i in range(101, 115):
+        rows[i][5] = rows[100][5]
+        rows[i][3], rows[i][4] = max(rows[i][3], rows[i][5] * 1.001), min(rows[i][4], rows[i][5] * 0.999)
+    got = found(spark, rows)
+    assert {k[1] - 20200000 for k in got if k[2] == "close"} == set(range(101, 115)) and {k[2] for k in got} == {"close"}
+
+
+def test_blocks_keep_all_fields_and_reasons(spark):
+    rows = series(n=400, seed=6)
+    rows[150][3] *= 1.5
+    rows[180][6] *= 100
+    rows[220][4] *= -1
+    for i in range(301, 312):
+        rows[i][6] = rows[300][6]
+    small, large = found(spark, rows, SpikeConfig(block=100, halo=60)), found(spark, rows, SpikeConfig(block=100_000, halo=60))
+    assert small == large and {k[2] for k in small} == {"high", "low", "volume"}
