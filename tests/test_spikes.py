@@ -148,7 +148,7 @@ def test_a_stuck_close_carries_nothing(spark):
     rows = series(n=300, seed=4)
     for i in range(101, 115):
         rows[i][5] = rows[100][5]
-        rows[i][3], rows[i][4] = max(rows[i][3], rows[i][5] * 1.001), min(rows[i][4], rows[i][5] * 0.999)
+        rows[i][3], rows[i][4] = max(rows[i][3], rows[i][5] * (1.001 + i % 5 / 1000)), min(rows[i][4], rows[i][5] * (0.999 - i % 5 / 1000))
     got = found(spark, rows)
     assert {k[1] - 20200000 for k in got if k[2] == "close"} == set(range(101, 115)) and {k[2] for k in got} == {"close"}
 
