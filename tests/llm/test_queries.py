@@ -63,7 +63,9 @@ def test_mixed_shares_caps_and_slots(spark):
     shares, uses = out.shares.toPandas(), out.uses.toPandas()
     there = shares[shares.documents > 0]
     target = there.target_share / there.groupby("plan").target_share.transform("sum")
-    assert ((there.actual_share - target).abs() < 0.005).all() and (shares.most_uses <= shares.max_repeats).all()
+    # To 0.005, and to a block, which is what a slot holds: the rarest source of a plan can make it a few blocks in all.
+    block = 256 / there.groupby("plan").used_tokens.transform("sum")
+    assert ((there.actual_share - target).abs() < 0.005 + block).all() and (shares.most_uses <= shares.max_repeats).all()
     assert (uses.merge(shares, on=["plan", "source"]).eval("uses <= max_repeats")).all()
     # No larger plan keeps the caps: some source of each is used up.
     assert (there.assign(left=there.used_tokens / (there.available_tokens * there.max_repeats)).groupby("plan").left.max() > 0.97).all()
