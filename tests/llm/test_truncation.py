@@ -97,6 +97,7 @@ def test_without_limits_only_marks_of_omission_count(spark):
 
 def test_abbreviations_are_words_after_which_sentences_go_on(spark):
     texts = ["See Fig. 3 and Fig.~4 here. The case, cf. the data. Then Fig. 5, cf. \\cite{a}, ends here. So it is. We go." for _ in range(9)]
-    docs = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string")
+    long = ["a." * 300_000, "abcde." * 100_000 + " x", "word" * 200_000 + "."]
+    docs = spark.createDataFrame([(t,) for t in texts + long] + [(None,), ("",)], "text string")
     tokens = spark.createDataFrame([(t,) for t in ("Fig.", "cf.", "here.", "data.", "is.", "new.")], "token string")
     assert {r.token for r in abbreviations(docs, tokens).collect()} == {"Fig.", "cf."}

@@ -36,12 +36,12 @@ CLOSERS = "'\"”’»)]}"
 OMISSION = ("...", "…", "[...]", "[…]")
 BLANK = " \t\r\n\f\v\u00a0\u3000"
 # A short word or a chain of them before a full stop, which may be an abbreviation.
-SHORT_STOP = r"(?<![\p{L}\p{N}\\.])((?:\p{L}{1,5}\.)+)"
+SHORT_STOP = r"(?<![\p{L}\p{N}\\.])((?:\p{L}{1,5}+\.)++)"
 FIRST_OF_LINE = r"^\s*(\\[A-Za-z]+\*?|\S{1,24})"
 CLOSED_END = r"(\\end\{[^{}\n]*\}|\\\]|\$\$)$"
 COMMAND_ONLY = r"^\s*\\[A-Za-z]+\*?(?:\[[^\]]*\])?(?:\{.*\})?$"
 # Any text; the group holds the marks that open and close formulas, displays and groups.
-STRUCTURE = r"\\\\|\\[${}]|(\\[\[\]()]|[${}])|[^${}\\]+|\\"
+STRUCTURE = r"\\\\|\\[${}]|(\\[\[\]()]|[${}])|[^${}\\]++|\\"
 GRIDS = (512, 1024, 1460)
 
 
