@@ -205,10 +205,10 @@ def search(panel_of, configs: list[SearchConfig], at_once: int = 2, motifs: list
     return max(found, key=lambda r: r["score"], default=None)
 
 
-def still_good(model: dict, panel: DataFrame, motif_bounds: bool = False) -> bool:
-    """Whether a model's motif is still significant on another panel, whose own states are taken unless ``motif_bounds``."""
+def still_good(model: dict, panel: DataFrame) -> bool:
+    """Whether a model's motif is still significant on another panel, a training one, whose own states are taken."""
     config = SearchConfig(**model["config"])
-    return evaluate(with_states(panel, config, tuple(model["bounds"]) if motif_bounds else None), model["motif"], config)["score"] > 0
+    return evaluate(with_states(panel, config), model["motif"], config)["score"] > 0
 
 
 def walk_forward(
