@@ -47,3 +47,14 @@ def test_equals_sql(spark, data, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() >= 0
+
+
+def test_centres_half_way_are_rounded_as_in_sql(spark, data, duck):
+    """All digits of the centres: means of few decimals lie half way, whatever the order of their sum."""
+    from tidemark.plans.reference import bins
+
+    noise = spark.createDataFrame([("a", [0.5], [0.02616249999999999, -0.043587499999999994, 0.026162500000000003])], "k string, edges array<double>, centres array<double>")
+    assert [r.centre for r in bins(noise, "k", 7, 6).orderBy("bin").collect()] == [0.026163, -0.043588, 0.026163]
+    ours = {(str(r.day), r.bin): r.centre for r in catalog.QUERIES["rolling_gpd_bins"](spark, data).collect()}
+    theirs = {(str(r[0])[:10], r[1]): r[3] for r in duck.execute(catalog.SQL["rolling_gpd_bins"]).fetchall()}
+    assert ours.keys() == theirs.keys() and all(abs(ours[k] - theirs[k]) < 1e-9 for k in theirs)
