@@ -78,3 +78,25 @@ def test_cells_boxes_and_bounded_search():
     assert np.allclose(d, full) and (np.linalg.norm(y - y[who], axis=1) == d).all()
     tight, none = nearest_within(y, at, s, full, y, at, s, 0, 32)
     assert (none[tight == np.inf] == -1).all() and (none == -1).mean() > 0.99
+
+
+@pytest.mark.parametrize("n", [1, 40, 1500])
+def test_points_meet_by_leaves_and_blocks(n):
+    from tidemark.kernels.mprofile import Block, blocks_reached, leaf_order, meet, meet_own, windows_of_flat
+
+    rng = np.random.default_rng(n)
+    points, pos, series = rng.normal(size=(n, 6)).round(1), rng.integers(0, 9, n), rng.integers(0, 60, n)
+    parts = [p for p in np.array_split(np.argsort(points[:, 0]), 4) if len(p)]
+    parts = [p[leaf_order(points[p])] for p in parts]
+    blocks = [Block(points[p], pos[p], series[p]) for p in parts]
+    low, high = np.array([b.low.min(0) for b in blocks]), np.array([b.high.max(0) for b in blocks])
+    for i, (p, b) in enumerate(zip(parts, blocks)):
+        best, who = meet_own(b, 2)
+        for j, rows in blocks_reached(b, best, low, high, i):
+            meet(b, rows, blocks[j], best, who, 2)
+        d = np.sqrt(((points[p][:, None] - points[None]) ** 2).sum(2))
+        d[(series[p][:, None] == series) & (np.abs(pos[p][:, None] - pos) <= 2)] = np.inf
+        assert np.allclose(np.sqrt(best), d.min(axis=1))
+    row, at, x = windows_of_flat(np.array([1.0, 2, 3, 4, 5, np.nan, 6, 7, 8]), np.array([3, 1, 5]), 2)
+    assert (row.tolist(), at.tolist(), x.tolist()) == ([0, 0, 2, 2], [0, 1, 2, 3], [[1, 2], [2, 3], [6, 7], [7, 8]])
+    assert len(windows_of_flat(np.zeros(2), np.array([1, 1]), 5)[0]) == 0

@@ -294,3 +294,20 @@ def test_end_of_day_windows(spark):
     for d in got:
         upto = [buckets[k] for k in order if k[0] <= d]
         assert got[d] == pytest.approx(upto[-60:])
+
+
+def test_matrix_profile_stores_its_windows_once_and_no_pairs(spark):
+    """Files of the shared folder, for windows that come near each other's cells again and again."""
+    import os
+
+    from tidemark.session import shared_folder
+
+    def size():
+        folder = shared_folder(spark).removeprefix("file:").replace("//", "/")
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+    curves = np.random.default_rng(8).normal(size=(150, 60))
+    df = spark.createDataFrame([(s, c.tolist()) for s, c in enumerate(curves)], "s int, c array<double>")
+    before = size()
+    got = M.matrix_profile(df, ["s"], "c", 12, block=512).select("distance").toPandas()["distance"]
+    assert len(got) == 150 * 49 and size() - before < 2 * 150 * 49 * 12 * 8

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Distances held at once.
@@ -102,3 +104,141 @@ def nearest_within(left: np.ndarray, left_at: np.ndarray, left_series: np.ndarra
         nearer = d < best[at]
         best[at[nearer]], who[at[nearer]] = d[nearer], rows[hit[nearer]]
     return np.where(who >= 0, best, np.inf), who
+
+
+def windows_of_flat(values: np.ndarray, lengths: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and points of all windows of finite values, of curves laid end to end."""
+    lengths = np.asarray(lengths, np.int64)
+    many = np.maximum(lengths - m + 1, 0)
+    row = np.repeat(np.arange(len(lengths)), many)
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, m))
+    at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    points = np.lib.stride_tricks.sliding_window_view(values, m)[np.repeat(np.cumsum(lengths) - lengths, many) + at]
+    whole = np.isfinite(points).all(axis=1)
+    return row[whole], at[whole], points[whole]
+
+
+def gap2(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least possible squared distance of each point to the box of the same row."""
+    gap = np.maximum(np.maximum(low - points, points - high), 0)
+    return np.einsum("ij,ij->i", gap, gap)
+
+
+#: Directions that all boxes are compared in; the others count for the boxes that are left. Distances held at once in that.
+FIRST_DIMENSIONS, TILE = 5, 1 << 17
+
+
+def reached(points: np.ndarray, limit: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, box, squared distance) of all pairs of a point and a box that may hold something nearer than its squared limit."""
+    low_t, high_t = np.ascontiguousarray(low.T), np.ascontiguousarray(high.T)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, TILE // max(1, len(low)))
+    for first in range(0, len(points), step):
+        x = points[first : first + step]
+        total, gap, other = np.zeros((len(x), len(low))), np.empty((len(x), len(low))), np.empty((len(x), len(low)))
+        for j in range(min(FIRST_DIMENSIONS, points.shape[1])):
+            np.subtract(low_t[j], x[:, j : j + 1], out=gap)
+            np.subtract(x[:, j : j + 1], high_t[j], out=other)
+            np.maximum(gap, other, out=gap)
+            np.maximum(gap, 0, out=gap)
+            np.multiply(gap, gap, out=gap)
+            total += gap
+        row, box = np.nonzero(total < limit[first : first + step, None])
+        d2 = gap2(x[row], low[box], high[box])
+        keep = d2 < limit[first + row]
+        out.append((first + row[keep], box[keep], d2[keep]))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
+
+
+#: Points of a leaf, and what boxes are widened by, as the last digits of their points may differ from one product to the next.
+LEAF, SLACK = 256, 1e-9
+
+
+def leaf_order(points: np.ndarray, size: int | None = None) -> np.ndarray:
+    """An order of points in which each leaf of ``leaf_ends`` is narrow."""
+    return np.concatenate(_leaves(points, np.arange(len(points)), size or LEAF)) if len(points) else np.zeros(0, np.int64)
+
+
+def leaf_ends(n: int, size: int | None = None) -> list[int]:
+    """Where the leaves of n points end."""
+    return [n] if n <= (size or LEAF) else leaf_ends(n // 2, size) + [n // 2 + e for e in leaf_ends(n - n // 2, size)]
+
+
+class Block:
+    """Points in the order of their leaves, with the boxes of leaves and the factors of squared distances."""
+
+    def __init__(self, points: np.ndarray, pos: np.ndarray, series: np.ndarray):
+        n, self.points, self.pos, self.series = len(points), points, pos, series
+        square = (points * points).sum(axis=1)
+        self.factor = np.hstack([-2 * points, square[:, None], np.ones((n, 1))])
+        self.wide = np.ascontiguousarray(np.hstack([points, np.ones((n, 1)), square[:, None]]).T)
+        self.ends = np.array(leaf_ends(n))
+        self.starts = np.r_[0, self.ends[:-1]]
+        self.low, self.high = np.minimum.reduceat(points, self.starts) - SLACK, np.maximum.reduceat(points, self.starts) + SLACK
+
+
+def meet_leaf(guests: Block, rows: np.ndarray, hosts: Block, leaf: int, best: np.ndarray, who: np.ndarray, exclusion: int) -> None:
+    """Lower ``best`` (squared) of the rows of guests that a leaf of hosts has something nearer for, and set ``who``. Points of one
+    series within ``exclusion`` don't match."""
+    first, end = int(hosts.starts[leaf]), int(hosts.ends[leaf])
+    d2 = guests.factor[rows] @ hosts.wide[:, first:end]
+    hit = d2.argmin(axis=1)
+    least = d2[np.arange(len(rows)), hit]
+    at = np.flatnonzero(least < best[rows])
+    barred = at[(guests.series[rows[at]] == hosts.series[first + hit[at]]) & (np.abs(guests.pos[rows[at]] - hosts.pos[first + hit[at]]) <= exclusion)]
+    if len(barred):
+        r = rows[barred]
+        close = (guests.series[r][:, None] == hosts.series[first:end]) & (np.abs(guests.pos[r][:, None] - hosts.pos[first:end]) <= exclusion)
+        again = np.where(close, np.inf, d2[barred])
+        hit[barred] = again.argmin(axis=1)
+        least[barred] = again[np.arange(len(r)), hit[barred]]
+        at = at[least[at] < best[rows[at]]]
+    # Of the pairs kept the distance is taken again, without cancellation.
+    off = guests.points[rows[at]] - hosts.points[first + hit[at]]
+    exact = np.einsum("ij,ij->i", off, off)
+    nearer = exact < best[rows[at]]
+    best[rows[at[nearer]]], who[rows[at[nearer]]] = exact[nearer], first + hit[at[nearer]]
+
+
+def meet(guests: Block, rows: np.ndarray, hosts: Block, best: np.ndarray, who: np.ndarray, exclusion: int) -> None:
+    """The same over all leaves of hosts; a row only meets the leaves that can hold something nearer than what it has."""
+    at, leaf, d2 = reached(guests.points[rows], best[rows], hosts.low, hosts.high)
+    order = np.argsort(leaf, kind="stable")
+    ends = np.searchsorted(leaf[order], np.arange(len(hosts.ends)), "right")
+    parts = [order[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)]
+    for i in sorted(range(len(parts)), key=lambda i: -len(parts[i])):
+        r = rows[at[parts[i]]]
+        r = r[d2[parts[i]] < best[r]]
+        if len(r):
+            meet_leaf(guests, r, hosts, i, best, who, exclusion)
+
+
+def meet_own(block: Block, exclusion: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance and row of the nearest other point within a block; inf and -1 without one."""
+    best, who = np.full(len(block.pos), np.inf), np.full(len(block.pos), -1)
+    for leaf in range(len(block.ends)):
+        meet_leaf(block, np.arange(block.starts[leaf], block.ends[leaf]), block, leaf, best, who, exclusion)
+    meet(block, np.arange(len(block.pos)), block, best, who, exclusion)
+    return best, who
+
+
+#: Blocks that a block is compared with at a time; what it finds among the nearer ones spares it many of the others.
+BLOCKS_AT_ONCE = 32
+
+
+def blocks_reached(block: Block, best: np.ndarray, low: np.ndarray, high: np.ndarray, own: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, rows) of other blocks, by their boxes, and the rows that they may hold something nearer for than ``best`` has,
+    which is to be lowered meanwhile."""
+    centre = block.points.mean(axis=0)
+    away = gap2(np.broadcast_to(centre, low.shape), low, high)
+    away[own] = np.inf
+    order = np.argsort(away, kind="stable")[: len(low) - 1]
+    for first in range(0, len(order), BLOCKS_AT_ONCE):
+        some = order[first : first + BLOCKS_AT_ONCE]
+        row, box, d2 = reached(block.points, best, low[some], high[some])
+        for i in np.argsort(-np.bincount(box, minlength=len(some)), kind="stable"):
+            at = np.flatnonzero(box == i)
+            rows = row[at][d2[at] < best[row[at]]]
+            if len(rows):
+                yield int(some[i]), rows

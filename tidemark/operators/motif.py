@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import motif_threshold, windows_of
 from tidemark.kernels import dtw as K
-from tidemark.kernels.mprofile import box_distance, cell_of, fit_tree, nearest_within
+from tidemark.kernels.mprofile import Block, blocks_reached, cell_of, fit_tree, leaf_order, meet, meet_own, windows_of_flat
 from tidemark.operators.globalrank import exact_quantiles
 from tidemark.operators.salting import spread_join
 from tidemark.session import written
@@ -53,8 +56,10 @@ def series_windows(curves: DataFrame, series: list[str], curve: str, m: int) ->
     return rows.where(~F.exists("window", lambda x: x.isNull() | F.isnan(x)))
 
 
-# Curves that the tree is fitted on, levels of the tree, and directions that boxes are kept in: bounds of what the driver holds.
-SAMPLE_CURVES, MOST_LEVELS, BOX_DIMENSIONS = 4096, 12, 12
+# Curves that the tree is fitted on, and levels of the tree: bounds of what the driver holds.
+SAMPLE_CURVES, MOST_LEVELS = 4096, 12
+# Blocks that a task holds at a time, besides the one it is about, and blocks that it is about, one after another.
+BLOCKS_HELD, BLOCKS_A_TASK = 48, 4
 
 
 def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exclusion: int | None = None, block: int = 16384) -> DataFrame:
@@ -64,99 +69,127 @@ def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exc
     NaN are left out; a single window gives no row, an empty table none. Among windows at one distance, one is named.
 
     A tree fitted on at most SAMPLE_CURVES curves parts the space into at most 2^MOST_LEVELS cells; every window is put into
-    its cell, and a cell of more than ``block`` windows is cut into blocks by a hash. A window first meets its own block,
-    which bounds its distance; after that it only visits cells whose bounding box comes nearer than that. So windows far
+    its cell, and a cell of more than ``block`` windows is cut into blocks by a hash. A block is one file of the shared folder,
+    with its windows as they are in the curves. A task takes a block, whose windows first meet each other, which bounds their
+    distances; then it reads only the blocks whose bounding box comes nearer than that to one of its windows. So windows far
     from each other never meet, equal windows (constant stretches, copies) are done within their block, and the result is
-    that of comparing all pairs. A task holds one block and a bounded number of visitors.
+    that of comparing all pairs. Only windows are stored, once, and no pairs of them. A task holds BLOCKS_HELD blocks and the
+    boxes of all. PyArrow must be able to read the shared folder.
     """
     exclusion = -(-m // 4) if exclusion is None else exclusion
     spark = curves.sparkSession
     named = written(curves.select(F.concat_ws("|", *series).alias("series"), F.col(curve).alias("curve")).where(F.size("curve") >= m), "curves")
+    # Names are compared by their numbers.
+    ids = written(named.select("series").distinct().withColumn("id", F.monotonically_increasing_id()), "series")
     total = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("curve") - (m - 1)), F.lit(0)).alias("windows")).first()
     parts = max(1, -(-total["n"] // SAMPLE_CURVES))
     sample = named.where(F.pmod(F.xxhash64("series", "curve"), F.lit(parts)) == 0).limit(SAMPLE_CURVES).select("curve").toPandas()["curve"]
     depth = min(max(int(np.ceil(np.log2(max(total["windows"], 1) / block))), 0), MOST_LEVELS)
 
-    def windows_in(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, position and z-normalised points of all whole windows of the curves."""
-        rows, at, points = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros((0, m))]
-        for i, c in enumerate(values):
-            views = np.lib.stride_tricks.sliding_window_view(np.asarray(c, float), m)
-            whole = np.flatnonzero(np.isfinite(views).all(axis=1))
-            rows.append(np.full(len(whole), i))
-            at.append(whole)
-            points.append(K.znorm(views[whole]))
-        return np.concatenate(rows), np.concatenate(at), np.concatenate(points)
+    drawn = [np.asarray(c, float) for c in sample]
+    basis, dims, cuts = fit_tree(K.znorm(windows_of_flat(np.concatenate([np.zeros(0), *drawn]), np.array([len(c) for c in drawn]), m)[2]), depth)
 
-    basis, dims, cuts = fit_tree(windows_in(sample)[2], depth)
+    def in_cells(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, position, points as they are, and cell of the windows of a batch's curves."""
+        c = part.column("curve")
+        rows, at, points = windows_of_flat(c.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False), c.value_lengths().to_numpy(), m)
+        return rows, at, points, cell_of(K.znorm(points) @ basis, dims, cuts)
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                rows, at, points = windows_in([np.asarray(c.values.to_numpy(zero_copy_only=False)) for c in part.column(1)])
-                points = points @ basis
-                yield pa.record_batch([part.column(0).take(pa.array(rows)), pa.array(at, pa.int32()), pa.array(cell_of(points, dims, cuts), pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), m).cast(pa.list_(pa.float64()))], names=["series", "pos", "cell", "y"])
-
-    placed = written(named.mapInArrow(assign, "series string, pos int, cell int, y array<double>"), "windows")
-    # A row per cell, at most 2^MOST_LEVELS.
-    d = min(m, BOX_DIMENSIONS)
-    boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min(F.get("y", F.lit(j))) for j in range(d)]).alias("low"), F.array(*[F.max(F.get("y", F.lit(j))) for j in range(d)]).alias("high")).orderBy("cell").collect()
-    cells = spark.createDataFrame([(r["cell"], -(-r["n"] // block)) for r in boxes], "cell int, parts int")
-    names = np.array([r["cell"] for r in boxes], np.int64)
-    low, high = (np.array([r[k] for r in boxes], float).reshape(len(boxes), d) for k in ("low", "high"))
-    blocks = placed.join(F.broadcast(cells), "cell").withColumn("part", F.pmod(F.xxhash64("series", "pos"), F.col("parts")).cast("int"))
-
-    def unpack(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        y = table["y"].combine_chunks()
-        return table["series"].combine_chunks(), table["pos"].to_numpy(), y.flatten().to_numpy().reshape(len(y), m)
-
-    def own_block(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("series", "ascending"), ("pos", "ascending")])
-        names_, pos, y = unpack(table)
-        codes = names_.dictionary_encode().indices.to_numpy()
-        dist, who = nearest_within(y, pos, codes, np.full(len(y), np.inf), y, pos, codes, exclusion)
-        near = pa.array(who, mask=who < 0)
-        return table.select(["series", "pos", "cell", "part", "y"]).append_column("distance", pa.array(dist)).append_column("nn_series", names_.take(near)).append_column("nn_pos", pa.array(pos, pa.int32()).take(near))
-
-    own = written(blocks.drop("parts").groupBy("cell", "part").applyInArrow(own_block, "series string, pos int, cell int, part int, y array<double>, distance double, nn_series string, nn_pos int"), "own-block")
-
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for start in range(0, batch.num_rows, 2048):
+                yield batch.slice(start, 2048)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches_of(batches):
+            cell, n = np.unique(in_cells(part)[3], return_counts=True)
+            yield pa.record_batch([pa.array(cell, pa.int32()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+    # A row per cell, at most 2^MOST_LEVELS. Blocks are numbered along the cells, so that near ones follow each other.
+    sizes = {r["cell"]: r["n"] for r in named.select("curve").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    blocks_of = np.zeros(2**depth, np.int64)
+    for cell, n in sizes.items():
+        blocks_of[cell] = -(-n // block)
+    first_block = np.cumsum(blocks_of) - blocks_of
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per block and batch, with lists of the windows."""
+        for part in batches_of(batches):
+            rows, at, points, cell = in_cells(part)
+            # A window that the last digits put into an empty cell goes to the one beside it.
+            many = np.maximum(blocks_of[cell], 1)
+            id_ = part.column("id").to_numpy()[rows]
+            to = np.minimum(first_block[cell] + (id_ % 1_000_003 * 31 + at) % many, max(int(blocks_of.sum()) - 1, 0))
+            order = np.argsort(to, kind="stable")
+            number, n = np.unique(to, return_counts=True)
+            ends = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
+            lists = [part.column("series").take(pa.array(rows[order])), pa.array(id_[order]), pa.array(at[order], pa.int32())]
+            yield pa.record_batch([pa.array(number, pa.int32()), *[pa.ListArray.from_arrays(ends, x) for x in lists], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)] * m, pa.int32()), pa.array(points[order].ravel()))], names=["block", "series", "id", "pos", "x"])
+
+    def built(x: np.ndarray, pos: np.ndarray, id_: np.ndarray) -> Block:
+        return Block(K.znorm(x.reshape(-1, m)) @ basis, pos, id_)
+
+    def gather(table: pa.Table) -> pa.Table:
+        """A block as one row: its windows in the order of their leaves, and its box."""
+        names, id_, pos, x = (table[c].combine_chunks().flatten() for c in ("series", "id", "pos", "x"))
+        x = x.to_numpy().reshape(-1, m)
+        order = leaf_order(K.znorm(x) @ basis)
+        b = built(x[order], pos.to_numpy()[order], id_.to_numpy()[order])
+        row = {"block": table["block"][0].as_py(), "low": b.low.min(axis=0), "high": b.high.max(axis=0), "series": names.take(pa.array(order)), "id": b.series, "pos": b.pos, "x": x[order].ravel()}
+        return pa.table([pa.array([v], f.type) if f.name == "block" else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for f, v in zip(_BLOCK, row.values())], names=_BLOCK.names)
+
+    chunks = named.join(ids, "series").mapInArrow(assign, "block int, series array<string>, id array<long>, pos array<int>, x array<double>")
+    # A file per block, as its rows are one.
+    tasks = max(-(-int(blocks_of.sum()) // 8), 1)
+    stored = written(chunks.repartition(tasks, "block").groupBy("block").applyInArrow(gather, "block int, low array<double>, high array<double>, series array<string>, id array<long>, pos array<int>, x array<double>").withColumn("file", F.col("block")), "blocks", ("file",))
+    boxes = stored.select("block", "low", "high", F.col("_metadata.file_path").alias("path")).orderBy("block").collect()
+    low, high = (np.array([r[k] for r in boxes], float).reshape(len(boxes), m) for k in ("low", "high"))
+    paths = [r["path"] for r in boxes]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, tuple[Block, pa.Array]] = OrderedDict()
+
+        def load(i: int) -> tuple[Block, pa.Array]:
+            if i in held:
+                held.move_to_end(i)
+                return held[i]
+            system, path = FileSystem.from_uri(paths[i])
+            with system.open_input_file(path) as f:
+                table = pq.read_table(f, columns=["series", "id", "pos", "x"])
+            names, id_, pos, x = (table[c].combine_chunks().flatten() for c in ("series", "id", "pos", "x"))
+            held[i] = built(x.to_numpy(), pos.to_numpy(), id_.to_numpy()), names
+            if len(held) > BLOCKS_HELD:
+                held.popitem(last=False)
+            return held[i]
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                y = part.column(4).flatten().to_numpy().reshape(part.num_rows, m)
-                reach = box_distance(y, low, high)
-                home = np.searchsorted(names, part.column(2).to_numpy())
-                reach[np.arange(len(y)), home] = 0.0  # its own cell may have further blocks
-                rows, to = np.nonzero(reach < part.column(5).to_numpy()[:, None])
-                keep = (to != home[rows]) | wide[to]
-                rows, to = rows[keep], to[keep]
-                yield pa.record_batch([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), part.column(2).take(pa.array(rows)), part.column(3).take(pa.array(rows)), part.column(4).take(pa.array(rows)), part.column(5).take(pa.array(rows)), pa.array(names[to], pa.int32())], names=["series", "pos", "home", "home_part", "y", "bound", "cell"])
-
-    wide = np.array([r["n"] > block for r in boxes], bool)
-    sent = own.select("series", "pos", "cell", "part", "y", "distance").mapInArrow(visits, "series string, pos int, home int, home_part int, y array<double>, bound double, cell int")
-    sent = written(
-        sent.join(F.broadcast(cells), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part"))).select("series", "pos", "y", "bound", "cell", "part"), "visits"
-    )
-    # Visitors of a block are parted, too; a row per block, as many as there are windows in blocks' worth.
-    guests = sent.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (8 * block)).cast("int").alias("turns"))
-    hosts = own.select("series", "pos", "y", "cell", "part").join(guests, ["cell", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
-    guests = sent.join(guests, ["cell", "part"]).withColumn("turn", F.pmod(F.xxhash64("series", "pos"), F.col("turns")).cast("int")).drop("turns")
-
-    def meet(hosts_: pa.Table, guests_: pa.Table) -> pa.Table:
-        hosts_ = hosts_.sort_by([("series", "ascending"), ("pos", "ascending")])
-        (hn, hp, hy), (gn, gp, gy) = unpack(hosts_), unpack(guests_)
-        codes = pa.chunked_array([hn, gn]).combine_chunks().dictionary_encode().indices.to_numpy()
-        dist, who = nearest_within(gy, gp, codes[len(hn) :], guests_["bound"].to_numpy(), hy, hp, codes[: len(hn)], exclusion)
-        at = np.flatnonzero(who >= 0)
-        return pa.table([gn.take(pa.array(at)), pa.array(gp[at], pa.int32()), pa.array(dist[at]), hn.take(pa.array(who[at])), pa.array(hp[who[at]], pa.int32())], names=["series", "pos", "distance", "nn_series", "nn_pos"])
-
-    key = ["cell", "part", "turn"]
-    better = hosts.groupBy(*key).cogroup(guests.groupBy(*key)).applyInArrow(meet, "series string, pos int, distance double, nn_series string, nn_pos int")
-    found = own.where("nn_series is not null").select("series", "pos", "distance", "nn_series", "nn_pos").unionByName(better)
-    best = F.min(F.struct(F.round("distance", 9).alias("r"), "nn_series", "nn_pos", "distance")).alias("m")
-    return found.groupBy("series", "pos").agg(best).select("series", "pos", "m.distance", "m.nn_series", "m.nn_pos")
+            for i in batch.column(0).to_pylist():
+                guests, names = load(i)
+                best, who = meet_own(guests, exclusion)
+                # What is found is kept by block, as ``at``: a place among all that was found.
+                at, found_names, found_pos = np.where(who >= 0, who, -1), [names], [guests.pos]
+                size = len(names)
+                for j, rows in blocks_reached(guests, best, low, high, i):
+                    hosts, host_names = load(j)
+                    who[rows] = -1
+                    meet(guests, rows, hosts, best, who, exclusion)
+                    rows = rows[who[rows] >= 0]
+                    at[rows] = size + np.arange(len(rows))
+                    size += len(rows)
+                    found_names.append(host_names.take(pa.array(who[rows])))
+                    found_pos.append(hosts.pos[who[rows]])
+                known = np.flatnonzero(at >= 0)
+                yield pa.record_batch([names.take(pa.array(known)), pa.array(guests.pos[known], pa.int32()), pa.array(np.sqrt(best[known])), pa.chunked_array(found_names, pa.string()).take(pa.array(at[known])).combine_chunks(), pa.array(np.concatenate(found_pos)[at[known]], pa.int32())], names=["series", "pos", "distance", "nn_series", "nn_pos"])
+
+    found = spark.range(0, len(boxes), 1, max(-(-len(boxes) // BLOCKS_A_TASK), 1)).mapInArrow(search, "series string, pos int, distance double, nn_series string, nn_pos int")
+    if total["n"] == ids.count():
+        return found
+    # Curves of one name: the nearest of their windows at a position.
+    best_ = F.min(F.struct(F.round("distance", 9).alias("r"), "nn_series", "nn_pos", "distance")).alias("m")
+    return found.groupBy("series", "pos").agg(best_).select("series", "pos", "m.distance", "m.nn_series", "m.nn_pos")
+
+
+_BLOCK = pa.schema([("block", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("series", pa.list_(pa.string())), ("id", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
 
 
 def candidate_motifs(profile: DataFrame, m: int, r: float = 0.85, k: int = 5, trivial: float = 1e-5) -> list[tuple[str, int, float]]:
