@@ -441,8 +441,8 @@ def matrix_profile(spark, d):
 def motif_topk(spark, d):
     from tidemark.session import written
 
-    profile = written(M.matrix_profile(finite_curves(spark, d), ["sid", "day"], "curve", 12), "profile")
-    picks = M.candidate_motifs(profile, 12)
+    profile = M.matrix_profile(finite_curves(spark, d), ["sid", "day"], "curve", 12)
+    picks = M.candidate_motifs(written(profile.select("series", "pos", "distance"), "profile"), 12)
     return spark.createDataFrame([(a, b, round(x, 6)) for a, b, x in picks], "series string, pos int, distance double")
 
 
