@@ -100,3 +100,28 @@ def test_points_meet_by_leaves_and_blocks(n):
     row, at, x = windows_of_flat(np.array([1.0, 2, 3, 4, 5, np.nan, 6, 7, 8]), np.array([3, 1, 5]), 2)
     assert (row.tolist(), at.tolist(), x.tolist()) == ([0, 0, 2, 2], [0, 1, 2, 3], [[1, 2], [2, 3], [6, 7], [7, 8]])
     assert len(windows_of_flat(np.zeros(2), np.array([1, 1]), 5)[0]) == 0
+
+
+def test_blocks_laid_end_to_end_meet_others_at_once():
+    """The nearest by all digits, although single precision can't tell it from others; copies need nothing nearer."""
+    from tidemark.kernels.mprofile import Block, blocks_reached, leaf_order, limits, meet, meet_own
+
+    rng = np.random.default_rng(11)
+    points = np.repeat(rng.normal(size=(300, 12)) * 3, 8, axis=0) + rng.normal(size=(2400, 12)) * np.repeat([1.0, 1e-4, 1e-7, 0], 600)[:, None]
+    pos, series = rng.integers(0, 9, 2400), rng.integers(0, 200, 2400)
+    parts = [p[leaf_order(points[p])] for p in np.array_split(np.argsort(points[:, 0]), 8)]
+    blocks = [Block(points[p], pos[p], series[p]) for p in parts]
+    low, high = np.array([b.low.min(0) for b in blocks]), np.array([b.high.max(0) for b in blocks])
+    own, sizes = [1, 2, 3], [len(parts[i]) for i in (1, 2, 3)]
+    rows = np.concatenate([parts[i] for i in own])
+    guests = Block(points[rows], pos[rows], series[rows], sizes)
+    assert len(guests.low) == sum(len(blocks[i].low) for i in own)
+    best, who = (np.concatenate(x) for x in zip(*(meet_own(blocks[i], 2) for i in own)))
+    read = []
+    for j, at in blocks_reached(guests, best, low, high, np.repeat(own, sizes)):
+        read.append(j)
+        meet(guests, at, blocks[j], best, who, 2)
+    assert len(read) == len(set(read))
+    d = ((points[rows][:, None] - points[None]) ** 2).sum(2)
+    d[(series[rows][:, None] == series) & (np.abs(pos[rows][:, None] - pos) <= 2)] = np.inf
+    assert np.allclose(np.sqrt(best), np.sqrt(d.min(axis=1)), rtol=1e-9, atol=1e-9) and (best == 0).any() and (limits(best[best == 0]) < 0).all()

@@ -119,40 +119,57 @@ def windows_of_flat(values: np.ndarray, lengths: np.ndarray, m: int) -> tuple[np
     return row[whole], at[whole], points[whole]
 
 
-def gap2(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least possible squared distance of each point to the box of the same row."""
-    gap = np.maximum(np.maximum(low - points, points - high), 0)
-    return np.einsum("ij,ij->i", gap, gap)
-
-
-#: Directions that all boxes are compared in; the others count for the boxes that are left. Distances held at once in that.
-FIRST_DIMENSIONS, TILE = 5, 1 << 17
-
-
-def reached(points: np.ndarray, limit: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(point, box, squared distance) of all pairs of a point and a box that may hold something nearer than its squared limit."""
-    low_t, high_t = np.ascontiguousarray(low.T), np.ascontiguousarray(high.T)
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    step = max(1, TILE // max(1, len(low)))
-    for first in range(0, len(points), step):
-        x = points[first : first + step]
-        total, gap, other = np.zeros((len(x), len(low))), np.empty((len(x), len(low))), np.empty((len(x), len(low)))
-        for j in range(min(FIRST_DIMENSIONS, points.shape[1])):
-            np.subtract(low_t[j], x[:, j : j + 1], out=gap)
-            np.subtract(x[:, j : j + 1], high_t[j], out=other)
-            np.maximum(gap, other, out=gap)
+#: Points of a leaf. Boxes are widened by SLACK, as the last digits of their points may differ from one product to the next, and by
+#: SHORT of the points' size where they are compared in single precision.
+LEAF, SLACK, SHORT = 256, 1e-9, 2.0**-21
+#: Squared distances of at most DONE are zero but for last digits; what has one needs nothing nearer.
+DONE = 1e-18
+#: Points that boxes are compared with at a time, and points that a leaf meets at a time: what a processor's cache holds.
+TILE, ROWS = 4096, 512
+#: Directions that all boxes are compared in; the others count for the boxes that are left.
+FIRST_DIMENSIONS = 7
+
+
+def gaps(columns: np.ndarray, centre: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Least possible squared distance of each box, given by its centre and half its width, to each point (boxes x points), in
+    single precision. ``columns`` has a row per direction; a box may have more of them, which don't count."""
+    out = np.zeros((len(centre), columns.shape[1]), np.float32)
+    off = np.empty((len(centre), min(TILE, columns.shape[1])), np.float32)
+    for at in range(0, columns.shape[1], TILE):
+        total = out[:, at : at + TILE]
+        for j in range(len(columns)):
+            gap = off[:, : total.shape[1]] if j else total
+            np.subtract(columns[j, at : at + TILE], centre[:, j : j + 1], out=gap)
+            np.abs(gap, out=gap)
+            np.subtract(gap, half[:, j : j + 1], out=gap)
             np.maximum(gap, 0, out=gap)
             np.multiply(gap, gap, out=gap)
-            total += gap
-        row, box = np.nonzero(total < limit[first : first + step, None])
-        d2 = gap2(x[row], low[box], high[box])
-        keep = d2 < limit[first + row]
-        out.append((first + row[keep], box[keep], d2[keep]))
-    return tuple(np.concatenate(parts) for parts in zip(*out))
+            if j:
+                total += gap
+    return out
 
 
-#: Points of a leaf, and what boxes are widened by, as the last digits of their points may differ from one product to the next.
-LEAF, SLACK = 256, 1e-9
+def gaps_of_one(columns: np.ndarray, centre: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """The same for one box, in all directions at once."""
+    out = np.empty(columns.shape[1], np.float32)
+    for at in range(0, columns.shape[1], TILE):
+        gap = columns[:, at : at + TILE] - centre[:, None]
+        np.abs(gap, out=gap)
+        np.subtract(gap, half[:, None], out=gap)
+        np.maximum(gap, 0, out=gap)
+        np.einsum("ij,ij->j", gap, gap, out=out[at : at + TILE])
+    return out
+
+
+def boxes_of(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and half the width of boxes, in single precision and wide enough for it."""
+    size = max(np.abs(low).max(initial=0), np.abs(high).max(initial=0))
+    return ((low + high) / 2).astype(np.float32), ((high - low) / 2 + SHORT * size).astype(np.float32)
+
+
+def limits(best: np.ndarray) -> np.ndarray:
+    """What a gap must lie under for anything nearer than ``best`` (squared): a little more, for the last digits of gaps."""
+    return np.where(best > DONE, best * (1 + 1e-5) + 1e-30, -1).astype(np.float32)
 
 
 def leaf_order(points: np.ndarray, size: int | None = None) -> np.ndarray:
@@ -166,52 +183,73 @@ def leaf_ends(n: int, size: int | None = None) -> list[int]:
 
 
 class Block:
-    """Points in the order of their leaves, with the boxes of leaves and the factors of squared distances."""
+    """Points in the order of their leaves, with the boxes of leaves and the factors of squared distances in single precision.
+    ``sizes``: of several blocks laid end to end, the points of each."""
 
-    def __init__(self, points: np.ndarray, pos: np.ndarray, series: np.ndarray):
+    def __init__(self, points: np.ndarray, pos: np.ndarray, series: np.ndarray, sizes: list[int] | None = None):
         n, self.points, self.pos, self.series = len(points), points, pos, series
-        square = (points * points).sum(axis=1)
-        self.factor = np.hstack([-2 * points, square[:, None], np.ones((n, 1))])
-        self.wide = np.ascontiguousarray(np.hstack([points, np.ones((n, 1)), square[:, None]]).T)
-        self.ends = np.array(leaf_ends(n))
+        square = np.einsum("ij,ij->i", points, points)
+        self.reach = float(np.sqrt(square.max(initial=0)))
+        self.columns = np.ascontiguousarray(points.T, np.float32)
+        self.factor = np.empty((n, points.shape[1] + 2), np.float32)
+        self.factor[:, :-2], self.factor[:, -2], self.factor[:, -1] = -2 * points, square, 1
+        self.wide = np.empty((n, points.shape[1] + 2), np.float32)
+        self.wide[:, :-2], self.wide[:, -2], self.wide[:, -1] = points, 1, square
+        sizes = sizes or [n]
+        self.ends = np.array([first + e for first, many in zip(np.cumsum([0, *sizes]), sizes) for e in leaf_ends(many)])
         self.starts = np.r_[0, self.ends[:-1]]
         self.low, self.high = np.minimum.reduceat(points, self.starts) - SLACK, np.maximum.reduceat(points, self.starts) + SLACK
+        self.centre, self.half = boxes_of(self.low, self.high)
 
 
 def meet_leaf(guests: Block, rows: np.ndarray, hosts: Block, leaf: int, best: np.ndarray, who: np.ndarray, exclusion: int) -> None:
     """Lower ``best`` (squared) of the rows of guests that a leaf of hosts has something nearer for, and set ``who``. Points of one
-    series within ``exclusion`` don't match."""
+    series within ``exclusion`` don't match.
+
+    Single precision only finds out which pairs may be the nearest, by a bound of its error; of these the distance is taken again.
+    """
     first, end = int(hosts.starts[leaf]), int(hosts.ends[leaf])
-    d2 = guests.factor[rows] @ hosts.wide[:, first:end]
-    hit = d2.argmin(axis=1)
-    least = d2[np.arange(len(rows)), hit]
-    at = np.flatnonzero(least < best[rows])
-    barred = at[(guests.series[rows[at]] == hosts.series[first + hit[at]]) & (np.abs(guests.pos[rows[at]] - hosts.pos[first + hit[at]]) <= exclusion)]
-    if len(barred):
-        r = rows[barred]
-        close = (guests.series[r][:, None] == hosts.series[first:end]) & (np.abs(guests.pos[r][:, None] - hosts.pos[first:end]) <= exclusion)
-        again = np.where(close, np.inf, d2[barred])
-        hit[barred] = again.argmin(axis=1)
-        least[barred] = again[np.arange(len(r)), hit[barred]]
-        at = at[least[at] < best[rows[at]]]
-    # Of the pairs kept the distance is taken again, without cancellation.
-    off = guests.points[rows[at]] - hosts.points[first + hit[at]]
-    exact = np.einsum("ij,ij->i", off, off)
-    nearer = exact < best[rows[at]]
-    best[rows[at[nearer]]], who[rows[at[nearer]]] = exact[nearer], first + hit[at[nearer]]
+    error = (guests.points.shape[1] + 8) * 2.0**-23 * (guests.reach + hosts.reach) ** 2
+    for start in range(0, len(rows), ROWS):
+        some = rows[start : start + ROWS]
+        d2 = hosts.wide[first:end] @ guests.factor[some].T
+        limit = best[some] + error
+        least = d2.min(axis=0)
+        at = np.flatnonzero(least < limit)
+        if not len(at):
+            continue
+        r, near, limit = some[at], np.ascontiguousarray(d2[:, at].T), np.minimum(limit[at], least[at] + 2 * error)
+        h = first + near.argmin(axis=1)
+        barred = np.flatnonzero((guests.series[r] == hosts.series[h]) & (np.abs(guests.pos[r] - hosts.pos[h]) <= exclusion))
+        if len(barred):
+            b = r[barred]
+            close = (guests.series[b][:, None] == hosts.series[first:end]) & (np.abs(guests.pos[b][:, None] - hosts.pos[first:end]) <= exclusion)
+            near[barred] = again = np.where(close, np.inf, near[barred])
+            limit[barred] = np.minimum(best[b] + error, again.min(axis=1) + 2 * error)
+        i, col = np.nonzero(near <= np.minimum(limit, np.finfo(np.float32).max).astype(np.float32)[:, None])
+        row, col = r[i], first + col
+        apart = (guests.series[row] != hosts.series[col]) | (np.abs(guests.pos[row] - hosts.pos[col]) > exclusion)
+        row, col = row[apart], col[apart]
+        off = guests.points[row] - hosts.points[col]
+        exact = np.einsum("ij,ij->i", off, off)
+        nearer = np.flatnonzero(exact < best[row])
+        nearer = nearer[np.lexsort((exact[nearer], row[nearer]))]
+        nearer = nearer[np.r_[True, row[nearer][1:] != row[nearer][:-1]][: len(nearer)]]
+        best[row[nearer]], who[row[nearer]] = exact[nearer], col[nearer]
 
 
 def meet(guests: Block, rows: np.ndarray, hosts: Block, best: np.ndarray, who: np.ndarray, exclusion: int) -> None:
     """The same over all leaves of hosts; a row only meets the leaves that can hold something nearer than what it has."""
-    at, leaf, d2 = reached(guests.points[rows], best[rows], hosts.low, hosts.high)
-    order = np.argsort(leaf, kind="stable")
-    ends = np.searchsorted(leaf[order], np.arange(len(hosts.ends)), "right")
-    parts = [order[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)]
-    for i in sorted(range(len(parts)), key=lambda i: -len(parts[i])):
-        r = rows[at[parts[i]]]
-        r = r[d2[parts[i]] < best[r]]
-        if len(r):
-            meet_leaf(guests, r, hosts, i, best, who, exclusion)
+    columns = guests.columns[:, rows]
+    away = gaps(columns[:FIRST_DIMENSIONS], hosts.centre, hosts.half)
+    limit = limits(best[rows])
+    for leaf in np.argsort(away.min(axis=1, initial=np.inf), kind="stable"):
+        at = np.flatnonzero(away[leaf] < limit)
+        rest = gaps_of_one(columns[FIRST_DIMENSIONS:, at], hosts.centre[leaf, FIRST_DIMENSIONS:], hosts.half[leaf, FIRST_DIMENSIONS:])
+        at = at[away[leaf, at] + rest < limit[at]]
+        if len(at):
+            meet_leaf(guests, rows[at], hosts, leaf, best, who, exclusion)
+            limit[at] = limits(best[rows[at]])
 
 
 def meet_own(block: Block, exclusion: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,21 +262,26 @@ def meet_own(block: Block, exclusion: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Blocks that a block is compared with at a time; what it finds among the nearer ones spares it many of the others.
-BLOCKS_AT_ONCE = 32
+BLOCKS_AT_ONCE = 16
 
 
-def blocks_reached(block: Block, best: np.ndarray, low: np.ndarray, high: np.ndarray, own: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(block, rows) of other blocks, by their boxes, and the rows that they may hold something nearer for than ``best`` has,
-    which is to be lowered meanwhile."""
-    centre = block.points.mean(axis=0)
-    away = gap2(np.broadcast_to(centre, low.shape), low, high)
-    away[own] = np.inf
-    order = np.argsort(away, kind="stable")[: len(low) - 1]
+def blocks_reached(block: Block, best: np.ndarray, low: np.ndarray, high: np.ndarray, own: int | np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, rows) of other blocks than a row's own, by their boxes, and the rows that they may hold something nearer for than
+    ``best`` has, which is to be lowered meanwhile."""
+    mean = block.points.mean(axis=0)
+    off = np.maximum(np.maximum(low - mean, mean - high), 0)
+    order = np.argsort(np.einsum("ij,ij->i", off, off), kind="stable")
+    centre, half = boxes_of(low, high)
+    many = block.ends - block.starts
     for first in range(0, len(order), BLOCKS_AT_ONCE):
         some = order[first : first + BLOCKS_AT_ONCE]
-        row, box, d2 = reached(block.points, best, low[some], high[some])
-        for i in np.argsort(-np.bincount(box, minlength=len(some)), kind="stable"):
-            at = np.flatnonzero(box == i)
-            rows = row[at][d2[at] < best[row[at]]]
+        # Leaves first: those none of whose points can reach a block are left out at once.
+        away = np.maximum(np.maximum(low[some][:, None] - block.high, block.low - high[some][:, None]), 0)
+        near = np.einsum("ijk,ijk->ij", away, away) < np.maximum.reduceat(limits(best), block.starts)
+        for i, leaves in zip(some, near):
+            if not leaves.any():
+                continue
+            rows = np.flatnonzero(np.repeat(leaves, many) & (own != i))
+            rows = rows[gaps_of_one(block.columns[:, rows], centre[i], half[i]) < limits(best[rows])]
             if len(rows):
-                yield int(some[i]), rows
+                yield int(i), rows

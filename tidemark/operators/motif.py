@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import motif_threshold, windows_of
 from tidemark.kernels import dtw as K
-from tidemark.kernels.mprofile import Block, blocks_reached, cell_of, fit_tree, leaf_order, meet, meet_own, windows_of_flat
+from tidemark.kernels.mprofile import SLACK, Block, blocks_reached, cell_of, fit_tree, leaf_order, meet, meet_own, windows_of_flat
 from tidemark.operators.globalrank import exact_quantiles
 from tidemark.operators.salting import spread_join
 from tidemark.session import written
@@ -58,8 +57,8 @@ def series_windows(curves: DataFrame, series: list[str], curve: str, m: int) ->
 
 # Curves that the tree is fitted on, and levels of the tree: bounds of what the driver holds.
 SAMPLE_CURVES, MOST_LEVELS = 4096, 12
-# Blocks that a task holds at a time, besides the one it is about, and blocks that it is about, one after another.
-BLOCKS_HELD, BLOCKS_A_TASK = 48, 4
+# Windows that a task is about, all at a time; fewer where cores would be idle.
+WINDOWS_A_TASK = 1 << 17
 
 
 def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exclusion: int | None = None, block: int = 16384) -> DataFrame:
@@ -70,11 +69,12 @@ def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exc
 
     A tree fitted on at most SAMPLE_CURVES curves parts the space into at most 2^MOST_LEVELS cells; every window is put into
     its cell, and a cell of more than ``block`` windows is cut into blocks by a hash. A block is one file of the shared folder,
-    with its windows as they are in the curves. A task takes a block, whose windows first meet each other, which bounds their
-    distances; then it reads only the blocks whose bounding box comes nearer than that to one of its windows. So windows far
-    from each other never meet, equal windows (constant stretches, copies) are done within their block, and the result is
-    that of comparing all pairs. Only windows are stored, once, and no pairs of them. A task holds BLOCKS_HELD blocks and the
-    boxes of all. PyArrow must be able to read the shared folder.
+    with its windows as they are in the curves. A task takes a few blocks that lie next to each other; the windows of each
+    first meet each other, which bounds their distances; then it reads, once for all its windows, only the blocks whose
+    bounding box comes nearer than that to one of them. So windows far from each other never meet, equal windows (constant
+    stretches, copies) are done within their block, and the result is that of comparing all pairs. Only windows are stored,
+    once, and no pairs of them. A task holds blocks of WINDOWS_A_TASK windows in all, one more, and the boxes of all. PyArrow must be
+    able to read the shared folder.
     """
     exclusion = -(-m // 4) if exclusion is None else exclusion
     spark = curves.sparkSession
@@ -84,7 +84,8 @@ def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exc
     total = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("curve") - (m - 1)), F.lit(0)).alias("windows")).first()
     parts = max(1, -(-total["n"] // SAMPLE_CURVES))
     sample = named.where(F.pmod(F.xxhash64("series", "curve"), F.lit(parts)) == 0).limit(SAMPLE_CURVES).select("curve").toPandas()["curve"]
-    depth = min(max(int(np.ceil(np.log2(max(total["windows"], 1) / block))), 0), MOST_LEVELS)
+    # Cells differ in size; at three quarters of a block most aren't cut.
+    depth = min(max(int(np.ceil(np.log2(max(total["windows"], 1) / (block * 0.75)))), 0), MOST_LEVELS)
 
     drawn = [np.asarray(c, float) for c in sample]
     basis, dims, cuts = fit_tree(K.znorm(windows_of_flat(np.concatenate([np.zeros(0), *drawn]), np.array([len(c) for c in drawn]), m)[2]), depth)
@@ -126,16 +127,13 @@ def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exc
             lists = [part.column("series").take(pa.array(rows[order])), pa.array(id_[order]), pa.array(at[order], pa.int32())]
             yield pa.record_batch([pa.array(number, pa.int32()), *[pa.ListArray.from_arrays(ends, x) for x in lists], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)] * m, pa.int32()), pa.array(points[order].ravel()))], names=["block", "series", "id", "pos", "x"])
 
-    def built(x: np.ndarray, pos: np.ndarray, id_: np.ndarray) -> Block:
-        return Block(K.znorm(x.reshape(-1, m)) @ basis, pos, id_)
-
     def gather(table: pa.Table) -> pa.Table:
         """A block as one row: its windows in the order of their leaves, and its box."""
         names, id_, pos, x = (table[c].combine_chunks().flatten() for c in ("series", "id", "pos", "x"))
         x = x.to_numpy().reshape(-1, m)
-        order = leaf_order(K.znorm(x) @ basis)
-        b = built(x[order], pos.to_numpy()[order], id_.to_numpy()[order])
-        row = {"block": table["block"][0].as_py(), "low": b.low.min(axis=0), "high": b.high.max(axis=0), "series": names.take(pa.array(order)), "id": b.series, "pos": b.pos, "x": x[order].ravel()}
+        points = K.znorm(x) @ basis
+        order = leaf_order(points)
+        row = {"block": table["block"][0].as_py(), "low": points.min(axis=0) - SLACK, "high": points.max(axis=0) + SLACK, "series": names.take(pa.array(order)), "id": id_.to_numpy()[order], "pos": pos.to_numpy()[order], "x": x[order].ravel()}
         return pa.table([pa.array([v], f.type) if f.name == "block" else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for f, v in zip(_BLOCK, row.values())], names=_BLOCK.names)
 
     chunks = named.join(ids, "series").mapInArrow(assign, "block int, series array<string>, id array<long>, pos array<int>, x array<double>")
@@ -146,42 +144,49 @@ def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exc
     low, high = (np.array([r[k] for r in boxes], float).reshape(len(boxes), m) for k in ("low", "high"))
     paths = [r["path"] for r in boxes]
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[int, tuple[Block, pa.Array]] = OrderedDict()
-
-        def load(i: int) -> tuple[Block, pa.Array]:
-            if i in held:
-                held.move_to_end(i)
-                return held[i]
-            system, path = FileSystem.from_uri(paths[i])
-            with system.open_input_file(path) as f:
-                table = pq.read_table(f, columns=["series", "id", "pos", "x"])
-            names, id_, pos, x = (table[c].combine_chunks().flatten() for c in ("series", "id", "pos", "x"))
-            held[i] = built(x.to_numpy(), pos.to_numpy(), id_.to_numpy()), names
-            if len(held) > BLOCKS_HELD:
-                held.popitem(last=False)
-            return held[i]
+    def columns_of(i: int, *columns: str) -> list[pa.Array]:
+        system, path = FileSystem.from_uri(paths[i])
+        with system.open_input_file(path) as f:
+            table = pq.read_table(f, columns=list(columns))
+        return [table[c].combine_chunks().flatten() for c in columns]
 
+    def load(i: int) -> Block:
+        id_, pos, x = (c.to_numpy() for c in columns_of(i, "id", "pos", "x"))
+        return Block(K.znorm(x.reshape(-1, m)) @ basis, pos, id_)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                guests, names = load(i)
-                best, who = meet_own(guests, exclusion)
-                # What is found is kept by block, as ``at``: a place among all that was found.
-                at, found_names, found_pos = np.where(who >= 0, who, -1), [names], [guests.pos]
-                size = len(names)
-                for j, rows in blocks_reached(guests, best, low, high, i):
-                    hosts, host_names = load(j)
-                    who[rows] = -1
-                    meet(guests, rows, hosts, best, who, exclusion)
-                    rows = rows[who[rows] >= 0]
-                    at[rows] = size + np.arange(len(rows))
-                    size += len(rows)
-                    found_names.append(host_names.take(pa.array(who[rows])))
-                    found_pos.append(hosts.pos[who[rows]])
-                known = np.flatnonzero(at >= 0)
-                yield pa.record_batch([names.take(pa.array(known)), pa.array(guests.pos[known], pa.int32()), pa.array(np.sqrt(best[known])), pa.chunked_array(found_names, pa.string()).take(pa.array(at[known])).combine_chunks(), pa.array(np.concatenate(found_pos)[at[known]], pa.int32())], names=["series", "pos", "distance", "nn_series", "nn_pos"])
-
-    found = spark.range(0, len(boxes), 1, max(-(-len(boxes) // BLOCKS_A_TASK), 1)).mapInArrow(search, "series string, pos int, distance double, nn_series string, nn_pos int")
+            own = batch.column(0).to_pylist()
+            blocks = [load(i) for i in own]
+            sizes = [len(b.pos) for b in blocks]
+            ends = np.cumsum(sizes)
+            best, who = (np.concatenate(x) for x in zip(*(meet_own(b, exclusion) for b in blocks)))
+            guests = Block(*(np.concatenate([getattr(b, c) for b in blocks]) for c in ("points", "pos", "series")), sizes)
+            # Of what is found: its block, its row there and its position.
+            home = np.repeat(own, sizes)
+            at = np.where(who >= 0, home, -1)
+            nn_pos = guests.pos[np.repeat(ends - sizes, sizes) + np.maximum(who, 0)]
+            for j, rows in blocks_reached(guests, best, low, high, home):
+                hosts = blocks[own.index(j)] if j in own else load(j)
+                found = np.full(len(best), -1)
+                meet(guests, rows, hosts, best, found, exclusion)
+                rows = rows[found[rows] >= 0]
+                at[rows], who[rows], nn_pos[rows] = j, found[rows], hosts.pos[found[rows]]
+            del blocks
+            # Their names come last, block by block.
+            known = np.flatnonzero(at >= 0)
+            known = known[np.argsort(at[known], kind="stable")]
+            names, back = [pa.array([], pa.string())], np.empty(len(best), np.int64)
+            back[known] = np.arange(len(known))
+            for j, first, many in zip(*np.unique(at[known], return_index=True, return_counts=True)):
+                names.append(columns_of(j, "series")[0].take(pa.array(who[known[first : first + many]])))
+            nn_series = pa.chunked_array(names, pa.string()).combine_chunks()
+            for i, end, size in zip(own, ends, sizes):
+                rows = end - size + np.flatnonzero(at[end - size : end] >= 0)
+                yield pa.record_batch([columns_of(i, "series")[0].take(pa.array(rows - end + size)), pa.array(guests.pos[rows], pa.int32()), pa.array(np.sqrt(best[rows])), nn_series.take(pa.array(back[rows])), pa.array(nn_pos[rows], pa.int32())], names=["series", "pos", "distance", "nn_series", "nn_pos"])
+
+    a_task = max(min(len(boxes) // (2 * spark.sparkContext.defaultParallelism), WINDOWS_A_TASK * len(boxes) // max(total["windows"], 1)), 1)
+    found = spark.range(0, len(boxes), 1, max(-(-len(boxes) // a_task), 1)).mapInArrow(search, "series string, pos int, distance double, nn_series string, nn_pos int")
     if total["n"] == ids.count():
         return found
     # Curves of one name: the nearest of their windows at a position.
