@@ -129,3 +129,19 @@ def test_top_motifs_store_only_what_they_pick_from(spark, data, monkeypatch):
     before = size()
     top = R.motif_topk(spark, data)
     assert top.columns == ["series", "pos", "distance"] and size() - before < 2 * 150 * 49 * 12 * 8
+
+
+@pytest.mark.parametrize("copies", [0, 40])
+def test_top_motifs_are_those_of_the_whole_profile(spark, copies):
+    """Also where what blocks find alone is trivial once all windows are known."""
+    from tidemark.operators import motif as M
+
+    rng = np.random.default_rng(12)
+    curves = rng.normal(size=(120, 40)).cumsum(axis=1).round(1)
+    curves = np.vstack([curves, curves[:copies], curves[40 : 40 + copies] + rng.normal(size=(copies, 40)) * 1e-3])
+    df = spark.createDataFrame([(s % 118, c.tolist()) for s, c in enumerate(curves)], "s int, c array<double>")
+    whole = M.candidate_motifs(M.matrix_profile(df, ["s"], "c", 12).cache(), 12)
+    assert len(whole) == 5
+    for block in (64, 16384):
+        got = M.top_motifs(df, ["s"], "c", 12, block=block)
+        assert [x[:2] for x in got] == [x[:2] for x in whole] and [x[2] for x in got] == pytest.approx([x[2] for x in whole], abs=1e-9)

@@ -252,9 +252,10 @@ def meet(guests: Block, rows: np.ndarray, hosts: Block, best: np.ndarray, who: n
             limit[at] = limits(best[rows[at]])
 
 
-def meet_own(block: Block, exclusion: int) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distance and row of the nearest other point within a block; inf and -1 without one."""
-    best, who = np.full(len(block.pos), np.inf), np.full(len(block.pos), -1)
+def meet_own(block: Block, exclusion: int, within: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance and row of the nearest other point of a block, up to a distance of ``within``; a square of that or a little
+    more, and -1, without one."""
+    best, who = np.full(len(block.pos), within * within * (1 + 1e-9) + DONE * 2), np.full(len(block.pos), -1)
     for leaf in range(len(block.ends)):
         meet_leaf(block, np.arange(block.starts[leaf], block.ends[leaf]), block, leaf, best, who, exclusion)
     meet(block, np.arange(len(block.pos)), block, best, who, exclusion)

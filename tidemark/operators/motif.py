@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,6 +76,42 @@ def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exc
     once, and no pairs of them. A task holds blocks of WINDOWS_A_TASK windows in all, one more, and the boxes of all. PyArrow must be
     able to read the shared folder.
     """
+    search, unnamed = _searched(curves, series, curve, m, exclusion, block)
+    return _one_a_window(search(), unnamed)
+
+
+def _one_a_window(found: DataFrame, unnamed: bool) -> DataFrame:
+    """Of curves of one name the nearest of their windows at a position."""
+    if not unnamed:
+        return found
+    best = F.min(F.struct(F.round("distance", 9).alias("r"), "nn_series", "nn_pos", "distance")).alias("m")
+    return found.groupBy("series", "pos").agg(best).select("series", "pos", "m.distance", "m.nn_series", "m.nn_pos")
+
+
+def top_motifs(curves: DataFrame, series: list[str], curve: str, m: int, r: float = 0.85, k: int = 5, trivial: float = 1e-5, exclusion: int | None = None, block: int = 16384) -> list[tuple[str, int, float]]:
+    """``candidate_motifs`` of the matrix profile, without the rows of it that can't be picked.
+
+    What the nearest windows of each block alone would give bounds the distance of the last pick; then every window is looked
+    up to that distance only. Rows within it are those of the profile, so k picks among them are its picks; if they are fewer,
+    windows are looked up to the threshold, past which none is picked.
+    """
+    search, unnamed = _searched(curves, series, curve, m, exclusion, block)
+    limit = motif_threshold(m, r)
+    first = candidate_motifs(written(search(limit, least_of_own=(16 * k, trivial)), "nearest"), m, r, k, trivial)
+    for within in ([first[-1][2]] if len(first) == k else []) + [limit]:
+        profile = _one_a_window(search(within), unnamed).select("series", "pos", "distance")
+        picks = candidate_motifs(written(profile, "profile"), m, r, k, trivial)
+        if len(picks) == k:
+            break
+    return picks
+
+
+def _searched(curves: DataFrame, series: list[str], curve: str, m: int, exclusion: int | None, block: int) -> tuple[Callable[..., DataFrame], bool]:
+    """Stores the windows; the search over them, and whether some curves have one name.
+
+    The search gives the rows of the profile up to ``within``. ``least_of_own``: (n, trivial), only what a block's windows find
+    among themselves, of each block the n least distances above ``trivial``.
+    """
     exclusion = -(-m // 4) if exclusion is None else exclusion
     spark = curves.sparkSession
     named = written(curves.select(F.concat_ws("|", *series).alias("series"), F.col(curve).alias("curve")).where(F.size("curve") >= m), "curves")
@@ -154,13 +190,23 @@ def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exc
         id_, pos, x = (c.to_numpy() for c in columns_of(i, "id", "pos", "x"))
         return Block(K.znorm(x.reshape(-1, m)) @ basis, pos, id_)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def least(batches: Iterator[pa.RecordBatch], within: float, n: int, trivial: float) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                b = load(i)
+                best, who = meet_own(b, exclusion, within)
+                rows = np.flatnonzero((who >= 0) & (best > trivial**2))
+                rows = rows[np.argsort(best[rows], kind="stable")[:n]]
+                names = columns_of(i, "series")[0]
+                yield pa.record_batch([names.take(pa.array(rows)), pa.array(b.pos[rows], pa.int32()), pa.array(np.sqrt(best[rows])), names.take(pa.array(who[rows])), pa.array(b.pos[who[rows]], pa.int32())], names=["series", "pos", "distance", "nn_series", "nn_pos"])
+
+    def nearest(batches: Iterator[pa.RecordBatch], within: float) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_pylist()
             blocks = [load(i) for i in own]
             sizes = [len(b.pos) for b in blocks]
             ends = np.cumsum(sizes)
-            best, who = (np.concatenate(x) for x in zip(*(meet_own(b, exclusion) for b in blocks)))
+            best, who = (np.concatenate(x) for x in zip(*(meet_own(b, exclusion, within) for b in blocks)))
             guests = Block(*(np.concatenate([getattr(b, c) for b in blocks]) for c in ("points", "pos", "series")), sizes)
             # Of what is found: its block, its row there and its position.
             home = np.repeat(own, sizes)
@@ -186,12 +232,12 @@ def matrix_profile(curves: DataFrame, series: list[str], curve: str, m: int, exc
                 yield pa.record_batch([columns_of(i, "series")[0].take(pa.array(rows - end + size)), pa.array(guests.pos[rows], pa.int32()), pa.array(np.sqrt(best[rows])), nn_series.take(pa.array(back[rows])), pa.array(nn_pos[rows], pa.int32())], names=["series", "pos", "distance", "nn_series", "nn_pos"])
 
     a_task = max(min(len(boxes) // (2 * spark.sparkContext.defaultParallelism), WINDOWS_A_TASK * len(boxes) // max(total["windows"], 1)), 1)
-    found = spark.range(0, len(boxes), 1, max(-(-len(boxes) // a_task), 1)).mapInArrow(search, "series string, pos int, distance double, nn_series string, nn_pos int")
-    if total["n"] == ids.count():
-        return found
-    # Curves of one name: the nearest of their windows at a position.
-    best_ = F.min(F.struct(F.round("distance", 9).alias("r"), "nn_series", "nn_pos", "distance")).alias("m")
-    return found.groupBy("series", "pos").agg(best_).select("series", "pos", "m.distance", "m.nn_series", "m.nn_pos")
+
+    def search(within: float = np.inf, least_of_own: tuple[int, float] | None = None) -> DataFrame:
+        numbers = spark.range(0, len(boxes), 1, max(-(-len(boxes) // a_task), 1))
+        return numbers.mapInArrow((lambda x: least(x, within, *least_of_own)) if least_of_own else (lambda x: nearest(x, within)), "series string, pos int, distance double, nn_series string, nn_pos int")
+
+    return search, total["n"] != ids.count()
 
 
 _BLOCK = pa.schema([("block", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("series", pa.list_(pa.string())), ("id", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])

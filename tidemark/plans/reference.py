@@ -439,10 +439,7 @@ def matrix_profile(spark, d):
 
 @query()
 def motif_topk(spark, d):
-    from tidemark.session import written
-
-    profile = M.matrix_profile(finite_curves(spark, d), ["sid", "day"], "curve", 12)
-    picks = M.candidate_motifs(written(profile.select("series", "pos", "distance"), "profile"), 12)
+    picks = M.top_motifs(finite_curves(spark, d), ["sid", "day"], "curve", 12)
     return spark.createDataFrame([(a, b, round(x, 6)) for a, b, x in picks], "series string, pos int, distance double")
 
 
